@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import linedup, minhash, quality, substring
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,21 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, _docs(spark, sf_dir)).drop("n_links")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.apply_policy(quality.ledger(_docs(spark, sf_dir)))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(spark, _docs(spark, sf_dir))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.repeated_lines(spark, _docs(spark, sf_dir)).drop("d1")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash}
+    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op4_substring_dedup": op4_substring_dedup, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": minhash.OP1_SQL}
+    return {"op1_minhash": minhash.OP1_SQL, "op2_quality_rules": quality.OP2_SQL}

@@ -129,3 +129,37 @@ def long_lists(parts: list[np.ndarray]) -> pa.Array:
     np.cumsum([len(x) for x in parts], out=offs[1:])
     flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))
+
+
+#: Gaps of normalised words: white space and the punctuation that stands between words.
+SOFT_GAP = GAP.copy()
+SOFT_GAP[[ord(c) for c in ".,;:!?\"()[]{}"]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".!?"]] = True
+
+
+def sentence_numbers(data: np.ndarray) -> np.ndarray:
+    """For each byte the number of sentence and line ends before it; a stop ends a sentence if white space or nothing follows."""
+    ends = data == 10
+    stop = _STOP[data]
+    stop[:-1] &= GAP[data[1:]]
+    return np.cumsum(ends | stop) - (ends | stop)
+
+
+def code_points(data: np.ndarray) -> np.ndarray:
+    """For each byte offset the number of code points that start before it (one entry more at the end)."""
+    out = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=out[1:])
+    return out
+
+
+def hash_runs(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """An order-sensitive 64-bit hash of each run of word hashes, whatever its place."""
+    n = len(words)
+    power, back = np.full(n + 1, BASE, np.uint64), np.full(n + 1, BASE_INV, np.uint64)
+    power[0] = back[0] = 1
+    np.cumprod(power, out=power)
+    np.cumprod(back, out=back)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * power[:n], out=total[1:])
+    return mix64((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
