@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linedup, minhash, quality, substring
+from . import decontam, linedup, minhash, quality, substring
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +25,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(spark, _docs(spark, sf_dir))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.repeated_lines(spark, _docs(spark, sf_dir)).drop("d1")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op4_substring_dedup": op4_substring_dedup, "op9_line_dedup": op9_line_dedup}
+    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op4_substring_dedup": op4_substring_dedup, "op7_decontaminate": op7_decontaminate, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
