@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where the session names none (tests)."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    given = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not given:
-        given = "file://" + tempfile.mkdtemp(prefix="axonframe-")
-        spark.conf.set("spark.checkpoint.dir", given)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="axonframe-"))
+        given = context.getCheckpointDir()
     return given.rstrip("/")
 
 
