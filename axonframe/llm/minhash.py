@@ -10,9 +10,13 @@ that share ``need`` values share one among the first ``size - need + 1``, so onl
 a document with fewer than ``need`` values that occur elsewhere has no partner and is done.
 
 A list may hold a third of the corpus. Its members first meet only the list's most central member
-(a linear number of pairs), then a second one; connected components of the verified links follow.
-What is left are pairs that share a list across components, and all those that the proven bounds
-allow are verified. So no link between components is lost and none within one is tried in vain.
+(a linear number of pairs); connected components of the verified links follow. Lists that still
+span components are divided by size, and the members of each division meet a few central ones.
+Members near the same centre but not linked to it are compared whole with all the others near it,
+in blocks of a few hundred texts whose sets are multiplied as bit rows; a block pair returns a
+spanning forest of its links, so a crowd of texts that resemble each other never makes a row for
+each two of them. Pairs that share no centre, few in such a crowd, meet if the bounds allow. No link
+between components is lost, and none within one is tried in vain.
 """
 
 from __future__ import annotations
@@ -28,7 +32,12 @@ from .textkernel import digest128, long_lists, shingle_sets, text_blocks
 #: Values kept of a document, and shared values that any similar pair has at the least.
 K, NEED = 64, 28
 SIMILAR, OF = 75, 100
-STAR_ROUNDS = 2
+#: Centres that a division gets, where its members aren't near those it has.
+CENTRES = 3
+#: Rows of a block, about.
+BLOCK = 256
+#: Divisions by size: similar sets are at most two apart.
+BAND = 0.5 * np.log(OF / SIMILAR)
 
 _SKETCH = "doc_id long, n_shingles long, digest binary, sketch array<long>"
 
@@ -54,15 +63,63 @@ def _whole_sets(batches):
             yield pa.RecordBatch.from_arrays([cids.slice(i, j - i).take(pa.array(held, pa.int64())), pa.array([sets[k].tobytes() for k in held], pa.binary())], ["cid", "shingles"])
 
 
-def _verified(batches):
-    """Keeps the pairs whose whole sets are similar."""
+def _compared(batches):
+    """(a, b, x, y) to (a, b, linked): whether the whole sets are similar."""
     for batch in batches:
-        keep = []
+        linked = []
         for x, y in zip(batch.column(2), batch.column(3)):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(OF * both >= SIMILAR * (len(x) + len(y) - both))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            linked.append(OF * both >= SIMILAR * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+
+
+def _forest(a, b) -> list[tuple[int, int]]:
+    """The edges that first join two trees."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = find(x), find(y)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((max(x, y), min(x, y)))
+    return out
+
+
+def _crowded(batches):
+    """Links (a, b) between components, of the members of two blocks: a spanning forest of them."""
+    for batch in batches:
+        edges = []
+        for xs, ys in zip(batch.column(0), batch.column(1)):
+            sides = []
+            for z in (xs.values, ys.values):
+                sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in z.field("shingles")]
+                sides.append((z.field("cid").to_numpy(), z.field("comp").to_numpy(), np.array([len(v) for v in sets]), np.concatenate(sets)))
+            (xi, xc, xn, xv), (yi, yc, yn, yv) = sides
+            shared = np.intersect1d(xv, yv)
+            both = np.zeros((len(xi), len(yi)), np.float32)
+            place = lambda v, n, few: (np.repeat(np.arange(len(n)), n), np.searchsorted(few, v).clip(max=len(few) - 1))
+            for k in range(0, len(shared), 1 << 13):
+                few = shared[k : k + (1 << 13)]
+                bits = []
+                for v, n in ((xv, xn), (yv, yn)):
+                    row, at = place(v, n, few)
+                    held = few[at] == v
+                    m = np.zeros((len(n), len(few)), np.float32)
+                    m[row[held], at[held]] = 1
+                    bits.append(m)
+                both += bits[0] @ bits[1].T
+            hit = ((OF + SIMILAR) * both.astype(np.float64) >= SIMILAR * (xn[:, None] + yn[None, :])) & (xc[:, None] != yc[None, :])
+            i, j = np.nonzero(hit)
+            edges += _forest(xi[i], yi[j])
+        a, b = np.array(edges, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _need(n, kept):
@@ -79,16 +136,16 @@ def _sketch_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return met.filter(common >= F.greatest("na", "nb")).select("a", "b")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of class ids that are linked: the sets of the texts involved are compared whole."""
+def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b, linked) of the pairs (a, b) of class ids that pass the sketch filter, and the sets (cid, shingles) of the texts involved, compared whole."""
     pairs = scratch.cut(_sketch_filter(pairs, classes), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep_id", "digest"), "cid")
     texts = docs.join(wanted, docs.doc_id == wanted.rep_id).select("cid", "digest", "text")
     sets = scratch.cut(texts.mapInArrow(_whole_sets, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
     met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    linked = scratch.cut(met.mapInArrow(_verified, "a long, b long"), "linked")
-    scratch.drop(sets)
-    return linked, pairs
+    out = scratch.cut(met.mapInArrow(_compared, "a long, b long, linked boolean"), "compared")
+    scratch.drop(pairs)
+    return out, sets
 
 
 def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -106,11 +163,9 @@ def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, n_links) for every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
-    Equal shingle sets form a class; links are sought between classes. ``n_links`` counts the
-    verified links of the row's class to other classes (at least those that join its component).
-    Null and empty texts have no shingles and stand alone. Rows with a null doc_id are never
+    Equal shingle sets form a class; links are sought between classes. Null and empty texts have no shingles and stand alone. Rows with a null doc_id are never
     linked: component_id is null and kept false. Repeated rows are each returned, with one
     component; a repeated doc_id with different texts follows each text. Other columns are not read.
     """
@@ -121,39 +176,71 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     classes = scratch.cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     lists = _candidates(classes, scratch)
 
-    edges = spark.createDataFrame([], "a long, b long")
-    tried = edges
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     close = lambda x, y: F.least(x, y) * OF >= F.greatest(x, y) * SIMILAR
-    member = None
-    for turn in range(STAR_ROUNDS + 1):
-        open_lists = lists
-        if turn:
-            known = lists.join(member.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-            mixed = known.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("v")
-            open_lists = scratch.cut(known.join(mixed, "v"), "open")
-        else:
-            open_lists = open_lists.withColumn("comp", F.col("cid"))
-        if turn < STAR_ROUNDS:
-            score = F.struct("central", F.col("cid")) if not turn else F.struct(F.hash("cid", F.lit(turn)), F.col("cid"))
-            mids = open_lists.groupBy("v").agg(F.max(F.struct(score.alias("s"), "n", "comp")).alias("m")).select("v", F.col("m.s.cid").alias("mid"), F.col("m.n").alias("mn"), F.col("m.comp").alias("mcomp"))
-            met = open_lists.join(mids, "v").filter((F.col("comp") != F.col("mcomp")) & close(F.col("n"), F.col("mn")))
-            found = met.select(*ordered("cid", "mid"))
+    labelled = lambda df: df.join(member.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+    # First every member of a list meets the most central one.
+    mids = lists.groupBy("v").agg(F.max(F.struct("central", "cid", "n")).alias("m")).select("v", F.col("m.cid").alias("b"), F.col("m.n").alias("bn"))
+    star = lists.join(mids, "v").filter((F.col("cid") != F.col("b")) & close(F.col("n"), F.col("bn"))).select(F.col("cid").alias("a"), "b").distinct()
+    first, used = _compare(star, classes, docs, scratch)
+    scratch.drop(used)
+    edges = first.filter("linked").select("a", "b")
+    member = components(edges, scratch)
+
+    # Lists across components: (v, band) holds sizes of three bands; `own` marks those of the first.
+    band = F.floor(F.log("n") / BAND + 1e-9)
+    spread = labelled(lists).withColumn("o", band).withColumn("d", F.explode(F.array(*map(F.lit, range(4))))).withColumn("band", F.col("o") - F.col("d")).withColumn("own", F.col("d") == 0)
+    mixed = spread.groupBy("v", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("own").alias("held"), F.max(F.struct("central", "cid")).alias("c")).filter("lo <> hi AND held").select("v", "band", F.col("c.cid").alias("c"))
+    groups = scratch.cut(spread.join(mixed, ["v", "band"]).select("v", "band", "own", "cid", "comp", "n", "need", "left", "c"), "groups")
+    second = None
+    for turn in range(CENTRES):
+        if turn:  # a further centre, one of those that came near none of the division's
+            nearby = second.select(F.col("a").alias("cid"), F.col("b").alias("c"), F.lit(True).alias("close"))
+            far = groups.join(centres, ["v", "band"]).join(nearby, ["cid", "c"], "left").groupBy("v", "band", "cid").agg(F.max(F.col("close").isNotNull() | (F.col("cid") == F.col("c"))).alias("close")).filter("NOT close")
+            more = far.groupBy("v", "band").agg(F.max(F.struct(F.hash("cid", F.lit(turn)).alias("h"), "cid")).alias("m"), F.count("*").alias("k")).filter("k > 2").select("v", "band", F.col("m.cid").alias("c"))
+            more = scratch.cut(more, "centres")
+            star = groups.join(more, ["v", "band"]).filter("cid <> c").select(F.col("cid").alias("a"), F.col("c").alias("b")).distinct().join(second, ["a", "b"], "left_anti")
+            found, used = _compare(star, classes, docs, scratch)
+            second, sets, centres = second.union(found), sets.union(used), centres.union(more)
         else:
-            x, y = (open_lists.select("v", *[F.col(c).alias(p + c) for c in ("cid", "n", "comp", "left", "need")]) for p in "xy")
-            met = x.join(y, "v").filter((F.col("xcid") < F.col("ycid")) & (F.col("xcomp") != F.col("ycomp")) & close(F.col("xn"), F.col("yn")) & (F.least("xleft", "yleft") >= F.greatest("xneed", "yneed")))
-            found = met.select(*ordered("xcid", "ycid"))
-        linked, pairs = _verify(found.distinct().join(tried, ["a", "b"], "left_anti"), classes, docs, scratch)
-        edges, tried = edges.union(linked), tried.union(pairs)
-        member = components(edges, scratch)
+            centres = groups.select("v", "band", "c").distinct()
+            star = groups.filter("cid <> c").select(F.col("cid").alias("a"), F.col("c").alias("b")).distinct()
+            second, sets = _compare(star, classes, docs, scratch)
+            groups = groups.withColumnRenamed("c", "c0")
+    edges = edges.union(second.filter("linked").select("a", "b"))
+    member = components(edges, scratch)
+
+    # Near a centre: those not linked to it, with all.
+    near = labelled(second.withColumnRenamed("a", "cid")).join(classes.select("cid", "n"), "cid").select(F.col("b").alias("c"), "cid", "comp", "n", "linked")
+    size = near.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / (BLOCK * 512))).alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_and("linked").alias("done")).filter("lo <> hi AND NOT done").select("c", "blocks")
+    near = near.join(size, "c").join(sets.dropDuplicates(["cid"]), "cid").withColumn("block", F.pmod(F.hash("cid"), "blocks"))
+    blocks = scratch.cut(near.groupBy("c", "block", "linked").agg(F.collect_list(F.struct("cid", "comp", "shingles")).alias("rows")), "blocks")
+    side = lambda df, p, *cs: df.select(*cs, *[F.col(c).alias(p + c) for c in df.columns if c not in cs])
+    met = side(blocks.filter("NOT linked"), "x", "c").join(side(blocks, "y", "c"), "c").filter("ylinked OR yblock >= xblock").select("xrows", "yrows")
+    crowd = scratch.cut(met.mapInArrow(_crowded, "a long, b long"), "crowd")
+    scratch.drop(blocks, *([sets] if hasattr(sets, "_axonframe_path") else []))
+    edges = edges.union(crowd)
+    member = components(edges, scratch)
+
+    # The others: with every member of the division.
+    flagged = second.select(F.col("a").alias("cid"), F.col("b").alias("c"), F.lit(True).alias("close"))
+    centres = second.groupBy(F.col("a").alias("cid")).agg(F.collect_set("b").alias("centres"))
+    known = labelled(groups.drop("comp").withColumnRenamed("c0", "c").filter("cid <> c")).join(flagged, ["cid", "c"], "left").join(centres, "cid", "left")
+    known = scratch.cut(known.withColumn("close", F.coalesce("close", F.lit(False))).withColumn("centres", F.coalesce("centres", F.expr("cast(array() as array<bigint>)"))), "known")
+    others = side(known.filter("NOT close").drop("c"), "x", "v", "band").join(side(known.drop("c"), "y", "v", "band"), ["v", "band"])
+    others = others.filter((F.col("xcomp") != F.col("ycomp")) & (F.col("xown") | F.col("yown")) & (F.col("yclose") | (F.col("xcid") < F.col("ycid"))) & close(F.col("xn"), F.col("yn")) & (F.least("xleft", "yleft") >= F.greatest("xneed", "yneed")) & ~F.arrays_overlap("xcentres", "ycentres"))
+    others = others.select(F.least("xcid", "ycid").alias("a"), F.greatest("xcid", "ycid").alias("b"))
+    third, used = _compare(others.distinct(), classes, docs, scratch)
+    scratch.drop(used)
+    edges = edges.union(third.filter("linked").select("a", "b"))
+    member = components(edges, scratch)
     ids = member.join(classes.select(F.col("cid").alias("node"), "rep_id"), "node")
     lowest = ids.groupBy("component").agg(F.min("rep_id").alias("component_id"))
-    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = ids.join(lowest, "component").join(degree, "node").select(F.col("node").alias("cid"), "component_id", "n_links")
-    named = classes.select("cid", "digest", "rep_id").join(named, "cid", "left").select("digest", F.coalesce("component_id", "rep_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    linked_rows = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(named, "digest").select("doc_id", "n_shingles", "component_id", "n_links")
-    alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return linked_rows.union(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "n_links")
+    named = ids.join(lowest, "component").select(F.col("node").alias("cid"), "component_id")
+    named = classes.select("cid", "digest", "rep_id").join(named, "cid", "left").select("digest", F.coalesce("component_id", "rep_id").alias("component_id"))
+    linked_rows = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(named, "digest").select("doc_id", "n_shingles", "component_id")
+    alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked_rows.union(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 OP1_SQL = r"""
