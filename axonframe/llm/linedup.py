@@ -12,9 +12,11 @@ fixed table of bits (``2**SEEN_BITS``) tells which tokens may occur twice: neith
 corpus, both are built from all of it, and neither can lose a match, since a bucket's count is
 never less than a token's.
 
-Equal sets form one class, so a very common line is one entry. In a list, members first meet only
-the earliest one, which settles groups of similar lines in linear time; those still unmatched meet
-every earlier member that the filters allow.
+Equal sets form one class, so a very common line is one entry. A class carries 128 bits, one set by
+each of its tokens; a bit that only one of two sets has is a token that only this one has, which
+rules out nearly all pairs before they make a row. In the list of a token that more than ``SHORT``
+classes share, members first meet only the earliest one, which settles groups of similar lines in
+linear time; those still unmatched meet every earlier member that the filters allow.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ SIMILAR, OF = 75, 100
 #: Lines with fewer distinct words are left alone.
 MIN_TOKENS = 5
 COUNT_BITS, SEEN_BITS = 20, 26
+#: Lists up to this length are joined with themselves at once.
+SHORT = 64
+#: A listed token is its hash's upper bits with its place in the lowest ones.
+PLACE_BITS = 20
 
 
 def _line_words(data: np.ndarray, offs: np.ndarray):
@@ -129,9 +135,15 @@ def _reader(shared):
                 keep = shared_token & partner[line] & (place <= (size - least)[line])
                 held = np.flatnonzero(partner)
                 cut = np.append(np.searchsorted(line[keep], held), int(keep.sum())).astype(np.int32)
+                tokens = (words[keep] >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | place[keep].astype(np.uint64)
+                bit = np.uint64(1) << (words & np.uint64(63))
+                half = (words >> np.uint64(6)) & np.uint64(1) > 0
+                begin = np.searchsorted(line, held)
+                # A line's tokens may be followed by those of lines that are left out; they set no bit.
+                sig = [np.bitwise_or.reduceat(np.where((half == h) & partner[line], bit, np.uint64(0)), begin) if len(held) else bit[:0] for h in (False, True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i + row[held]]), pa.array(number[held].astype(np.int32)), pa.array(d1[held].view(np.int64)), pa.array(d2[held].view(np.int64)), pa.array(size[held].astype(np.int32)), pa.ListArray.from_arrays(pa.array(cut), pa.array(words[keep].view(np.int64))), pa.ListArray.from_arrays(pa.array(cut), pa.array(place[keep].astype(np.int32)))],
-                    ["doc_id", "line_no", "d1", "d2", "n", "tokens", "places"],
+                    [pa.array(ids[i + row[held]]), pa.array(number[held].astype(np.int32)), pa.array(d1[held].view(np.int64)), pa.array(d2[held].view(np.int64)), pa.array(size[held].astype(np.int32)), pa.array(sig[0].view(np.int64)), pa.array(sig[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(tokens.view(np.int64)))],
+                    ["doc_id", "line_no", "d1", "d2", "n", "s1", "s2", "tokens"],
                 )
 
     return lines
@@ -191,30 +203,37 @@ def repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "linedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     shared = spark.sparkContext.broadcast(rarity_tables(docs, scratch))
-    lines = scratch.cut(docs.mapInArrow(_reader(shared), "doc_id long, line_no int, d1 long, d2 long, n int, tokens array<long>, places array<int>"), "lines")
-    heads = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("places").alias("places"))
-    classes = scratch.cut(heads.select("d1", "d2", "at.doc_id", "at.line_no", "n", "tokens", "places").withColumn("cid", F.monotonically_increasing_id()), "classes")
-
-    listed = classes.select("cid", "doc_id", "line_no", "n", F.explode(F.arrays_zip("tokens", "places")).alias("e"))
-    listed = listed.select(F.col("e.tokens").alias("v"), "cid", "doc_id", "line_no", "n", F.col("e.places").alias("place"), (F.col("e.places") <= F.col("n") - F.ceil(F.col("n") * 2 * SIMILAR / (OF + SIMILAR))).alias("short"))
-    met_twice = listed.groupBy("v").agg(F.count("*").alias("k"), F.max("short").alias("s")).filter("k > 1 AND s").select("v")
-    listed = scratch.cut(listed.join(met_twice, "v"), "lists")
-
-    def allowed(x: str, y: str):
-        """The filters on a pair that shares a listed token: index prefix of the shorter, lengths, places."""
-        xn, yn, xp, yp = (F.col(p + c) for c in ("n", "place") for p in (x, y))
+    lines = scratch.cut(docs.mapInArrow(_reader(shared), "doc_id long, line_no int, d1 long, d2 long, n int, s1 long, s2 long, tokens array<long>"), "lines")
+    heads = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "tokens")])
+    # Sorted before they are numbered, so a lower cid is an earlier line.
+    classes = scratch.cut(heads.select("d1", "d2", "at.doc_id", "at.line_no", "n", "s1", "s2", "tokens").sort("doc_id", "line_no").withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+    low = (1 << PLACE_BITS) - 1
+    listed = classes.select("cid", "n", "s1", "s2", F.explode("tokens").alias("e"))
+    listed = listed.select(F.expr(f"e & {~low}L").alias("v"), "cid", "n", F.expr(f"cast(e & {low} as int)").alias("place"), "s1", "s2")
+    index = F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * SIMILAR / (OF + SIMILAR))
+    size = listed.groupBy("v").agg(F.count("*").alias("k"), F.max(index).alias("s")).filter("k > 1 AND s").select("v", "k")
+    listed = listed.join(size, "v")
+    side = lambda df, p: df.select("v", *[F.col(c).alias(p + c) for c in ("cid", "n", "place", "s1", "s2")])
+
+    def met(xs: DataFrame, ys: DataFrame) -> DataFrame:
+        """Pairs (late, early) that share a listed token: the filters by length, by place and by the bits that one has alone."""
+        xn, yn, xp, yp = (F.col(p + c) for c in ("n", "place") for p in "xy")
         least = F.ceil((xn + yn) * SIMILAR / (OF + SIMILAR))
-        index = F.when(xn < yn, F.col(x + "short")).when(yn < xn, F.col(y + "short")).otherwise(F.col(x + "short") | F.col(y + "short"))
-        return index & (F.least(xn, yn) * OF >= F.greatest(xn, yn) * SIMILAR) & (F.least(xn - xp, yn - yp) >= least)
-
-    named = lambda df, p: df.select("v", *[F.col(c).alias(p + c) for c in ("cid", "doc_id", "line_no", "n", "place", "short")])
-    earlier = F.struct("ydoc_id", "yline_no") < F.struct("xdoc_id", "xline_no")
-    first = listed.groupBy("v", F.floor(F.log("n") / np.log(OF / SIMILAR) + 1e-9).alias("band")).agg(F.min(F.struct("doc_id", "line_no", "cid", "n", "place", "short")).alias("y")).select("v", F.col("y.cid").alias("cid"), F.col("y.doc_id").alias("doc_id"), F.col("y.line_no").alias("line_no"), F.col("y.n").alias("n"), F.col("y.place").alias("place"), F.col("y.short").alias("short"))
-    star = named(listed, "x").join(named(first, "y"), "v").filter(earlier & allowed("x", "y")).select(F.col("xcid").alias("late"), F.col("ycid").alias("early")).distinct()
-    similar, tried = _verify(star, classes, docs, scratch)
-    rest = scratch.cut(named(listed, "x").join(similar.select(F.col("late").alias("xcid")).distinct(), "xcid", "left_anti"), "rest")
-    pairs = rest.join(named(listed, "y"), "v").filter(earlier & allowed("x", "y")).select(F.col("xcid").alias("late"), F.col("ycid").alias("early")).distinct()
-    more, _ = _verify(pairs.join(tried, ["late", "early"], "left_anti"), classes, docs, scratch)
+        short = F.least(xn, yn)
+        place = F.when(xn < yn, xp).when(yn < xn, yp).otherwise(F.least(xp, yp))
+        alone = lambda a, b: sum(F.bit_count(F.col(a + s).bitwiseAND(F.bitwise_not(F.col(b + s)))) for s in ("s1", "s2"))
+        fits = (short * OF >= F.greatest(xn, yn) * SIMILAR) & (place <= short - F.ceil(short * 2 * SIMILAR / (OF + SIMILAR))) & (F.least(xn - xp, yn - yp) >= least)
+        fits &= (alone("x", "y") <= xn - least) & (alone("y", "x") <= yn - least)
+        return side(xs, "x").join(side(ys, "y"), "v").filter((F.col("ycid") < F.col("xcid")) & fits).select(F.col("xcid").alias("late"), F.col("ycid").alias("early"))
+
+    hot = scratch.cut(listed.filter(F.col("k") > SHORT), "hot")
+    cold = listed.filter(F.col("k") <= SHORT)
+    band = F.floor(F.log("n") / np.log(OF / SIMILAR) + 1e-9)
+    first = hot.groupBy("v", band.alias("band")).agg(F.min(F.struct("cid", "n", "place", "s1", "s2")).alias("y")).select("v", "y.*")
+    similar, tried = _verify(met(cold, cold).union(met(hot, first)).distinct(), classes, docs, scratch)
+    rest = hot.join(similar.select(F.col("late").alias("cid")).distinct(), "cid", "left_anti")
+    more, _ = _verify(met(rest, hot).distinct().join(tried, ["late", "early"], "left_anti"), classes, docs, scratch)
 
     late = similar.select("late").union(more.select("late")).distinct().select(F.col("late").alias("cid"), F.lit(True).alias("similar"))
     verdict = classes.join(late, "cid", "left").select("d1", "d2", F.col("doc_id").alias("head_doc"), F.col("line_no").alias("head_line"), "similar")
