@@ -182,7 +182,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scra
     """The similar ones of ``pairs`` (late, early) of class ids, and the pairs as tried."""
     pairs = scratch.cut(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("late", "early")).alias("cid")).distinct().join(classes.select("cid", "doc_id", "line_no", "d1"), "cid")
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "d1", "cid")).alias("wanted"))
+    wanted = scratch.cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "d1", "cid")).alias("wanted")), "wanted")
     sets = scratch.cut(docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_whole_sets, "cid long, tokens binary").dropDuplicates(["cid"]), "sets")
     met = pairs.join(sets.toDF("late", "x"), "late").join(sets.toDF("early", "y"), "early").select("late", "early", "x", "y")
     similar = scratch.cut(met.mapInArrow(_verified, "late long, early long"), "similar")

@@ -32,6 +32,8 @@ from .textkernel import digest128, long_lists, shingle_sets, text_blocks
 #: Values kept of a document, and shared values that any similar pair has at the least.
 K, NEED = 64, 28
 SIMILAR, OF = 75, 100
+#: Rows (of a few dozen bytes) of a table that is broadcast at most; its size is counted first.
+SENT = 50_000
 #: Centres that a division gets, where its members aren't near those it has.
 CENTRES = 3
 #: Rows of a block, about.
@@ -139,7 +141,9 @@ def _sketch_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(a, b, linked) of the pairs (a, b) of class ids that pass the sketch filter, and the sets (cid, shingles) of the texts involved, compared whole."""
     pairs = scratch.cut(_sketch_filter(pairs, classes), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep_id", "digest"), "cid")
+    wanted = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep_id", "digest"), "cid"), "wanted")
+    if wanted.count() <= SENT:  # else the texts are shuffled
+        wanted = F.broadcast(wanted)
     texts = docs.join(wanted, docs.doc_id == wanted.rep_id).select("cid", "digest", "text")
     sets = scratch.cut(texts.mapInArrow(_whole_sets, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
     met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")

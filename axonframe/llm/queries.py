@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linedup, minhash, quality, substring
+from . import decontam, linedup, minhash, mixing, quality, substring, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(spark, _docs(spark, sf_dir))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, _docs(spark, sf_dir), mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -33,9 +37,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.repeated_lines(spark, _docs(spark, sf_dir)).drop("d1")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op4_substring_dedup": op4_substring_dedup, "op7_decontaminate": op7_decontaminate, "op9_line_dedup": op9_line_dedup}
+    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op4_substring_dedup": op4_substring_dedup, "op5_mixing": op5_mixing, "op7_decontaminate": op7_decontaminate, "op9_line_dedup": op9_line_dedup, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": minhash.OP1_SQL, "op2_quality_rules": quality.OP2_SQL}
+    return {"op1_minhash": minhash.OP1_SQL, "op2_quality_rules": quality.OP2_SQL, "op10_warc": warc.OP10_SQL}

@@ -35,6 +35,8 @@ class Scratch:
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
+        # The plan that was cut may go, and with it its shuffle files, which Spark removes when its objects are collected.
+        self.spark._jvm.System.gc()
         out._axonframe_path = path
         return out
 
