@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linedup, minhash, mixing, quality, substring, warc
+from . import bytecnn, decontam, lattice, linedup, minhash, mixing, pii, quality, substring, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.ledger(_docs(spark, sf_dir)))
 
 
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(spark, _docs(spark, sf_dir))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(spark, _docs(spark, sf_dir))
 
@@ -29,10 +33,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, _docs(spark, sf_dir), mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytecnn.classify(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(spark, _docs(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.repeated_lines(spark, _docs(spark, sf_dir)).drop("d1")
 
@@ -42,7 +54,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_quality_rules": op2_quality_rules, "op4_substring_dedup": op4_substring_dedup, "op5_mixing": op5_mixing, "op7_decontaminate": op7_decontaminate, "op9_line_dedup": op9_line_dedup, "op10_warc": op10_warc}
+    every = (op1_minhash, op2_quality_rules, op3_lattice, op4_substring_dedup, op5_mixing, op6_byte_cnn, op7_decontaminate, op8_pii, op9_line_dedup, op10_warc)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
