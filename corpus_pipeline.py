@@ -11,6 +11,10 @@ from axonframe.llm import decontam, linedup, minhash, mixing, quality
 from axonframe.llm.scratch import Scratch
 
 
+#: Token shares of the domains that are left after the quality rules.
+TARGETS = {"clean": 0.95, "toxic": 0.05}
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy rejects go."""
     return quality.keep_clean(docs)
@@ -34,8 +38,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_rates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that have a positive rate, with their rates."""
-    labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.mix(spark, docs, labels).filter("rate > 0")
+    labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")).filter(F.col("domain").isin(list(TARGETS)))
+    return mixing.mix(spark, docs, labels, TARGETS).filter("rate > 0")
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing_rates)]
