@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .scratch import Scratch
 
 #: Hashed word buckets of the classifier.
-BUCKETS = 8192
+BUCKETS = 32768
 #: Labelled rows that the classifier learns from, at most: those with the smallest hashes of doc_id.
 TRAIN_ROWS = 20_000
 #: Iterations at most, and the relative residual, or its change, that ends them.
