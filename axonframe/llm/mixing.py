@@ -137,13 +137,15 @@ def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict
     """(doc_id, source, n_tokens, p_<domain>..., rate, copies) of every row of ``docs`` (doc_id, text, source).
 
     ``targets`` gives the share of the corpus's tokens for each domain of ``labelled`` (doc_id,
-    domain). ``copies`` is the rate rounded up or down by a hash of the doc_id, so that it holds on
+    domain); a domain without a labelled row is not aimed at, and the other shares are scaled to one. ``copies`` is the rate rounded up or down by a hash of the doc_id, so that it holds on
     average. Empty and null texts weigh nothing and keep their prior's rate; rows with a null
     doc_id and repeated rows are rated like any other; without labels all posteriors are equal.
     """
     scratch = Scratch(spark, "mixing")
     book = scratch.cut(posteriors(docs, labelled, list(targets), ["doc_id", "source"]), "posteriors")
-    rate, _, _ = fit_rates(book, targets)
+    taught = {r.domain for r in labelled.filter(F.col("domain").isin(list(targets))).select("domain").distinct().collect()} or set(targets)
+    whole = sum(targets[d] for d in taught)
+    rate, _, _ = fit_rates(book, {d: x / whole for d, x in targets.items() if d in taught})
     rated = book.withColumn("rate", rate)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     return rated.withColumn("copies", (F.floor("rate") + F.when(part < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
