@@ -32,6 +32,8 @@ from .textkernel import digest128, long_lists, shingle_sets, text_blocks
 #: Values kept of a document, and shared values that any similar pair has at the least.
 K, NEED = 64, 28
 SIMILAR, OF = 75, 100
+#: Sketches hold values with this bit flipped: as signed longs they sort like the unsigned numbers.
+TOP = np.uint64(1 << 63)
 #: Rows (of a few dozen bytes) of a table that is broadcast at most; its size is counted first.
 SENT = 50_000
 #: Centres that a division gets, where its members aren't near those it has.
@@ -50,7 +52,7 @@ def _sketches(batches):
         for i, j, data, offs in text_blocks(batch.column(1)):
             sets = list(shingle_sets(data, offs))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest128(s) for s in sets], pa.binary()), long_lists([s[:K] for s in sets])],
+                [ids.slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest128(s) for s in sets], pa.binary()), long_lists([s[:K] ^ TOP for s in sets])],
                 ["doc_id", "n_shingles", "digest", "sketch"],
             )
 

@@ -250,3 +250,14 @@ def test_pipeline_keeps_columns(spark, tmp_path):
     spark.createDataFrame([(1, _prose(7, 40))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 50 not in ids and 1 not in ids and len(ids) >= 15
+
+
+def test_minhash_links_contained_texts(spark):
+    rows = []
+    for pair, (few, many) in enumerate([(60, 80), (64, 85), (70, 93), (75, 100), (64, 80), (64, 86)] * 6):
+        words = _prose(900 + pair, many + 4).split()
+        rows += [(2 * pair, " ".join(words[: few + 4]), "en"), (2 * pair + 1, " ".join(words), "en")]
+    sets = {i: _shingles(t) for i, t, _ in rows}
+    similar = {i for i in range(0, len(rows), 2) if 100 * len(sets[i] & sets[i + 1]) >= 75 * len(sets[i] | sets[i + 1])}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark, _docs(spark, rows)).collect()}
+    assert len(similar) == 30 and {i for i in got if i % 2 and got[i] == i - 1} == {i + 1 for i in similar}
