@@ -1,28 +1,56 @@
-"""Repeated passages: sentences and lines are hashed, and all but the earliest occurrence go.
+"""Repeated passages: sentences, lines and runs of words are hashed, and all but the earliest occurrence go.
 
 A unit starts at each start of a sentence or line and runs over whole sentences, within a line,
-until it has ``MIN_WORDS`` words; a passage is found wherever in a line it stands. Words are
-normalised (A-Z lower-cased, white space and ``.,;:!?"()[]{}`` between words left out). Digests are
-grouped over the whole corpus: a 64-bit one first, and the full 128 bits on what repeats. The
-occurrence that is first by (doc_id, start) stays; the others are given with their code-point
-offsets in the original text.
+until it has ``MIN_WORDS`` words. Besides these, seeds of ``SEED`` words stand anywhere and run over
+line breaks: of each ``AMONG`` successive starts the one with the least hash is taken, so two equal
+runs of ``RUN`` words or more have a seed in common, and seeds lie close enough to overlap. What such
+a run has before its first or after its last seed is less than ``AMONG`` words; where the found seeds
+end, every occurrence of them is read anew and all windows of ``SEED`` words there are compared, so
+the whole run is found. Words are normalised (A-Z lower-cased, white space and ``.,;:!?"()[]{}``
+between words left out). Digests are grouped over the whole corpus: a 64-bit one first, and the full
+128 bits on what repeats. The occurrence that is first by (doc_id, start) stays; the others are given
+with their code-point offsets in the original text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .scratch import Scratch
 from .textkernel import LOWER, SOFT_GAP, code_points, find_words, hash_runs, hash_spans, mix64, sentence_numbers, text_blocks
 
 MIN_WORDS = 16
+#: Every repeated run of so many words is found whole.
+RUN = 50
+SEED = 33
+AMONG = RUN - SEED + 1
+_UNIT = "d1 long, d2 long, doc_id long, start int, end int, n_words int, key long, pos int, rest int"
+
+
+def _batch(ids, keys, begin, end, row, pos, rest, words, cp, starts, ends, offs):
+    """Units of words [begin, end); ``pos`` is null for those that are no runs of SEED words."""
+    base = cp[offs[row]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(hash_runs(words, begin, end).view(np.int64)), pa.array(hash_runs(mix64(words ^ np.uint64(0x5DEECE66D)), begin, end).view(np.int64)), pa.array(ids), pa.array((cp[starts[begin]] - base).astype(np.int32)), pa.array((cp[ends[end - 1]] - base).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(keys), pa.array(pos, pa.int32()), pa.array(rest, pa.int32())],
+        ["d1", "d2", "doc_id", "start", "end", "n_words", "key", "pos", "rest"],
+    )
+
+
+def _seeds(words, row, at):
+    """First words of the seeds: the least hash, the last of equal ones, among each AMONG starts in a row."""
+    begin = np.flatnonzero(np.arange(len(words)) + SEED <= at[1:][row])
+    if len(begin) < AMONG:
+        return begin[:0]
+    hashes = hash_runs(words, begin, begin + SEED)
+    least = np.arange(len(begin) - AMONG + 1) + AMONG - 1 - np.argmin(np.lib.stride_tricks.sliding_window_view(hashes, AMONG)[:, ::-1], axis=1)
+    return begin[np.unique(least[row[begin[: len(least)]] == row[begin[AMONG - 1 :]]])]
 
 
 def _units(batches):
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
         for i, _, data, offs in text_blocks(batch.column(1)):
             lower = LOWER[data]
             starts, ends, at = find_words(lower, offs, SOFT_GAP)
@@ -43,30 +71,71 @@ def _units(batches):
             begin, end = begin[long], end[long]
             words = hash_spans(lower, starts, ends)
             cp = code_points(data)
-            base = cp[offs[row[begin]]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hash_runs(words, begin, end).view(np.int64)), pa.array(hash_runs(mix64(words ^ np.uint64(0x5DEECE66D)), begin, end).view(np.int64)), pa.array(ids[i + row[begin]]), pa.array((cp[starts[begin]] - base).astype(np.int32)), pa.array((cp[ends[end - 1]] - base).astype(np.int32)), pa.array((end - begin).astype(np.int32))],
-                ["d1", "d2", "doc_id", "start", "end", "n_words"],
-            )
+            at_row = i + row[begin]
+            none = np.full(len(begin), None)
+            yield _batch(ids[at_row], keys[at_row], begin, end, row[begin], none, none, words, cp, starts, ends, offs)
+            begin = _seeds(words, row, at)
+            first, at_row = at[row[begin]], i + row[begin]
+            yield _batch(ids[at_row], keys[at_row], begin, begin + SEED, row[begin], begin - first, at[row[begin] + 1] - SEED - begin, words, cp, starts, ends, offs)
+
+
+def _edges(batches):
+    """(doc_id, text, key, seeds: list of (pos, left, right)): the windows of SEED words beside the seeds."""
+    for batch in batches:
+        ids, keys, seeds = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3)
+        for i, j, data, offs in text_blocks(batch.column(1)):
+            lower = LOWER[data]
+            starts, ends, at = find_words(lower, offs, SOFT_GAP)
+            words, cp = hash_spans(lower, starts, ends), code_points(data)
+            begin, row = [], []
+            for k in range(i, j):
+                z = seeds[k].values
+                pos, last = z.field("pos").to_numpy(), at[k - i + 1] - at[k - i] - SEED
+                near = np.zeros(last + 1, bool)
+                for side, step in (("left", -1), ("right", 1)):
+                    p = pos[z.field(side).to_numpy(zero_copy_only=False)]
+                    near[(p[:, None] + step * np.arange(AMONG)).clip(0, last).ravel()] = True
+                begin.append(at[k - i] + np.flatnonzero(near))
+                row.append(np.full(len(begin[-1]), k - i))
+            begin, row = np.concatenate(begin), np.concatenate(row)
+            yield _batch(ids[i + row], keys[i + row], begin, begin + SEED, row, begin - at[row], at[row + 1] - SEED - begin, words, cp, starts, ends, offs)
+
+
+def _met(units: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Units whose 64-bit digest repeats, and those of them that an earlier one equals, with kept_doc_id and kept_start.
+
+    A unit that overlaps the earliest one in the same text is no repetition of it.
+    """
+    twice = units.groupBy("d1").agg(F.count("*").alias("n")).filter("n > 1").select("d1")
+    met = scratch.cut(units.join(twice, "d1"), name)
+    first = met.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start", "end", "key")).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    found = met.join(first, ["d1", "d2"]).filter("doc_id <> kept.doc_id OR start >= kept.end OR (key <> kept.key AND start <> kept.start)")
+    return met, found.withColumn("kept_doc_id", F.col("kept.doc_id")).withColumn("kept_start", F.col("kept.start")).drop("kept")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, n_words, kept_doc_id, kept_start, digest) of every unit of ``docs`` (doc_id, text) that an earlier one equals.
 
-    Offsets count code points, end exclusive; units of one document may overlap. Null and empty
+    The rows of a document cover every run of ``RUN`` words or more that stands earlier. Offsets count code points, end exclusive; units of one document may overlap. Null and empty
     texts have no units and rows with a null doc_id take no part. Rows repeated whole (one doc_id
     and text) count once; a repeated doc_id with different texts is ranked by its offsets. Other
     columns are not read.
     """
     scratch = Scratch(spark, "substring")
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    units = given.mapInArrow(_units, "d1 long, d2 long, doc_id long, start int, end int, n_words int")
-    twice = units.groupBy("d1").agg(F.count("*").alias("n")).filter("n > 1").select("d1")
-    met = scratch.cut(units.join(twice, "d1"), "met")
-    first = met.groupBy("d1", "d2").agg(F.min("doc_id").alias("kept_doc_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    near = met.join(first, ["d1", "d2"])
-    at = near.filter("doc_id = kept_doc_id").groupBy("d1", "d2").agg(F.min("start").alias("kept_start"), F.first("kept_doc_id").alias("kept_doc_id"))
-    found = met.join(at, ["d1", "d2"]).filter("doc_id <> kept_doc_id OR start <> kept_start")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("key", F.xxhash64("text"))
+    met, found = _met(given.mapInArrow(_units, _UNIT), scratch, "met")
+    # Ends of the stretches that found seeds cover, and the seeds from which such an end is near.
+    doc = Window.partitionBy("doc_id", "key").orderBy("pos")
+    chain = found.filter("pos IS NOT NULL").withColumn("new", F.coalesce((F.col("pos") - F.lag("pos").over(doc) > SEED).cast("int"), F.lit(0)))
+    chain = chain.withColumn("chain", F.sum("new").over(doc))
+    whole = Window.partitionBy("doc_id", "key", "chain")
+    chain = chain.withColumn("lo", F.min("pos").over(whole)).withColumn("hi", F.max("pos").over(whole))
+    chain = chain.withColumn("left", F.col("lo") > F.greatest(F.lit(0), F.col("pos") - AMONG + 1)).withColumn("right", F.col("hi") < F.col("pos") + F.least(F.lit(AMONG - 1), F.col("rest")))
+    ends = chain.filter("left OR right").groupBy("d1", "d2").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    beside = met.filter("pos IS NOT NULL").join(ends, ["d1", "d2"]).groupBy("doc_id", "key").agg(F.collect_set(F.struct("pos", "left", "right")).alias("seeds"))
+    texts = given.join(beside, ["doc_id", "key"]).select("doc_id", "text", "key", "seeds")
+    edges = scratch.cut(texts.mapInArrow(_edges, _UNIT), "edges")
+    found = found.unionByName(_met(edges, scratch, "edges_met")[1])
     return found.select("doc_id", "start", "end", F.col("n_words").cast("long").alias("n_words"), "kept_doc_id", "kept_start", F.concat(F.lower(F.lpad(F.hex("d1"), 16, "0")), F.lower(F.lpad(F.hex("d2"), 16, "0"))).alias("digest")).dropDuplicates(["doc_id", "start", "end", "digest"])
 
 

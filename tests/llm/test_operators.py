@@ -261,3 +261,25 @@ def test_minhash_links_contained_texts(spark):
     similar = {i for i in range(0, len(rows), 2) if 100 * len(sets[i] & sets[i + 1]) >= 75 * len(sets[i] | sets[i + 1])}
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark, _docs(spark, rows)).collect()}
     assert len(similar) == 30 and {i for i in got if i % 2 and got[i] == i - 1} == {i + 1 for i in similar}
+
+
+def test_substring_covers_every_run_of_50_words(spark):
+    a, b, c = (_prose(700 + k, n).split() for k, n in enumerate((50, 52, 130)))
+    stray = itertools.count(800)
+    own = lambda n: _prose(next(stray), n).split()
+    wrap = lambda words: "\n".join(" ".join(words[k : k + 7]) for k in range(0, len(words), 7))
+    texts = [" ".join(own(9) + a + own(30)), " ".join(own(30) + a + own(3)), wrap(own(11) + b + own(20)), wrap(own(4) + b + own(40)), " ".join(own(5) + c[20:90] + own(30) + c[100:]), wrap(c), " ".join(own(20) + c[35:] + own(9)), " ".join(own(2) + b[1:] + own(30)), " ".join(own(3) + c[40:58] + own(40))]
+    words = [t.split() for t in texts]
+    seen, want = set(), []
+    for i, w in enumerate(words):
+        windows = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        want += [(i, k + m) for k, x in enumerate(windows) if x in seen for m in range(50)]
+        seen |= set(windows)
+    docs = _docs(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    got = set()
+    for r in substring.repeated_passages(spark, docs).collect():
+        first, n = len(texts[r.doc_id][: r.start].split()), len(texts[r.doc_id][r.start : r.end].split())
+        kept = len(texts[r.kept_doc_id][: r.kept_start].split())
+        assert words[r.doc_id][first : first + n] == words[r.kept_doc_id][kept : kept + n] and n == r.n_words
+        got |= {(r.doc_id, first + k) for k in range(n)}
+    assert {i for i, _ in want} == {1, 3, 5, 6, 7} and set(want) <= got and not any(i in (0, 2, 4, 8) for i, _ in got)
