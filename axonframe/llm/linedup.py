@@ -29,8 +29,6 @@ from .scratch import Scratch
 from .textkernel import BYTE_KEY, GAP, LOWER, find_words, hash_spans, mix64, text_blocks
 
 SIMILAR, OF = 75, 100
-#: Lines with fewer distinct words are left alone.
-MIN_TOKENS = 5
 COUNT_BITS, SEEN_BITS = 20, 26
 #: Lists up to this length are joined with themselves at once.
 SHORT = 64
@@ -131,7 +129,7 @@ def _reader(shared):
                 shared_token = (seen[fine >> 5] >> (fine & 31).astype(np.uint32)) & np.uint32(1) > 0
                 least = -(-size * SIMILAR // OF)
                 met = np.bincount(line, shared_token, minlength=len(row))
-                partner = (size >= MIN_TOKENS) & (met >= least)
+                partner = (size > 0) & (met >= least)
                 keep = shared_token & partner[line] & (place <= (size - least)[line])
                 held = np.flatnonzero(partner)
                 cut = np.append(np.searchsorted(line[keep], held), int(keep.sum())).astype(np.int32)
@@ -194,7 +192,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, n_tokens, exact, d1) of the lines of ``docs`` (doc_id, text) that repeat an earlier one.
 
     Lines are split at ``\\n`` and numbered from 0; tokens are the distinct words after lower-casing
-    A-Z. A line with ``MIN_TOKENS`` tokens or more repeats an earlier line, in order of (doc_id,
+    A-Z. A line with a word repeats an earlier line, in order of (doc_id,
     line_no), if their Jaccard similarity is at least 0.75; ``exact`` tells that an earlier line has
     the same set. Null texts have no lines; rows with a null doc_id take no part. Repeated rows (one
     doc_id and text) are treated alike, and a line is never its own repetition. ``d1`` identifies

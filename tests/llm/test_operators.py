@@ -283,3 +283,16 @@ def test_substring_covers_every_run_of_50_words(spark):
         assert words[r.doc_id][first : first + n] == words[r.kept_doc_id][kept : kept + n] and n == r.n_words
         got |= {(r.doc_id, first + k) for k in range(n)}
     assert {i for i, _ in want} == {1, 3, 5, 6, 7} and set(want) <= got and not any(i in (0, 2, 4, 8) for i, _ in got)
+
+
+def test_line_dedup_takes_short_lines(spark):
+    lines = ["one", "two three", "a b c", "a b c d", "a b c d e", "buy now buy now buy now", "", "Three TWO", "ONE", "c b a", "d c b a", "now buy", "alone here", " ", "one two", "a b x"]
+    rows = [(i, "\n".join(lines[i * 4 : i * 4 + 4]), "en") for i in range(4)]
+    every = [(i, k, _shingle_words(line)) for i, t, _ in rows for k, line in enumerate(t.split("\n"))]
+    want = {(i, k) for p, (i, k, s) in enumerate(every) if s and any(100 * len(s & o) >= 75 * len(s | o) for _, _, o in every[:p] if o)}
+    got = linedup.repeated_lines(spark, _docs(spark, rows)).collect()
+    assert {(r.doc_id, r.line_no) for r in got} == want and len(want) == 7
+
+
+def _shingle_words(line):
+    return frozenset(line.lower().split())
