@@ -127,7 +127,7 @@ def q_degrees(spark, sf):
 
 @_query("SELECT id, n_spikes, last_t, n_spikes > 0 AS ever FROM (SELECT p.id, count(neuron_id) AS n_spikes, coalesce(max(t_ms), -1e9) AS last_t FROM population p LEFT JOIN spikes s ON s.neuron_id = p.id GROUP BY 1)", "population", "spikes")
 def q_spike_bookkeeping(spark, sf):
-    last = activity.last_spikes(T.spikes(spark, sf), RUN_MS).select("id", "last_t")
+    last = activity.last_spikes(T.spikes(spark, sf), float("inf")).select("id", "last_t")
     return _rated(spark, sf).join(last, "id", "left").select("id", "n_spikes", F.coalesce("last_t", F.lit(-1e9)).alias("last_t"), (F.col("n_spikes") > 0).alias("ever"))
 
 

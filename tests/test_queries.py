@@ -66,3 +66,10 @@ def test_empty_network(spark):
     none = spark.createDataFrame([], "id long, network_id long, excitatory boolean, v double")
     spikes, edges = spark.createDataFrame([], "neuron_id long, t_ms double"), spark.createDataFrame([], "src_id long, tgt_id long, weight double")
     assert activity.network_stats(none, spikes, edges, 10.0).count() == 0
+
+
+def test_bookkeeping_has_no_last_moment(spark, tmp_path):
+    spark.createDataFrame([(1, 0, 0.0), (2, 0, 0.0), (3, 0, 0.0)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 5), (1, 250_000), (2, 100_001)], "user_id long, event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.id, r.n_spikes, r.last_t, r.ever) for r in Q.q_spike_bookkeeping(spark, str(tmp_path)).collect())
+    assert got == [(1, 2, 250_000.0, True), (2, 1, 100_001.0, True), (3, 0, -1e9, False)]
