@@ -33,6 +33,20 @@ RADII = {"pyramidal": 9, "interneuron": 7, "motor": 12, "sensory": 8, "purkinje"
 STOPS = [(0.00, 40, 0, 80), (0.15, 0, 20, 120), (0.35, 0, 100, 200), (0.50, 0, 180, 120), (0.65, 30, 220, 60), (0.75, 220, 200, 0), (0.88, 255, 100, 0), (1.00, 255, 240, 20)]
 
 
+#: What a client may choose from.
+CATALOG = {
+    "neuron_types": ["pyramidal", "interneuron", "motor", "sensory", "purkinje", "granule", "custom"],
+    "synapse_types": ["ampa", "nmda", "gaba_a", "gaba_b", "custom"],
+    "stimulus_types": ["constant", "pulse", "ramp", "sinusoidal", "random"],
+    "fitness_fns": ["max_firing_rate", "target_20hz", "target_10hz", "synchrony", "diversity", "efficiency"],
+    "topologies": ["random", "small_world", "scale_free", "layered"],
+    "models": ["hh", "lif", "izh"],
+}
+#: The fields of a neuron's parameters that are no numbers, with their types and defaults.
+CHOICES = {"model": ("string", "izh"), "neuron_type": ("string", "pyramidal"), "excitatory": ("boolean", True), "myelinated": ("boolean", False)}
+PARAMS = {**CHOICES, **{k: ("double", x) for k, x in DEFAULTS.items()}}
+
+
 def presets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRESETS, PRESET_COLUMNS)
 

@@ -32,11 +32,17 @@ def last_spikes(spikes: DataFrame, at: float) -> DataFrame:
     return spikes.filter(F.col("t_ms") <= at).groupBy(F.col("neuron_id").alias("id")).agg(F.max("t_ms").alias("last_t")).withColumn("fired", F.col("last_t") == at)
 
 
+def clamped(weight: Column) -> Column:
+    """A weight within [0, 10]."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(10.0), weight))
+
+
 def plasticity(edges: DataFrame, last: DataFrame, at: float, up: float = 0.01, down: float = 0.012, tau: float = 20.0, hebbian: bool = False) -> DataFrame:
     """``edges`` with weights moved by the spikes at ``at`` and kept within [0, 10].
 
     A source that fires alone strengthens an edge, a target that fires alone weakens it, by the
-    time since the other end's last spike; ``hebbian`` swaps the two.
+    time since the other end's last spike; ``hebbian`` swaps the two. If no neuron fires at ``at``,
+    nothing is moved or clamped.
     """
     side = lambda end, p: last.select(F.col("id").alias(end), F.col("last_t").alias(f"{p}_t"), F.col("fired").alias(f"{p}_fired"))
     met = edges.join(side("src_id", "s"), "src_id", "left").join(side("tgt_id", "t"), "tgt_id", "left")
@@ -46,7 +52,9 @@ def plasticity(edges: DataFrame, last: DataFrame, at: float, up: float = 0.01, d
     if hebbian:
         plus, minus = -down * trace("t_t"), -up * trace("s_t")
     moved = F.col("weight") + F.when(src & ~tgt, plus).when(tgt & ~src, -minus).otherwise(0.0)
-    return met.select(*[c for c in edges.columns if c != "weight"], F.greatest(F.lit(0.0), F.least(F.lit(10.0), moved)).alias("weight"))
+    any_fired = last.select(F.coalesce(F.max("fired"), F.lit(False))).scalar()
+    weight = F.when(any_fired, clamped(moved)).otherwise(F.col("weight"))
+    return met.select(*[c for c in edges.columns if c != "weight"], weight.alias("weight"))
 
 
 def rates(nodes: DataFrame, spikes: DataFrame, t: float) -> DataFrame:
@@ -62,13 +70,26 @@ def synchrony() -> Column:
     return F.when(F.count("*") <= 1, 1.0).otherwise(1.0 - F.least(F.lit(1.0), F.stddev_pop(r) / (F.avg(r) + 1e-6)))
 
 
-def fitness(name: str, target: float = 10.0) -> Column:
+#: The fitness functions by their names, over rows of rates (rate, n_spikes) and the network's weight (total_weight).
+FITNESS = {
+    "max_firing_rate": lambda: F.avg("rate"),
+    "target_20hz": lambda: -F.abs(F.avg("rate") - 20.0),
+    "target_10hz": lambda: -F.abs(F.avg("rate") - 10.0),
+    "synchrony": lambda: F.round(synchrony(), 3),
+    "diversity": lambda: F.when(F.count("*") < 2, 0.0).otherwise(F.stddev_pop("rate") / (F.avg("rate") + 1e-6)),
+    "efficiency": lambda: F.sum("n_spikes") / (F.max("total_weight") + 1e-6),
+}
+
+
+def fitness(name: str) -> Column:
     """A fitness of rates by its name; an unknown name gives the mean rate."""
-    made = {
-        "target_rate_10": lambda: -F.abs(F.avg("rate") - 10.0), "target_rate_20": lambda: -F.abs(F.avg("rate") - 20.0), "synchrony": lambda: F.round(synchrony(), 3),
-        "diversity": lambda: F.when(F.count("*") < 2, 0.0).otherwise(F.stddev_pop("rate") / (F.avg("rate") + 1e-6)),
-    }
-    return made.get(name, lambda: F.avg("rate"))()
+    return FITNESS.get(name, FITNESS["max_firing_rate"])()
+
+
+def network_weights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(network_id, total_weight): the weights of the edges that start in each network."""
+    met = edges.join(nodes.select(F.col("id").alias("src_id"), "network_id"), "src_id").groupBy("network_id").agg(F.sum("weight").alias("total_weight"))
+    return nodes.select("network_id").distinct().join(met, "network_id", "left").select("network_id", F.coalesce("total_weight", F.lit(0.0)).alias("total_weight"))
 
 
 def network_stats(nodes: DataFrame, spikes: DataFrame, edges: DataFrame, t: float) -> DataFrame:

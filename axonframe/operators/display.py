@@ -50,3 +50,26 @@ def merge_state(kept: DataFrame, updates: DataFrame, key: str, order: str, colum
 def frames(spikes: DataFrame, width: float = 20.0) -> DataFrame:
     """(frame, n_spikes, ids): what falls into each frame of ``width`` ms."""
     return spikes.groupBy(F.floor(F.col("t_ms") / width).alias("frame")).agg(F.count("*").alias("n_spikes"), F.array_join(F.transform(F.sort_array(F.collect_list("neuron_id")), lambda x: x.cast("string")), ",").alias("ids"))
+
+
+def frame_rows(nodes: DataFrame, edges: DataFrame, spikes: DataFrame) -> DataFrame:
+    """(part, id, other, value, flag): a state frame as rows, so that it is no larger than a row however large the network.
+
+    Nodes give (id, v, firing), edges (src, tgt, weight, active) and spikes (id, t).
+    """
+    none, off = F.lit(None).cast("long"), F.lit(None).cast("boolean")
+    parts = [
+        nodes.select(F.lit("neuron").alias("part"), "id", none.alias("other"), F.round("v", 2).alias("value"), F.col("firing").alias("flag")),
+        edges.select(F.lit("synapse").alias("part"), F.col("src_id").alias("id"), F.col("tgt_id").alias("other"), F.round("weight", 3).alias("value"), F.col("active").alias("flag")),
+        spikes.select(F.lit("spike").alias("part"), F.col("neuron_id").alias("id"), none.alias("other"), F.round("t_ms", 2).alias("value"), off.alias("flag")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def anchored_frame(t, dt: float = 0.3, every: float = 20.0):
+    """The number of the frame that ``t`` falls into where a frame ends with the first step of ``dt`` that is ``every`` ms or more from its start.
+
+    Each frame starts where the one before was sent, so a frame is a whole number of steps.
+    """
+    steps = -int(-round(every / dt, 9) // 1)
+    return F.floor(F.floor(F.round(t / dt, 6)) / steps)

@@ -85,3 +85,40 @@ def grow(nodes: DataFrame, mean_rates: DataFrame, least_rate: float = 0.05, most
     near = nodes.join(quiet, "network_id").withColumn("draw", uniform(seed, "next_id", "id"))
     near = near.withColumn("rn", F.row_number().over(Window.partitionBy("network_id").orderBy("draw", "id"))).filter(F.col("rn") <= links)
     return near.select("network_id", F.col("next_id").alias("new_id"), F.col("id").alias("src_id"), (0.5 + 1.5 * uniform(seed + "w", "next_id", "id")).alias("weight"), (0.5 + 1.5 * uniform(seed + "d", "next_id", "id")).alias("distance"))
+
+
+def silent(counted: DataFrame, t: float, after: float = 2000.0) -> DataFrame:
+    """The ids of the nodes that have not fired at all (n_spikes 0), once the clock has passed ``after``."""
+    return counted.filter((F.col("n_spikes") == 0) & F.lit(t > after)).select("id")
+
+
+def structural_step(counted: DataFrame, edges: DataFrame, t: float, least_weight: float = 0.05, after: float = 2000.0, least_rate: float = 0.05, most: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and a report of each network after weak edges and silent nodes go and quiet networks grow.
+
+    ``counted`` has (id, network_id, n_spikes). Silent nodes take their edges along; a network whose
+    remaining mean rate is low gets one new node, with edges of type ampa from a few others.
+    """
+    kept = prune_edges(edges, least_weight)
+    gone = silent(counted, t, after)
+    left = counted.join(gone, "id", "left_anti")
+    for end in ("src_id", "tgt_id"):
+        kept = kept.join(gone.withColumnRenamed("id", end), end, "left_anti")
+    last = counted.select(F.max("id")).scalar()
+    per = left.groupBy("network_id").agg((F.sum("n_spikes") / F.lit(max(t, 1.0)) * 1000.0 / F.count("*")).alias("mean_rate"), F.count("*").alias("n"))
+    # New ids follow the largest one, in the order of the networks.
+    quiet = per.filter((F.col("mean_rate") < least_rate) & (F.col("n") < most))
+    number = F.count("*").alias("number")
+    place = quiet.alias("q").join(quiet.select(F.col("network_id").alias("before")), F.col("before") <= F.col("network_id")).groupBy("network_id").agg(number)
+    means = per.join(place, "network_id").select("network_id", "mean_rate", "n", (last + F.col("number")).alias("next_id"))
+    grown = grow(left.select("id", "network_id"), means, least_rate, most)
+    fresh = means.select(F.col("next_id").alias("id"), "network_id", F.lit(0).cast("long").alias("n_spikes"))
+    new_edges = grown.select("src_id", F.col("new_id").alias("tgt_id"), "weight", "distance", F.lit("ampa").alias("syn_type"))
+    home = counted.select(F.col("id").alias("src_id"), "network_id")
+    weak = edges.filter(F.col("weight") < least_weight).join(home, "src_id").groupBy("network_id").agg(F.count("*").alias("pruned_synapses"))
+    mute = counted.join(gone, "id", "left_semi").groupBy("network_id").agg(F.count("*").alias("pruned_neurons"))
+    added = means.select("network_id", F.lit(1).cast("long").alias("added_neurons"))
+    report = counted.select("network_id").distinct()
+    for part in (weak, mute, added):
+        report = report.join(part, "network_id", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("pruned_synapses", "pruned_neurons", "added_neurons")]
+    return left.select("id", "network_id", "n_spikes").unionByName(fresh), kept.select("src_id", "tgt_id", "weight", "distance", "syn_type").unionByName(new_edges), report.select("network_id", *counts)

@@ -84,6 +84,19 @@ def scale_free(networks: DataFrame, m: int = 2) -> DataFrame:
     return spread.mapInArrow(grow, "network_id long, src_id long, tgt_id long")
 
 
+def build(spark: SparkSession, config: dict) -> DataFrame:
+    """(src_id, tgt_id): the edges of one network as ``config`` describes it; an unknown topology is a random one."""
+    n, kind = config.get("n_neurons", 20), config.get("topology", "random")
+    if kind == "small_world":
+        return small_world(spark, n, config.get("sw_k", 4), config.get("sw_beta", 0.3))
+    if kind == "layered":
+        return layered(spark, config.get("layer_sizes") or [5, 10, 5], config.get("connect_prob", 0.2), config.get("exc_ratio", 0.8))[1]
+    if kind == "scale_free":
+        one = spark.range(1).select(F.lit(0).cast("long").alias("network_id"), F.lit(n).cast("long").alias("n"))
+        return scale_free(one, config.get("sf_m", 2)).select("src_id", "tgt_id")
+    return random_edges(spark.range(n).select("id", F.lit(0).alias("network_id")), config.get("connect_prob", 0.2)).select("src_id", "tgt_id")
+
+
 def roulette(items: DataFrame, group: str, item: str, weight: str, seed: str = "rw") -> DataFrame:
     """(group, item): one item of each group, drawn by weight along the running sum."""
     run = items.withColumn("upto", F.sum(weight).over(Window.partitionBy(group).orderBy(item).rowsBetween(Window.unboundedPreceding, 0)))

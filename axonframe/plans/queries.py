@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import kernels
-from ..functions.presets import DEFAULTS, GENES, IZH_PRESETS, PRESETS, RADII, STOPS, SYNAPSES, presets, synapse_types
+from ..functions.presets import CATALOG, DEFAULTS, GENES, IZH_PRESETS, PARAMS, PRESETS, RADII, STOPS, SYNAPSES, presets, synapse_types
 from ..functions.rng import gauss, uniform
 from ..operators import activity, coupled, display, dynamics, evolution, graph
 from ..sources import tables as T
@@ -97,11 +97,13 @@ def q_synchrony(spark, sf):
     return _rated(spark, sf).groupBy("network_id").agg(F.round(activity.synchrony(), 3).alias("synchrony"))
 
 
-@_query(f"""SELECT network_id, round(avg(rate), 6) AS max_firing_rate, round(-abs(avg(rate) - 10.0), 6) AS target_rate_10, round(-abs(avg(rate) - 20.0), 6) AS target_rate_20,
-  round({_SYNC}, 3) AS synchrony, round(CASE WHEN count(*) < 2 THEN 0.0 ELSE stddev_pop(rate) / (avg(rate) + 1e-6) END, 6) AS diversity FROM rated GROUP BY 1""", "rated")
+@_query(f"""SELECT r.network_id, round(avg(rate), 6) AS max_firing_rate, round(-abs(avg(rate) - 10.0), 6) AS target_10hz, round(-abs(avg(rate) - 20.0), 6) AS target_20hz, round(avg(rate), 6) AS other,
+  round({_SYNC}, 3) AS synchrony, round(CASE WHEN count(*) < 2 THEN 0.0 ELSE stddev_pop(rate) / (avg(rate) + 1e-6) END, 6) AS diversity, round(sum(n_spikes) / (coalesce(max(w), 0) + 1e-6), 6) AS efficiency
+  FROM rated r LEFT JOIN (SELECT network_id, sum(weight) AS w FROM synapses JOIN population p ON p.id = src_id GROUP BY 1) e ON e.network_id = r.network_id GROUP BY 1""", "rated", "synapses")
 def q_fitness_all(spark, sf):
-    names = ("max_firing_rate", "target_rate_10", "target_rate_20", "synchrony", "diversity")
-    return _six(_rated(spark, sf).groupBy("network_id").agg(*[activity.fitness(n).alias(n) for n in names]))
+    rated = _rated(spark, sf)
+    rated = rated.join(activity.network_weights(T.population(spark, sf), T.synapses(spark, sf)), "network_id")
+    return _six(rated.groupBy("network_id").agg(*[activity.fitness(n).alias(n) for n in (*activity.FITNESS, "other")]))
 
 
 @_query("SELECT round((SELECT sum(n_spikes) FROM rated) / ((SELECT sum(weight) FROM synapses) + 1e-6), 6) AS efficiency", "rated", "synapses")
@@ -134,15 +136,42 @@ def q_spike_bookkeeping(spark, sf):
 # --- projections and snapshots --------------------------------------------------------------------
 
 
-@_query("SELECT id, round(v_rest, 2) AS v, neuron_type AS type, excitatory AS exc, model FROM cells", "cells")
+_PLACED = "#p AS (SELECT id, 400 + 300 * cos(2 * pi() * k / n) AS x, 300 + 300 * sin(2 * pi() * k / n) AS y FROM (SELECT id, row_number() OVER (PARTITION BY network_id ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY network_id) AS n FROM neurons))"
+_LAST = "(SELECT neuron_id, count(*) AS k, max(t_ms) AS t FROM spikes GROUP BY 1)"
+
+
+def _state(spark, sf):
+    """The neurons at the time of the last spike of all: fields of a state frame."""
+    spikes = T.spikes(spark, sf)
+    own = spikes.groupBy(F.col("neuron_id").alias("id")).agg(F.count("*").alias("k"), F.max("t_ms").alias("t"))
+    met = graph.circle(_cells(spark, sf)).join(own, "id", "left").withColumn("firing", F.coalesce(F.col("t") == spikes.select(F.max("t_ms")).scalar(), F.lit(False)))
+    return met.withColumns({"spikes": F.coalesce("k", F.lit(0)).cast("long"), "i_ext": F.lit(DEFAULTS["i_ext"]), "v": F.col("v_rest"), "type": F.col("neuron_type"), "exc": F.col("excitatory")})
+
+
+@_query(f"""{_PLACED} SELECT c.id, round(v_rest, 2) AS v, coalesce(s.t = (SELECT max(t_ms) FROM spikes), FALSE) AS firing, coalesce(s.k, 0) AS spikes, 0.0::DOUBLE AS i_ext, neuron_type AS type, excitatory AS exc, model, round(x, 6) AS x, round(y, 6) AS y
+  FROM cells c JOIN p ON p.id = c.id LEFT JOIN {_LAST} s ON s.neuron_id = c.id""", "cells", "spikes")
 def q_neuron_state(spark, sf):
-    return _cells(spark, sf).select("id", F.round("v_rest", 2).alias("v"), F.col("neuron_type").alias("type"), F.col("excitatory").alias("exc"), "model")
+    return _six(_state(spark, sf).select("id", F.round("v", 2).alias("v"), "firing", "spikes", "i_ext", "type", "exc", "model", "x", "y"))
 
 
-@_query("SELECT src_id, tgt_id, round(weight, 4) AS weight, round(w.distance, 3) AS distance, syn_type AS type, tau, e_rev, g_max, round(attenuation, 4) AS atten, round(length, 3) AS lambda FROM wires w JOIN kinds USING (syn_type)", "wires", "kinds")
+@_query(f"""SELECT 'neuron' AS part, c.id, NULL::BIGINT AS other, round(v_rest, 2) AS value, coalesce(s.t = (SELECT max(t_ms) FROM spikes), FALSE) AS flag FROM cells c LEFT JOIN {_LAST} s ON s.neuron_id = c.id
+  UNION ALL SELECT 'synapse', src_id, tgt_id, round(weight, 3), coalesce(s.t = (SELECT max(t_ms) FROM spikes), FALSE) FROM synapses LEFT JOIN {_LAST} s ON s.neuron_id = src_id
+  UNION ALL SELECT 'spike', neuron_id, NULL, round(t_ms, 2), NULL FROM spikes""", "cells", "spikes", "synapses")
+def q_frame_rows(spark, sf):
+    state = _state(spark, sf)
+    active = T.synapses(spark, sf).join(state.select(F.col("id").alias("src_id"), F.col("firing").alias("active")), "src_id", "left").withColumn("active", F.coalesce("active", F.lit(False)))
+    return display.frame_rows(state, active, T.spikes(spark, sf))
+
+
+@_query("SELECT CAST(floor(floor(round(t_ms / 0.3, 6)) / 67) AS BIGINT) AS frame, count(*) AS n_spikes, count(DISTINCT neuron_id) AS n_neurons FROM spikes GROUP BY 1", "spikes")
+def q_anchored_frames(spark, sf):
+    return T.spikes(spark, sf).groupBy(display.anchored_frame(F.col("t_ms")).alias("frame")).agg(F.count("*").alias("n_spikes"), F.countDistinct("neuron_id").alias("n_neurons"))
+
+
+@_query("SELECT src_id, tgt_id, round(weight, 4) AS weight, round(w.distance, 3) AS distance, syn_type AS type, tau, e_rev, g_max, round(attenuation, 4) AS atten, round(length, 3) AS lambda, FALSE AS active FROM wires w JOIN kinds USING (syn_type)", "wires", "kinds")
 def q_synapse_dict(spark, sf):
     met = _wires(spark, sf).join(F.broadcast(synapse_types(spark)), "syn_type")
-    return met.select("src_id", "tgt_id", F.round("weight", 4).alias("weight"), F.round("distance", 3).alias("distance"), F.col("syn_type").alias("type"), "tau", "e_rev", "g_max", F.round("attenuation", 4).alias("atten"), F.round("length", 3).alias("lambda"))
+    return met.select("src_id", "tgt_id", F.round("weight", 4).alias("weight"), F.round("distance", 3).alias("distance"), F.col("syn_type").alias("type"), "tau", "e_rev", "g_max", F.round("attenuation", 4).alias("atten"), F.round("length", 3).alias("lambda"), F.lit(False).alias("active"))
 
 
 @_query("SELECT vec_id, i, round(genome[1 + (i + vec_id % 15) % 15], 6) AS value FROM genomes, unnest(range(15)) u(i)", "genomes")
@@ -199,6 +228,47 @@ def q_presets_catalog(spark, sf):
     return presets(spark).select("neuron_type", "excitatory", "v_rest", "tau_m")
 
 
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{x}', {i}::BIGINT)" for k, xs in CATALOG.items() for i, x in enumerate(xs)) + ") c(kind, name, place)")
+def q_catalog(spark, sf):
+    rows = [(k, x, i) for k, xs in CATALOG.items() for i, x in enumerate(xs)]
+    return spark.createDataFrame(rows, "kind string, name string, place long")
+
+
+_GIVEN = ("v_rest", "v_threshold", "v_reset", "tau_m", "izh_a", "izh_b", "izh_c", "izh_d", "axon_diameter", "myelinated", "noise_level", "model", "neuron_type")
+
+
+@_query("SELECT id, " + ", ".join(k if k in _GIVEN else f"{x}::DOUBLE AS {k}" if t == "double" else f"{str(x).upper()} AS {k}" for k, (t, x) in PARAMS.items()) + " FROM cells", "cells")
+def q_params_struct(spark, sf):
+    text = F.to_json(F.struct(*_GIVEN))  # what a panel sends: the fields that are missing fall back to the defaults
+    read = _cells(spark, sf).select("id", F.from_json(text, ", ".join(f"{k} {t}" for k, (t, _) in PARAMS.items())).alias("p"))
+    return read.select("id", *[F.coalesce(f"p.{k}", F.lit(x)).alias(k) for k, (_, x) in PARAMS.items()])
+
+
+@_query(f"SELECT 'random' AS topology, a.i AS src_id, b.i AS tgt_id FROM unnest(range(40)) a(i), unnest(range(40)) b(i) WHERE a.i <> b.i AND {_u('er', 'a.i', 'b.i')} < 0.2 UNION ALL SELECT 'custom', a.i, b.i FROM unnest(range(30)) a(i), unnest(range(30)) b(i) WHERE a.i <> b.i AND {_u('er', 'a.i', 'b.i')} < 0.3")
+def q_build(spark, sf):
+    parts = [graph.build(spark, c).withColumn("topology", F.lit(c["topology"])) for c in ({"topology": "random", "n_neurons": 40}, {"topology": "custom", "n_neurons": 30, "connect_prob": 0.3})]
+    return parts[0].unionByName(parts[1])
+
+
+@_query("SELECT src_id, tgt_id, weight, 0.0::DOUBLE AS g, 0.0::DOUBLE AS dg, FALSE AS active, -1e9::DOUBLE AS pulse_t, 0.0::DOUBLE AS clock FROM synapses", "synapses")
+def q_reset_synapses(spark, sf):
+    still = {"g": F.lit(0.0), "dg": F.lit(0.0), "active": F.lit(False), "pulse_t": F.lit(-1e9), "clock": F.lit(0.0)}
+    return T.synapses(spark, sf).select("src_id", "tgt_id", "weight").withColumns(still)
+
+
+@_query("SELECT stim_id, neuron_id, start_t FROM stimuli UNION ALL SELECT -1 - id, id, (SELECT max(t_ms) FROM spikes) FROM neurons", "stimuli", "neurons", "spikes")
+def q_add_stimulus(spark, sf):
+    clock = T.spikes(spark, sf).select(F.max("t_ms")).scalar()  # a stimulus starts when it is added
+    new = T.neurons(spark, sf).select((-1 - F.col("id")).alias("stim_id"), F.col("id").alias("neuron_id"), clock.alias("start_t"))
+    return T.stimuli(spark, sf).select("stim_id", "neuron_id", "start_t").unionByName(new)
+
+
+@_query(f"SELECT network_id, 't = ' || printf('%.0f', {RUN_MS}::DOUBLE) || ' ms' AS clock, CAST(sum(n_spikes) AS BIGINT) || ' spikes' AS spikes, 'sync: ' || printf('%.2f', round(round({_SYNC}, 3), 2)) AS sync FROM rated GROUP BY 1", "rated")
+def q_header_stats(spark, sf):
+    stats = _rated(spark, sf).groupBy("network_id").agg(F.sum("n_spikes").alias("n"), F.round(activity.synchrony(), 3).alias("sync"))
+    return stats.select("network_id", F.format_string("t = %.0f ms", F.lit(RUN_MS)).alias("clock"), F.concat(F.col("n").cast("string"), F.lit(" spikes")).alias("spikes"), F.format_string("sync: %.2f", F.round("sync", 2)).alias("sync"))
+
+
 # --- topologies and edits -------------------------------------------------------------------------
 
 
@@ -328,15 +398,17 @@ def q_synapse_defaults(spark, sf):
     return T.synapses(spark, sf).join(F.broadcast(synapse_types(spark)), "syn_type").select("src_id", "tgt_id", F.coalesce(given, F.col("tau")).alias("tau"), "e_rev", "g_max")
 
 
-@_query("SELECT src_id, tgt_id, round(coalesce(CASE WHEN tgt_id % 4 = 0 THEN 2.0 END, distance), 6) AS distance, round(exp(-coalesce(CASE WHEN tgt_id % 4 = 0 THEN 2.0 END, distance) / length), 6) AS attenuation FROM wires", "wires")
+@_query("SELECT src_id, tgt_id, CASE WHEN src_id % 5 = 0 THEN 3.0 ELSE weight END AS weight, CASE WHEN src_id % 3 = 0 THEN 9.0 ELSE tau END AS tau, round(coalesce(CASE WHEN tgt_id % 4 = 0 THEN 2.0 END, w.distance), 6) AS distance, round(exp(-coalesce(CASE WHEN tgt_id % 4 = 0 THEN 2.0 END, w.distance) / length), 6) AS attenuation FROM wires w JOIN kinds USING (syn_type)", "wires", "kinds")
 def q_update_synapse(spark, sf):
-    met = _wires(spark, sf).withColumn("distance", F.coalesce(F.when(F.col("tgt_id") % 4 == 0, 2.0), F.col("distance")))
-    return _six(met.select("src_id", "tgt_id", "distance", kernels.attenuation(F.col("distance"), F.col("length")).alias("attenuation")))
+    met = _wires(spark, sf).join(F.broadcast(synapse_types(spark)), "syn_type")
+    given = {"weight": F.when(F.col("src_id") % 5 == 0, 3.0), "tau": F.when(F.col("src_id") % 3 == 0, 9.0), "distance": F.when(F.col("tgt_id") % 4 == 0, 2.0)}
+    met = met.withColumns({k: F.coalesce(new, F.col(k)) for k, new in given.items()})
+    return _six(met.select("src_id", "tgt_id", "weight", "tau", "distance", kernels.attenuation(F.col("distance"), F.col("length")).alias("attenuation")))
 
 
-@_query("SELECT src_id, tgt_id, t_ms, round(t_ms + delay_ms, 6) AS arrive_t, round(weight * attenuation, 6) AS strength FROM spikes JOIN wires ON neuron_id = src_id WHERE t_ms < 200", "spikes", "wires")
+@_query("SELECT src_id, tgt_id, t_ms, round(t_ms + delay_ms, 6) AS arrive_t, round(weight * attenuation, 6) AS strength FROM spikes JOIN wires ON neuron_id = src_id", "spikes", "wires")
 def q_spike_delivery(spark, sf):
-    return _six(activity.deliver(T.spikes(spark, sf).filter("t_ms < 200"), _wires(spark, sf)))
+    return _six(activity.deliver(T.spikes(spark, sf), _wires(spark, sf)))
 
 
 @_query("SELECT tgt_id, CAST(greatest(floor(t_ms) + 1, ceil(t_ms + delay_ms)) AS BIGINT) AS step, count(*) AS n, round(sum(weight * attenuation), 6) AS kick FROM spikes JOIN wires ON neuron_id = src_id GROUP BY ALL", "spikes", "wires")
@@ -453,10 +525,10 @@ def q_noisy_current(spark, sf):
     return _six(dynamics.noisy_current(_driven(spark, sf), 5))
 
 
-@_query("SELECT neuron_id, t_ms FROM (SELECT *, row_number() OVER (PARTITION BY neuron_id ORDER BY t_ms) AS k FROM spikes) WHERE k % 10 = 0", "spikes")
+@_query("SELECT neuron_id, step, v FROM (SELECT *, row_number() OVER (PARTITION BY neuron_id ORDER BY step DESC) AS k FROM (SELECT user_id AS neuron_id, event_id AS step, value AS v FROM events WHERE event_id % 10 = 0)) WHERE k <= 200")
 def q_voltage_history(spark, sf):
-    ranked = T.spikes(spark, sf).withColumn("k", F.row_number().over(Window.partitionBy("neuron_id").orderBy("t_ms")))
-    return ranked.filter("k % 10 = 0").drop("k")
+    samples = T.table(spark, sf, "events").select(F.col("user_id").alias("neuron_id"), F.col("event_id").alias("step"), F.col("value").alias("v"))
+    return activity.trace_window(samples.filter("step % 10 = 0"), "neuron_id", "step", 200)  # a slot each ms, with steps of 0.1 ms
 
 
 @_query()
@@ -481,7 +553,13 @@ def q_stdp(spark, sf):
 
 @_query("SELECT src_id, tgt_id, greatest(0.0, least(10.0, weight * 4 - 2)) AS weight FROM synapses", "synapses")
 def q_stdp_clamp(spark, sf):
-    return T.synapses(spark, sf).select("src_id", "tgt_id", F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.col("weight") * 4 - 2)).alias("weight"))
+    return T.synapses(spark, sf).select("src_id", "tgt_id", activity.clamped(F.col("weight") * 4 - 2).alias("weight"))
+
+
+@_query("SELECT src_id, tgt_id, weight * 4 - 2 AS weight FROM synapses", "synapses")
+def q_stdp_no_spike(spark, sf):
+    edges = T.synapses(spark, sf).withColumn("weight", F.col("weight") * 4 - 2)
+    return activity.plasticity(edges, activity.last_spikes(T.spikes(spark, sf), -1.0), -1.0).select("src_id", "tgt_id", "weight")
 
 
 _SCORED = "#s AS (SELECT r.*, 0.6 * avg(rate) OVER (PARTITION BY network_id) + 0.4 * rate AS score FROM rated r)"
@@ -512,10 +590,9 @@ def _long(df: DataFrame) -> DataFrame:
     return df.select("vec_id", F.posexplode("genome").alias("i", "value")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("value", 6).alias("value"))
 
 
-@_query("SELECT id, CAST(i AS BIGINT) AS i, value FROM (SELECT id, 1 AS i, v_rest AS value FROM cells UNION ALL SELECT id, 5, tau_m FROM cells UNION ALL SELECT id, 15, noise_level FROM cells)", "cells")
+@_query("SELECT id, CAST(i AS BIGINT) AS i, g[i] AS value FROM (SELECT id, [" + ", ".join(f"{DEFAULTS[g]}::DOUBLE" if g in ("v_peak", "tau_ref", "r_m", "g_na", "g_k", "g_l") else g for g, _, _ in GENES) + "] AS g FROM cells), unnest(range(1, 16)) u(i)", "cells")
 def q_genome_encode(spark, sf):
-    each = _driven(spark, sf).select("id", F.posexplode(evolution.encode()).alias("i", "value")).select("id", (F.col("i") + 1).cast("long").alias("i"), "value")
-    return each.filter(F.col("i").isin(1, 5, 15))
+    return _driven(spark, sf).select("id", F.posexplode(evolution.encode()).alias("i", "value")).select("id", (F.col("i") + 1).cast("long").alias("i"), "value")
 
 
 @_query("SELECT vec_id, CAST(i AS BIGINT) AS i, round(greatest(lo, least(hi, genome[i] * 100)), 6) AS value FROM genomes, bounds", "genomes", "bounds")
@@ -535,9 +612,18 @@ def q_crossover(spark, sf):
     return _long(g.join(other, "vec_id").select("vec_id", evolution.crossover(F.col("genome"), F.col("other"), F.col("vec_id")).alias("genome")))
 
 
-@_query()
+_ELITE = "b AS (SELECT network_id, id, rank FROM (SELECT network_id, id, row_number() OVER (PARTITION BY network_id ORDER BY round(score, 9) DESC, id DESC) - 1 AS rank, count(*) OVER (PARTITION BY network_id) AS n FROM s) WHERE rank < greatest(1, floor(n * 0.2))), k AS (SELECT network_id, count(*) AS k FROM b GROUP BY 1)"
+
+
+def _drawn(seed: str, rows: str) -> str:
+    """Draws of the parents' ranks for the rows of a view."""
+    u = lambda x: _u(seed + x, "r.id")
+    return f"SELECT r.id, r.network_id, floor({u('a')} * k) AS ra, CASE WHEN k > 1 AND {u('x')} < 0.5 THEN floor({u('b')} * k) END AS rb FROM {rows} r JOIN k ON k.network_id = r.network_id"
+
+
+@_query(f"{_SCORED}, {_ELITE}, d AS ({_drawn('par', 's')}) SELECT d.id, a.id AS parent_a, x.id AS parent_b FROM d JOIN b a ON a.network_id = d.network_id AND a.rank = ra LEFT JOIN b x ON x.network_id = d.network_id AND x.rank = rb", "rated")
 def q_select_parents(spark, sf):
-    scored = _scored(spark, sf)
+    scored = _scored(spark, sf).withColumn("score", F.round("score", 9))
     return evolution.parents(scored.select("id", "network_id"), evolution.elites(scored).select("network_id", "id", "rank"))
 
 
@@ -562,6 +648,37 @@ def q_evolution_history(spark, sf):
     return out
 
 
+_CLOCK = 1e7  # ms: late enough that rates are low
+
+
+def _counted(spark, sf):
+    return activity.rates(T.neurons(spark, sf), T.spikes(spark, sf).filter("neuron_id % 3 <> 0"), _CLOCK).select("id", "network_id", "n_spikes")
+
+
+_GREW = f"""#c AS (SELECT n.id, n.network_id, coalesce(k, 0) AS n_spikes FROM neurons n LEFT JOIN (SELECT neuron_id, count(*) AS k FROM spikes WHERE neuron_id % 3 <> 0 GROUP BY 1) s ON s.neuron_id = n.id),
+  l AS (SELECT * FROM c WHERE n_spikes > 0), q AS (SELECT network_id, (SELECT max(id) FROM c) + row_number() OVER (ORDER BY network_id) AS next_id FROM (SELECT network_id FROM l GROUP BY 1 HAVING sum(n_spikes) / {_CLOCK} * 1000 / count(*) < 0.05 AND count(*) < 100)),
+  e AS (SELECT src_id, tgt_id, weight, distance, syn_type FROM synapses WHERE weight >= 1.05 AND src_id NOT IN (SELECT id FROM c WHERE n_spikes = 0) AND tgt_id NOT IN (SELECT id FROM c WHERE n_spikes = 0)),
+  g AS (SELECT id AS src_id, next_id AS tgt_id, row_number() OVER (PARTITION BY l.network_id ORDER BY {_u('grow', 'next_id', 'id')}, id) AS rn FROM l JOIN q ON q.network_id = l.network_id)"""
+
+
+@_query(f"""{_GREW} SELECT src_id, tgt_id, round(weight, 6) AS weight, round(distance, 6) AS distance, syn_type FROM e UNION ALL
+  SELECT src_id, tgt_id, round(0.5 + 1.5 * {_u('groww', 'tgt_id', 'src_id')}, 6), round(0.5 + 1.5 * {_u('growd', 'tgt_id', 'src_id')}, 6), 'ampa' FROM g WHERE rn <= 3""", "neurons", "spikes", "synapses")
+def q_structural_edges(spark, sf):
+    return _six(evolution.structural_step(_counted(spark, sf), T.synapses(spark, sf), _CLOCK, 1.05)[1])
+
+
+@_query(f"""{_GREW} SELECT n.network_id, coalesce(w.k, 0) AS pruned_synapses, CAST(n.mute AS BIGINT) AS pruned_neurons, CAST(n.network_id IN (SELECT network_id FROM q) AS BIGINT) AS added_neurons
+  FROM (SELECT network_id, count_if(n_spikes = 0) AS mute FROM c GROUP BY 1) n LEFT JOIN (SELECT network_id, count(*) AS k FROM synapses JOIN c ON c.id = src_id WHERE weight < 1.05 GROUP BY 1) w ON w.network_id = n.network_id""", "neurons", "spikes", "synapses")
+def q_structural_report(spark, sf):
+    return evolution.structural_step(_counted(spark, sf), T.synapses(spark, sf), _CLOCK, 1.05)[2]
+
+
+@_query(f"{_SCORED} SELECT network_id, 'G1 best ' || printf('%.3f', round(round(max(score), 4), 3)) || ' mean ' || printf('%.3f', round(round(avg(score), 4), 3)) AS line FROM s GROUP BY 1", "rated")
+def q_history_rows(spark, sf):
+    line = F.format_string("G1 best %.3f mean %.3f", F.round(F.col("best_fitness"), 3), F.round(F.col("mean_fitness"), 3))
+    return evolution.summary(_scored(spark, sf)).select("network_id", line.alias("line"))
+
+
 @_query("SELECT src_id, tgt_id, weight FROM synapses WHERE weight >= 1.05", "synapses")
 def q_prune_synapses(spark, sf):
     return evolution.prune_edges(T.synapses(spark, sf), 1.05).select("src_id", "tgt_id", "weight")
@@ -603,12 +720,9 @@ def q_neuron_radius(spark, sf):
     return T.neurons(spark, sf).select("id", display.radius(F.col("neuron_type")).alias("radius"))
 
 
-_PLACED = "#p AS (SELECT id, 400 + 300 * cos(2 * pi() * k / n) AS x, 300 + 300 * sin(2 * pi() * k / n) AS y FROM (SELECT id, row_number() OVER (PARTITION BY network_id ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY network_id) AS n FROM neurons))"
-
-
-@_query(f"{_PLACED} SELECT s.src_id, s.tgt_id, t_ms, round(a.x, 6) AS sx, round(a.y, 6) AS sy, round(b.x, 6) AS tx, round(b.y, 6) AS ty FROM spikes JOIN synapses s ON s.src_id = neuron_id JOIN p a ON a.id = s.src_id JOIN p b ON b.id = s.tgt_id WHERE t_ms < 100", "neurons", "spikes", "synapses")
+@_query(f"{_PLACED} SELECT s.src_id, s.tgt_id, t_ms, round(a.x, 6) AS sx, round(a.y, 6) AS sy, round(b.x, 6) AS tx, round(b.y, 6) AS ty FROM spikes JOIN synapses s ON s.src_id = neuron_id JOIN p a ON a.id = s.src_id JOIN p b ON b.id = s.tgt_id", "neurons", "spikes", "synapses")
 def q_pulse_fanout(spark, sf):
-    return _six(display.pulses(T.spikes(spark, sf).filter("t_ms < 100"), T.synapses(spark, sf), graph.circle(T.neurons(spark, sf))))
+    return _six(display.pulses(T.spikes(spark, sf), T.synapses(spark, sf), graph.circle(T.neurons(spark, sf))))
 
 
 @_query(f"{_PLACED} SELECT id, CAST(f AS INT) AS frame, round(x * (1 - f * 0.06), 6) AS x, round(1 - 0.7 * f * 0.06, 6) AS opacity FROM p, unnest(range(17)) u(f) WHERE f * 0.06 < 1", "neurons")
@@ -617,9 +731,12 @@ def q_pulse_animation(spark, sf):
     return display.animate(ends).select("id", "frame", "x", "opacity")
 
 
-@_query("SELECT src_id, tgt_id, round(1 + weight * 0.8, 6) AS width, CASE WHEN syn_type IN ('gaba_a', 'gaba_b') THEN 'inh' ELSE 'exc' END AS arrow FROM synapses", "synapses")
+@_query("SELECT src_id, tgt_id, round(1 + weight * 0.8, 6) AS width, CASE WHEN syn_type IN ('gaba_a', 'gaba_b') THEN 'inh' ELSE 'exc' END AS arrow, CASE WHEN src_id % 4 = 0 THEN '#ffee00' WHEN syn_type IN ('gaba_a', 'gaba_b') THEN '#ff4466' ELSE '#00bb66' END AS color FROM synapses", "synapses")
 def q_edge_style(spark, sf):
-    return _six(T.synapses(spark, sf).select("src_id", "tgt_id", (1 + F.col("weight") * 0.8).alias("width"), F.when(F.col("syn_type").isin("gaba_a", "gaba_b"), "inh").otherwise("exc").alias("arrow")))
+    inhibits = F.col("syn_type").isin("gaba_a", "gaba_b")
+    active = F.col("src_id") % 4 == 0  # as if these sources had just fired
+    color = F.when(active, "#ffee00").when(inhibits, "#ff4466").otherwise("#00bb66")
+    return _six(T.synapses(spark, sf).select("src_id", "tgt_id", (1 + F.col("weight") * 0.8).alias("width"), F.when(inhibits, "inh").otherwise("exc").alias("arrow"), color.alias("color")))
 
 
 @_query("SELECT id, t_ms, CAST(floor(k / greatest(n - 1, 1) * 118 + 0.5) AS BIGINT) AS y, CASE WHEN excitatory THEN 'exc' ELSE 'inh' END AS color FROM spikes JOIN (SELECT *, row_number() OVER (PARTITION BY network_id ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY network_id) AS n FROM population) ON id = neuron_id", "population", "spikes")

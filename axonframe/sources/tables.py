@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.presets import GENES
 
@@ -31,13 +31,16 @@ def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synapses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src_id, tgt_id, weight, distance, syn_type); one row for each pair."""
-    size = table(spark, sf_dir, "supplier").count()
+    """(src_id, tgt_id, weight, distance, syn_type); one row for each pair, the first by the order lines.
+
+    The first is a minimum, which is found within the partitions before anything is shuffled.
+    """
+    size = table(spark, sf_dir, "supplier").select(F.count("*")).scalar()
     kind = F.when(F.col("l_returnflag") == "A", "ampa").when(F.col("l_returnflag") == "R", "gaba_a").when(F.col("l_linestatus") == "F", "nmda").otherwise("gaba_b")
-    rows = table(spark, sf_dir, "lineitem").select("*", (F.col("l_partkey") % size).alias("tgt_id"))
-    first = Window.partitionBy("l_suppkey", "tgt_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
-    rows = rows.filter("l_suppkey <> tgt_id").withColumn("rn", F.row_number().over(first)).filter("rn = 1")
-    return rows.select(F.col("l_suppkey").alias("src_id"), "tgt_id", (F.col("l_quantity") / 10).alias("weight"), (F.lit(0.1) + F.col("l_discount") * 29).alias("distance"), kind.alias("syn_type"))
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src_id"), (F.col("l_partkey") % size).alias("tgt_id"), F.struct(*order).alias("line"))
+    first = rows.filter("src_id <> tgt_id").groupBy("src_id", "tgt_id").agg(F.min("line").alias("line")).select("src_id", "tgt_id", "line.*")
+    return first.select("src_id", "tgt_id", (F.col("l_quantity") / 10).alias("weight"), (F.lit(0.1) + F.col("l_discount") * 29).alias("distance"), kind.alias("syn_type"))
 
 
 def stimuli(spark: SparkSession, sf_dir: str) -> DataFrame:
