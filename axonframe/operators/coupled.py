@@ -15,7 +15,10 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint folder; a local one only where the session names none."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="axonframe-"))
+        given = context.getConf().get("spark.checkpoint.dir")
+        if not given and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(given or "file://" + tempfile.mkdtemp(prefix="axonframe-"))
     return df.checkpoint()
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder under the session's checkpoint folder; a local one only where the session names none."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(given or 'file://' + tempfile.mkdtemp(prefix='axonframe-')).rstrip('/')}/axonframe-{name}-{uuid.uuid4().hex}"
 
 
