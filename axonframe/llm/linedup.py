@@ -7,33 +7,51 @@ of the shorter; the places of that token and the lengths bound the overlap furth
 is verified on the whole sets. A line goes if an earlier line, in order of (doc_id, line), is
 similar to it.
 
-Rarity comes from counts in a fixed number of hashed buckets (``2**COUNT_BITS``), and a second
-fixed table of bits (``2**SEEN_BITS``) tells which tokens may occur twice: neither grows with the
-corpus, both are built from all of it, and neither can lose a match, since a bucket's count is
-never less than a token's.
+Rarity comes from counts in a fixed number of hashed buckets (``2**COUNT_BITS``), built from the
+whole corpus: a bucket's count is never less than a token's, so a token alone in its bucket has no
+partner and is not listed.
 
 Equal sets form one class, so a very common line is one entry. A class carries 128 bits, one set by
 each of its tokens; a bit that only one of two sets has is a token that only this one has, which
-rules out nearly all pairs before they make a row. In the list of a token that more than ``SHORT``
-classes share, members first meet only the earliest one, which settles groups of similar lines in
-linear time; those still unmatched meet every earlier member that the filters allow.
+rules out nearly all pairs before they make a row. The prefix tokens are shuffled to their lists
+in ``SLICES`` turns, each of which gives its shuffle files back before the next. A list is read in
+order of size, so that a class meets only those whose length fits. Tokens whose bucket holds more
+than ``DEALT`` words are wide: their lists are dealt over parts.
+
+A list of up to ``SHORT`` classes is joined with itself. In a longer one each member first meets
+``FEW`` others that the filters allow, so groups of similar lines make a few rows for each member; a
+class needs only one similar earlier one to go. Those still without one, of which pairs were left
+out, then meet all earlier members, with the work of a list dealt over as many tasks as it needs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .listjoin import PAIRS, WORK, alone, columns, joined, runs, whole_lists, windows
 from .scratch import Scratch
 from .textkernel import BYTE_KEY, GAP, LOWER, find_words, hash_spans, mix64, text_blocks
 
 SIMILAR, OF = 75, 100
-COUNT_BITS, SEEN_BITS = 20, 26
-#: Lists up to this length are joined with themselves at once.
-SHORT = 64
-#: A listed token is its hash's upper bits with its place in the lowest ones.
-PLACE_BITS = 20
+COUNT_BITS, CHUNK = 20, 1 << 13
+#: Lists up to this length are joined with themselves at once; in a longer one each member meets FEW others first.
+SHORT, FEW = 512, 16
+#: Turns in which the lists are made.
+SLICES = 4
+#: Occurrences of a token for each task that its list is dealt over.
+DEALT = 1 << 15
+#: Entries of a task that makes the pairs of short lists, about.
+ENTRIES = 1 << 19
+#: Digests that repeat, which are broadcast if there are no more of them; their number is counted first.
+SENT = 500_000
+#: Bits of the maps of the texts and lines that are read anew.
+MAP_BITS = 26
+
+_LINE = "doc_id long, line_no int, d1 long, d2 long, n int, s1 long, s2 long, skip int, tokens array<long>, wide array<struct<v: long, part: int>>"
+_BITS = ("s1", "s2")
 
 
 def _line_words(data: np.ndarray, offs: np.ndarray):
@@ -44,7 +62,6 @@ def _line_words(data: np.ndarray, offs: np.ndarray):
     lower = LOWER[data]
     breaks = np.flatnonzero(data == 10)
     full = offs[1:] > offs[:-1]
-    begin = np.sort(np.concatenate([offs[:-1][full], breaks + 1]))
     # A break that ends a row starts an empty last line of that row, at the next row's first byte.
     row = np.searchsorted(offs[1:], np.concatenate([offs[:-1][full], breaks]), "right")
     order = np.argsort(np.concatenate([offs[:-1][full], breaks + 0.5]), kind="stable")
@@ -58,17 +75,29 @@ def _line_words(data: np.ndarray, offs: np.ndarray):
     starts, ends, _ = find_words(lower, offs)
     words = hash_spans(lower, starts, ends)
     held = np.flatnonzero(end > begin)
-    line = held[np.searchsorted(begin[held], starts, "right") - 1] if len(starts) else np.zeros(0, np.int64)
-    return words, line, row, number, begin, end
+    first = np.searchsorted(starts, begin[held])
+    return words, np.repeat(held, np.diff(np.append(first, len(starts)))), row, number, begin, end
+
+
+def _order(words: np.ndarray, line: np.ndarray, n_lines: int, rank: np.ndarray) -> np.ndarray:
+    """The order by (line, rank, hash): one key holds all of it but some lower bits of the hash."""
+    low = max(n_lines, 1).bit_length() + 8
+    key = (line.astype(np.uint64) << np.uint64(64 - low + 8)) | (rank.astype(np.uint64) << np.uint64(64 - low)) | (words >> np.uint64(low))
+    order = np.argsort(key)
+    key = key[order]
+    same = np.flatnonzero(key[1:] == key[:-1])
+    if (words[order[same]] != words[order[same + 1]]).any():  # different words that only those bits tell apart
+        return np.lexsort((words, rank, line))
+    return order
 
 
 def _sets(words: np.ndarray, line: np.ndarray, n_lines: int, rank: np.ndarray):
-    """Distinct tokens of each line in order of (rank, hash): (hash, line, place, size of each line, two hashes of each set)."""
-    order = np.lexsort((words, rank, line))
-    words, line = words[order], line[order]
+    """Distinct tokens of each line in order of (rank, hash): (hash, line, rank, place, size of each line, two hashes of each set)."""
+    order = _order(words, line, n_lines, rank)
+    words, line, rank = words[order], line[order], rank[order]
     first = np.ones(len(words), bool)
     first[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
-    words, line = words[first], line[first]
+    words, line, rank = words[first], line[first], rank[first]
     size = np.bincount(line, minlength=n_lines)
     begin = np.cumsum(size) - size
     place = np.arange(len(words)) - begin[line]
@@ -77,96 +106,209 @@ def _sets(words: np.ndarray, line: np.ndarray, n_lines: int, rank: np.ndarray):
     if len(held):
         d1[held] = np.add.reduceat(mix64(words + np.uint64(1)), begin[held])
         d2[held] = np.add.reduceat(mix64(words ^ BYTE_KEY[7]), begin[held])
-    return words, line, place, size, mix64(d1 + size.astype(np.uint64)), d2
+    return words, line, rank, place, size, mix64(d1 + size.astype(np.uint64)), d2
+
+
+def _buckets(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - COUNT_BITS)).astype(np.int32)
 
 
 def _bucket_counts(batches):
-    """(bucket, n): occurrences of words in each of the buckets, once for each partition."""
-    got = []
+    """(chunk, counts): occurrences of words in each of the buckets, packed by chunks, once for each partition."""
+    total = np.zeros(1 << COUNT_BITS, np.int64)
     for batch in batches:
         for _, _, data, offs in text_blocks(batch.column(0)):
             lower = LOWER[data]
             starts, ends, _ = find_words(lower, offs)
-            got.append(np.unique((hash_spans(lower, starts, ends) >> np.uint64(64 - SEEN_BITS)).astype(np.int32), return_counts=True))
-            if len(got) == 32:
-                got = [_merged(got)]
-    if got:
-        bucket, n = _merged(got)
-        for i in range(0, len(bucket), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)].astype(np.int64))], ["bucket", "n"])
+            np.add.at(total, _buckets(hash_spans(lower, starts, ends)), 1)
+    yield from _packed({k: x for k, x in enumerate(total.reshape(-1, CHUNK)) if x.any()})
 
 
-def _merged(parts):
-    keys, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([x[1] for x in parts])).astype(np.int64)
+def _packed(chunks: dict[int, np.ndarray]):
+    if chunks:
+        yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([x.tobytes() for x in chunks.values()], pa.binary())], ["chunk", "counts"])
 
 
-def rarity_tables(docs: DataFrame, scratch: Scratch) -> tuple[bytes, bytes]:
-    """Log counts by bucket (one byte each) and the bits of the finer buckets that hold two words or more."""
-    found = scratch.cut(docs.select("text").mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "buckets")
-    coarse = found.groupBy(F.shiftright("bucket", SEEN_BITS - COUNT_BITS).alias("b")).agg(F.floor(F.log2(F.sum("n").cast("double")) * 4).cast("int").alias("r")).toArrow()
-    rank = np.zeros(1 << COUNT_BITS, np.uint8)
-    rank[coarse["b"].to_numpy()] = coarse["r"].to_numpy()
-    twice = found.filter("n > 1").groupBy(F.shiftright("bucket", 5).alias("w")).agg(F.expr("cast(bit_or(shiftleft(1L, bucket & 31)) as bigint)").alias("bits")).toArrow()
-    seen = np.zeros(1 << (SEEN_BITS - 5), np.uint32)
-    seen[twice["w"].to_numpy()] = twice["bits"].to_numpy().astype(np.uint32)
-    scratch.drop(found)
-    return rank.tobytes(), seen.tobytes()
+def _summed_counts(batches):
+    """Sums of the counts of each chunk; there are no more chunks than ``2**COUNT_BITS / CHUNK``."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            x = np.frombuffer(x.as_buffer(), np.int64)
+            total[k] = total[k] + x if k in total else x
+    yield from _packed(total)
+
+
+def rarity_table(docs: DataFrame) -> bytes:
+    """Log counts by bucket, one byte each: 0 for one occurrence or none."""
+    kind = "chunk int, counts binary"
+    found = docs.select("text").mapInArrow(_bucket_counts, kind).repartition("chunk").mapInArrow(_summed_counts, kind)
+    rank = np.zeros((1 << COUNT_BITS) // CHUNK * CHUNK, np.uint8).reshape(-1, CHUNK)
+    for k, x in found.toLocalIterator():
+        rank[k] = np.floor(np.log2(np.maximum(np.frombuffer(x, np.int64), 1)) * 4)
+    return rank.tobytes()
 
 
 def _reader(shared):
-    """Prefixes of the lines that may have a partner, given the broadcast rarity tables."""
+    """Lines with their digests, bits and listed tokens, given the broadcast rarity table.
+
+    ``skip`` tokens of the prefix, the first ones, are alone in their buckets; ``tokens`` follow, and
+    then the ``wide`` ones, whose buckets hold so many words that their lists are dealt over parts.
+    """
 
     def lines(batches):
-        rank_of, seen = np.frombuffer(shared.value[0], np.uint8), np.frombuffer(shared.value[1], np.uint32)
+        rank_of = np.frombuffer(shared.value, np.uint8)
+        parts_of = np.maximum(2.0 ** (np.arange(256) / 4) / DEALT, 1).astype(np.uint64)
+        signed = lambda x: pa.array(x.view(np.int64))
+        whole = lambda x: pa.array(x.astype(np.int32))
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, _, data, offs in text_blocks(batch.column(1)):
                 words, line, row, number, _, _ = _line_words(data, offs)
-                rank = rank_of[(words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-                words, line, place, size, d1, d2 = _sets(words, line, len(row), rank)
-                fine = (words >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
-                shared_token = (seen[fine >> 5] >> (fine & 31).astype(np.uint32)) & np.uint32(1) > 0
-                least = -(-size * SIMILAR // OF)
-                met = np.bincount(line, shared_token, minlength=len(row))
-                partner = (size > 0) & (met >= least)
-                keep = shared_token & partner[line] & (place <= (size - least)[line])
-                held = np.flatnonzero(partner)
-                cut = np.append(np.searchsorted(line[keep], held), int(keep.sum())).astype(np.int32)
-                tokens = (words[keep] >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | place[keep].astype(np.uint64)
+                words, line, rank, place, size, d1, d2 = _sets(words, line, len(row), rank_of[_buckets(words)])
+                held = np.flatnonzero(size)
+                prefix = place <= (size - -(-size * SIMILAR // OF))[line]
+                skip = np.bincount(line, prefix & (rank == 0), minlength=len(row))
+                parts = parts_of[rank]
+                lists = []
+                for keep in (prefix & (rank > 0) & (parts == 1), prefix & (parts > 1)):
+                    cut = pa.array(np.append(np.searchsorted(line[keep], held), int(keep.sum())).astype(np.int32))
+                    part = whole(d1[line[keep]] % parts[keep])
+                    values = signed(words[keep])
+                    lists.append(pa.ListArray.from_arrays(cut, pa.StructArray.from_arrays([values, part], ["v", "part"]) if lists else values))
                 bit = np.uint64(1) << (words & np.uint64(63))
                 half = (words >> np.uint64(6)) & np.uint64(1) > 0
                 begin = np.searchsorted(line, held)
-                # A line's tokens may be followed by those of lines that are left out; they set no bit.
-                sig = [np.bitwise_or.reduceat(np.where((half == h) & partner[line], bit, np.uint64(0)), begin) if len(held) else bit[:0] for h in (False, True)]
+                sig = [np.bitwise_or.reduceat(np.where(half == h, bit, np.uint64(0)), begin) if len(held) else bit[:0] for h in (False, True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i + row[held]]), pa.array(number[held].astype(np.int32)), pa.array(d1[held].view(np.int64)), pa.array(d2[held].view(np.int64)), pa.array(size[held].astype(np.int32)), pa.array(sig[0].view(np.int64)), pa.array(sig[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(tokens.view(np.int64)))],
-                    ["doc_id", "line_no", "d1", "d2", "n", "s1", "s2", "tokens"],
+                    [pa.array(ids[i + row[held]]), whole(number[held]), signed(d1[held]), signed(d2[held]), whole(size[held]), signed(sig[0]), signed(sig[1]), whole(skip[held]), *lists],
+                    ["doc_id", "line_no", "d1", "d2", "n", "s1", "s2", "skip", "tokens", "wide"],
                 )
 
     return lines
 
 
-def _whole_sets(batches):
-    """(text, wanted: list of (line_no, d1, cid)) to (cid, tokens)."""
+def _fits(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether members ``i`` and ``j`` of one list can be similar: by length, by place and by the bits that one has alone."""
+    n, m, p, q = rows["n"][i], rows["n"][j], rows["place"][i], rows["place"][j]
+    short = np.minimum(n, m)
+    least = -(-(n + m) * SIMILAR // (OF + SIMILAR))
+    place = np.where(n < m, p, np.where(m < n, q, np.minimum(p, q)))
+    out = (short * OF >= np.maximum(n, m) * SIMILAR) & (place <= short - -(-short * 2 * SIMILAR // (OF + SIMILAR))) & (np.minimum(n - p, m - q) >= least)
+    at = np.flatnonzero(out)
+    i, j, n, m, least = i[at], j[at], n[at], m[at], least[at]
+    out[at] = (alone(rows, _BITS, i, j) <= n - least) & (alone(rows, _BITS, j, i) <= m - least)
+    return out
+
+
+def _pairs(a, b, v=(), cid=()) -> pa.RecordBatch:
+    """Pairs (a, b), and behind them a row for each of (v, cid)."""
+    n, k = len(a), len(v)
+    rows = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(k, pa.int64())]) for x in (a, b)]
+    rows += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x, pa.int64())]) for x in (v, cid)]
+    return pa.RecordBatch.from_arrays(rows, ["a", "b", "v", "cid"])
+
+
+def _within_lists(batches):
+    """Entries (v, part, cid, np, s1, s2) of whole lists or parts to (a, b, v, cid): pairs of class ids, and the members (v, cid) that are not done with them.
+
+    A partition is held whole: no list or part of it has more than ``DEALT`` entries, since its bucket
+    has no more words. In a long list each member meets the first FEW of those that fit; both ends of
+    a pair that is left out are not done, nor is any member of a list that is dealt over parts.
+    """
+    parts = [columns(batch, _BITS) for batch in batches if batch.num_rows]
+    if not parts:
+        return
+    rows = joined(parts)
+    parts.clear()
+    rows["n"], rows["place"] = rows["np"] >> 32, rows["np"] & 0xFFFFFFFF
+    order = np.lexsort((rows["part"], rows["v"])) if rows["part"].any() else np.argsort(rows["v"])
+    group = runs(rows["v"][order], rows["part"][order])
+    size = np.bincount(group)
+    some = (size > 1)[group] | (rows["part"][order] > 0)
+    order, group = order[some], group[some]
+    inner = np.lexsort((rows["n"][order], group))
+    order, group = order[inner], group[inner]
+    rows = {k: rows[k][order] for k in ("v", "part", "cid", "n", "place", *_BITS)}
+    long = (size > SHORT)[group]
+    cut = rows["part"] > 0
+    left = []
+    for i, j in windows(group, rows["n"], (OF, SIMILAR)):
+        ok = _fits(rows, i, j)
+        i, j = i[ok], j[ok]
+        few = ~long[i]
+        yield _pairs(rows["cid"][i[few]], rows["cid"][j[few]])
+        if not few.all():
+            left.append(np.stack([i[~few], j[~few]]))
+        if left and sum(x.shape[1] for x in left) > PAIRS:
+            left = [_first_few(np.concatenate(left, axis=1), cut)]
+    if left:
+        i, j = _first_few(np.concatenate(left, axis=1), cut)
+        yield _pairs(rows["cid"][i], rows["cid"][j])
+    yield _pairs(rows["cid"][:0], rows["cid"][:0], rows["v"][cut], rows["cid"][cut])
+
+
+def _first_few(pairs: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The first FEW pairs of each first end; ``cut`` gets both ends of the others."""
+    pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+    ok = np.arange(pairs.shape[1]) - np.searchsorted(pairs[0], pairs[0]) < FEW
+    cut[pairs[:, ~ok].ravel()] = True
+    return pairs[:, ok]
+
+
+def _earlier(batches):
+    """Entries in order of (v, block, n) to pairs (a, b): ``open`` members with all that may be earlier."""
+    for rows in whole_lists(batches, ("v", "block"), _BITS):
+        for i, j in windows(runs(rows["v"], rows["block"]), rows["n"], (OF, SIMILAR)):
+            for x, y in ((i, j), (j, i)):
+                ok = rows["open"][x] & (rows["doc_id"][y] <= rows["doc_id"][x])
+                x, y = x[ok], y[ok]
+                ok = _fits(rows, x, y)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["cid"][x[ok]]), pa.array(rows["cid"][y[ok]])], ["a", "b"])
+
+
+def _map_places(doc_id: np.ndarray, line_no: np.ndarray | None = None, d1: np.ndarray | None = None) -> np.ndarray:
+    """Places in a bitmap of MAP_BITS bits: of texts, or of their lines."""
+    x = mix64(doc_id.astype(np.int64).view(np.uint64) + np.uint64(0x9E37))
+    if line_no is not None:
+        x = mix64(x ^ d1 ^ (line_no.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return x >> np.uint64(64 - MAP_BITS)
+
+
+def _map_words(batches):
+    """(doc_id, line_no, d1) to (which, w, x): the words of both bitmaps that they set bits of."""
     for batch in batches:
-        wanted = batch.column(1)
-        for i, j, data, offs in text_blocks(batch.column(0)):
-            words, line, row, number, _, _ = _line_words(data, offs)
-            words, line, _, size, d1, _ = _sets(words, line, len(row), np.zeros(len(words), np.uint8))
-            at = np.cumsum(size) - size
-            top = np.searchsorted(row, np.arange(j - i + 1))
-            cids, sets = [], []
-            for k in range(i, j):
-                for w in wanted[k].as_py():
-                    x = top[k - i] + w["line_no"]
-                    if x < top[k - i + 1] and d1[x].view(np.int64) == w["d1"]:
-                        cids.append(w["cid"])
-                        sets.append(words[at[x] : at[x] + size[x]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "tokens"])
+        doc_id, line_no, d1 = (batch.column(k).to_numpy() for k in range(3))
+        for which, place in enumerate((_map_places(doc_id), _map_places(doc_id, line_no, d1.view(np.uint64)))):
+            bit = np.uint64(1) << (place & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), which, np.int32)), pa.array((place >> np.uint64(6)).astype(np.int32)), pa.array(bit.view(np.int64))], ["which", "w", "x"])
+
+
+def _has(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return ((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)) > 0
+
+
+def _listed_sets(maps):
+    """(doc_id, text) to (doc_id, line_no, d1, tokens) of the lines that the bitmaps have."""
+
+    def sets_of(batches):
+        texts, lines = (np.frombuffer(m, np.uint64) for m in maps.value)
+        for batch in batches:
+            batch = batch.filter(pa.array(_has(texts, _map_places(batch.column(0).to_numpy()))))
+            ids = batch.column(0).to_numpy()
+            for i, _, data, offs in text_blocks(batch.column(1)):
+                words, line, row, number, _, _ = _line_words(data, offs)
+                words, line, _, _, size, d1, _ = _sets(words, line, len(row), np.zeros(len(words), np.uint8))
+                at = np.cumsum(size) - size
+                held = np.flatnonzero((size > 0) & _has(lines, _map_places(ids[i + row], number, d1)))
+                tokens = pa.array([words[a : a + n].tobytes() for a, n in zip(at[held].tolist(), size[held].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + row[held]]), pa.array(number[held].astype(np.int32)), pa.array(d1[held].view(np.int64)), tokens], ["doc_id", "line_no", "d1", "tokens"])
+
+    return sets_of
 
 
 def _verified(batches):
+    """(a, b, x, y) to the (a, b) whose whole sets are similar."""
     for batch in batches:
         keep = []
         for x, y in zip(batch.column(2), batch.column(3)):
@@ -176,16 +318,73 @@ def _verified(batches):
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The similar ones of ``pairs`` (late, early) of class ids, and the pairs as tried."""
-    pairs = scratch.cut(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("late", "early")).alias("cid")).distinct().join(classes.select("cid", "doc_id", "line_no", "d1"), "cid")
-    wanted = scratch.cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "d1", "cid")).alias("wanted")), "wanted")
-    sets = scratch.cut(docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_whole_sets, "cid long, tokens binary").dropDuplicates(["cid"]), "sets")
+def _sets_of(wanted: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cid, tokens) of the lines ``wanted`` (cid, doc_id, line_no, d1): read anew from the texts, of which only those lines are passed on.
+
+    Bitmaps of a fixed size tell which texts and lines to take; what they let through in vain the join drops.
+    """
+    found = wanted.select("doc_id", "line_no", "d1").mapInArrow(_map_words, "which int, w int, x long").groupBy("which", "w").agg(F.bit_or("x").alias("x")).toArrow()
+    maps = []
+    for which in range(2):
+        own = found.filter(pc.equal(found["which"], which))
+        bits = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+        bits[own["w"].to_numpy()] = own["x"].to_numpy().view(np.uint64)
+        maps.append(bits.tobytes())
+    read = docs.mapInArrow(_listed_sets(docs.sparkSession.sparkContext.broadcast(maps)), "doc_id long, line_no int, d1 long, tokens binary")
+    return read.join(wanted, ["doc_id", "line_no", "d1"]).select("cid", "tokens").dropDuplicates(["cid"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The late ones (cid) of ``pairs`` (late, early) whose whole sets are similar."""
     met = pairs.join(sets.toDF("late", "x"), "late").join(sets.toDF("early", "y"), "early").select("late", "early", "x", "y")
-    similar = scratch.cut(met.mapInArrow(_verified, "late long, early long"), "similar")
-    scratch.drop(sets)
-    return similar, pairs
+    return met.mapInArrow(_verified, "late long, early long").select(F.col("late").alias("cid")).distinct()
+
+
+def _late(pairs: DataFrame, places: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The class ids (cid) that a similar and earlier one of ``pairs`` (a, b) makes go.
+
+    One such is enough: each class is held against the earliest of its candidates first, and only
+    those that this doesn't settle against all of them.
+    """
+    at = places.select("cid", F.struct("doc_id", "line_no", "d1", "d2").alias("at"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    placed = pairs.join(at.toDF("a", "at_a"), "a").join(at.toDF("b", "at_b"), "b")
+    later = F.col("at_a") > F.col("at_b")
+    ends = [F.when(later, F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a"), ("at_b", "at_a"))]
+    pairs = scratch.cut(placed.select(ends[0].alias("late"), ends[1].alias("early"), ends[2].alias("at")), "pairs")
+    wanted = pairs.select(F.explode(F.array("late", "early")).alias("cid")).distinct().join(places.select("cid", "doc_id", "line_no", "d1"), "cid")
+    wanted = scratch.cut(wanted.select("cid", "doc_id", "line_no", "d1"), "wanted")
+    sets = scratch.cut(_sets_of(wanted, docs, scratch), "sets")
+    first = pairs.groupBy("late").agg(F.min(F.struct("at", "early")).alias("x")).select("late", F.col("x.early").alias("early"))
+    found = scratch.cut(_similar(first, sets), "similar")
+    rest = scratch.cut(pairs.select("late", "early").join(found.toDF("late"), "late", "left_anti"), "rest")
+    if not rest.isEmpty():
+        found = found.union(scratch.cut(_similar(rest, sets), "similar"))
+    scratch.drop(pairs, wanted, sets, rest)
+    return found
+
+
+def _entries(classes: DataFrame, *more: str) -> DataFrame:
+    """The lists of the tokens that are not wide: an entry for each of them in each class."""
+    each = classes.select("cid", "n", "s1", "s2", "skip", *more, F.posexplode("tokens").alias("pos", "v"))
+    return each.select("v", "cid", "n", (F.col("pos") + F.col("skip")).alias("place"), "s1", "s2", *more)
+
+
+def _wide_entries(classes: DataFrame, *more: str) -> DataFrame:
+    before = F.col("skip") + F.size("tokens")
+    each = classes.filter(F.size("wide") > 0).select("cid", "n", "s1", "s2", before.alias("before"), *more, F.posexplode("wide").alias("pos", "e"))
+    return each.select("e.v", "cid", "n", (F.col("pos") + F.col("before")).alias("place"), "s1", "s2", *more, "e.part")
+
+
+def _late_among_all(listed: DataFrame, left: DataFrame, places: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The class ids (cid) of the members ``left`` (v, cid) that go, each held against all earlier ones of its lists ``listed``."""
+    rows = listed.join(left.withColumn("open", F.lit(True)), ["v", "cid"], "left").withColumn("open", F.col("open").isNotNull())
+    # The open members of a list are dealt over blocks, each of which gets all the others.
+    work = rows.groupBy("v").agg(F.ceil(F.count("*") * F.count_if("open") / WORK).cast("int").alias("blocks")).filter("blocks > 0")
+    rows = rows.join(work, "v").withColumn("own", F.pmod(F.hash("cid"), "blocks")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("open", F.col("open") & (F.col("own") == F.col("block"))).drop("blocks", "own")
+    dealt = rows.repartition("v", "block").sortWithinPartitions("v", "block", "n")
+    return _late(dealt.mapInArrow(_earlier, "a long, b long"), places, docs, scratch)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -195,82 +394,100 @@ def repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     A-Z. A line with a word repeats an earlier line, in order of (doc_id,
     line_no), if their Jaccard similarity is at least 0.75; ``exact`` tells that an earlier line has
     the same set. Null texts have no lines; rows with a null doc_id take no part. Repeated rows (one
-    doc_id and text) are treated alike, and a line is never its own repetition. ``d1`` identifies
-    the line's set.
+    doc_id and text) are treated alike, and a line is never its own repetition; where a doc_id has
+    two texts, lines of one number rank by their sets' digests. ``d1`` identifies the line's set.
+    Other columns are not read; an empty table gives no rows; long lines and texts are read whole.
     """
     scratch = Scratch(spark, "linedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    shared = spark.sparkContext.broadcast(rarity_tables(docs, scratch))
-    lines = scratch.cut(docs.mapInArrow(_reader(shared), "doc_id long, line_no int, d1 long, d2 long, n int, s1 long, s2 long, tokens array<long>"), "lines")
-    heads = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "tokens")])
-    # Sorted before they are numbered, so a lower cid is an earlier line.
-    classes = scratch.cut(heads.select("d1", "d2", "at.doc_id", "at.line_no", "n", "s1", "s2", "tokens").sort("doc_id", "line_no").withColumn("cid", F.monotonically_increasing_id()), "classes")
-
-    low = (1 << PLACE_BITS) - 1
-    listed = classes.select("cid", "n", "s1", "s2", F.explode("tokens").alias("e"))
-    listed = listed.select(F.expr(f"e & {~low}L").alias("v"), "cid", "n", F.expr(f"cast(e & {low} as int)").alias("place"), "s1", "s2")
-    index = F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * SIMILAR / (OF + SIMILAR))
-    size = listed.groupBy("v").agg(F.count("*").alias("k"), F.max(index).alias("s")).filter("k > 1 AND s").select("v", "k")
-    listed = listed.join(size, "v")
-    side = lambda df, p: df.select("v", *[F.col(c).alias(p + c) for c in ("cid", "n", "place", "s1", "s2")])
-
-    def met(xs: DataFrame, ys: DataFrame) -> DataFrame:
-        """Pairs (late, early) that share a listed token: the filters by length, by place and by the bits that one has alone."""
-        xn, yn, xp, yp = (F.col(p + c) for c in ("n", "place") for p in "xy")
-        least = F.ceil((xn + yn) * SIMILAR / (OF + SIMILAR))
-        short = F.least(xn, yn)
-        place = F.when(xn < yn, xp).when(yn < xn, yp).otherwise(F.least(xp, yp))
-        alone = lambda a, b: sum(F.bit_count(F.col(a + s).bitwiseAND(F.bitwise_not(F.col(b + s)))) for s in ("s1", "s2"))
-        fits = (short * OF >= F.greatest(xn, yn) * SIMILAR) & (place <= short - F.ceil(short * 2 * SIMILAR / (OF + SIMILAR))) & (F.least(xn - xp, yn - yp) >= least)
-        fits &= (alone("x", "y") <= xn - least) & (alone("y", "x") <= yn - least)
-        return side(xs, "x").join(side(ys, "y"), "v").filter((F.col("ycid") < F.col("xcid")) & fits).select(F.col("xcid").alias("late"), F.col("ycid").alias("early"))
-
-    hot = scratch.cut(listed.filter(F.col("k") > SHORT), "hot")
-    cold = listed.filter(F.col("k") <= SHORT)
-    band = F.floor(F.log("n") / np.log(OF / SIMILAR) + 1e-9)
-    first = hot.groupBy("v", band.alias("band")).agg(F.min(F.struct("cid", "n", "place", "s1", "s2")).alias("y")).select("v", "y.*")
-    similar, tried = _verify(met(cold, cold).union(met(hot, first)).distinct(), classes, docs, scratch)
-    rest = hot.join(similar.select(F.col("late").alias("cid")).distinct(), "cid", "left_anti")
-    more, _ = _verify(met(rest, hot).distinct().join(tried, ["late", "early"], "left_anti"), classes, docs, scratch)
-
-    late = similar.select("late").union(more.select("late")).distinct().select(F.col("late").alias("cid"), F.lit(True).alias("similar"))
-    verdict = classes.join(late, "cid", "left").select("d1", "d2", F.col("doc_id").alias("head_doc"), F.col("line_no").alias("head_line"), "similar")
-    each = lines.select("doc_id", "line_no", "d1", "d2", "n").join(verdict, ["d1", "d2"])
+    shared = spark.sparkContext.broadcast(rarity_table(docs))
+    lines = scratch.cut(docs.mapInArrow(_reader(shared), _LINE), "lines")
+    again = lines.groupBy("d1", "d2").agg(F.count("*").alias("k")).filter("k > 1").select("d1", "d2")
+    again = scratch.cut(again, "again")
+    once = None
+    held = ["n", "s1", "s2", "skip", "tokens", "wide"]
+    if again.count() <= SENT:  # else all lines are grouped
+        once = lines.join(F.broadcast(again), ["d1", "d2"], "left_anti").withColumn("lines", F.lit(1).cast("long"))
+        repeated = lines.join(F.broadcast(again), ["d1", "d2"], "left_semi")
+    else:
+        repeated = lines
+    heads = repeated.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("lines"), *[F.first(c).alias(c) for c in held])
+    heads = heads.select("d1", "d2", "at.doc_id", "at.line_no", "lines", *held)
+    heads = heads if once is None else once.select("d1", "d2", "doc_id", "line_no", "lines", *held).union(heads)
+    classes = scratch.cut(heads.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    # What is needed to the end goes to narrow tables, and the wide ones away as soon as they are read.
+    numbered = scratch.cut(lines.select("doc_id", "line_no", "d1", "d2", "n"), "numbered")
+    scratch.drop(lines, again)
+    places = scratch.cut(classes.select("cid", "doc_id", "line_no", "d1", "d2", "lines"), "places")
+
+    entries, wide = classes.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)), F.coalesce(F.sum(F.size("wide")), F.lit(0))).first()
+    packed = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("np")
+    turns = [(_entries(classes).filter(F.pmod(F.col("v"), F.lit(SLICES)) == k).withColumn("part", F.lit(0)), entries // SLICES, ["v"]) for k in range(SLICES)]
+    turns += [(_wide_entries(classes).withColumn("part", F.col("part") + 1), wide, ["v", "part"])] * (wide > 0)
+    found = None
+    for rows, n, key in turns:
+        dealt = rows.select("v", "part", "cid", packed, "s1", "s2").repartition(1 + n // ENTRIES, *key)
+        met = scratch.cut(dealt.mapInArrow(_within_lists, "a long, b long, v long, cid long"), "met")
+        found = met if found is None else found.union(met)
+    late = _late(found.filter("a IS NOT NULL").select("a", "b"), places, docs, scratch)
+    left = scratch.cut(found.filter("v IS NOT NULL").select("v", "cid").join(late, "cid", "left_anti").select("v", "cid"), "left")
+    if not left.isEmpty():
+        lists = left.select("v").distinct()
+        listed = _entries(classes, "doc_id").unionByName(_wide_entries(classes, "doc_id").drop("part")).join(lists, "v", "left_semi")
+        late = late.union(_late_among_all(scratch.cut(listed, "listed"), left, places, docs, scratch))
+    scratch.drop(classes, left)
+
+    # Of the classes only those matter that have several lines or whose line goes.
+    verdict = places.join(late.distinct().withColumn("similar", F.lit(True)), "cid", "left").filter("lines > 1 OR similar")
+    verdict = verdict.select("d1", "d2", F.col("doc_id").alias("head_doc"), F.col("line_no").alias("head_line"), "similar")
+    each = numbered.join(verdict, ["d1", "d2"])
     exact = (F.col("doc_id") != F.col("head_doc")) | (F.col("line_no") != F.col("head_line"))
     return each.filter(exact | F.col("similar")).select("doc_id", "line_no", F.col("n").cast("long").alias("n_tokens"), exact.alias("exact"), "d1").dropDuplicates(["doc_id", "line_no", "d1"])
 
 
-def _rewritten(batches):
-    """Takes the listed lines out of the text; yields nothing for a text that had words and has none left."""
+def _rewritten(names: list[str]):
+    """(row, gone) to the columns of ``row``, with the listed lines taken out of the text.
+
+    Yields nothing for a text that had words and has none left.
+    """
     blank = GAP[:128]
-    for batch in batches:
-        names = batch.schema.names
-        where, gone = names.index("text"), batch.column(names.index("__gone"))
-        rest = [k for k, name in enumerate(names) if name != "__gone"]
-        hit = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
-        if not len(hit):
-            yield batch.select(rest)
-            continue
-        texts, keep = batch.column(where).to_pylist(), np.ones(batch.num_rows, bool)
-        for i, j, data, offs in text_blocks(batch.column(where).take(pa.array(hit))):
-            words, line, row, number, begin, end = _line_words(data, offs)
-            _, _, _, _, d1, _ = _sets(words, line, len(row), np.zeros(len(words), np.uint8))
-            top = np.searchsorted(row, np.arange(j - i + 1))
-            for k in range(i, j):
-                listed = {(x["line_no"], x["d1"]) for x in gone[int(hit[k])].as_py()}
-                kept = [data[begin[x] : end[x]].tobytes() for x in range(top[k - i], top[k - i + 1]) if (int(number[x]), int(d1[x].view(np.int64))) not in listed]
-                texts[hit[k]] = b"\n".join(kept).decode()
-                keep[hit[k]] = any(not all(c < 128 and blank[c] for c in x) for x in kept)
-        columns = [pa.array(texts, batch.schema.field(where).type) if k == where else pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.field(k).type) if names[k] == "n_chars" else batch.column(k) for k in rest]
-        yield pa.RecordBatch.from_arrays(columns, [names[k] for k in rest]).filter(pa.array(keep))
+    where = names.index("text")
+
+    def rewrite(batches):
+        for batch in batches:
+            columns, gone = batch.column(0).flatten(), batch.column(1)
+            hit = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
+            if not len(hit):
+                yield pa.RecordBatch.from_arrays(columns, names)
+                continue
+            texts, keep = columns[where].to_pylist(), np.ones(batch.num_rows, bool)
+            for i, j, data, offs in text_blocks(columns[where].take(pa.array(hit))):
+                words, line, row, number, begin, end = _line_words(data, offs)
+                d1 = _sets(words, line, len(row), np.zeros(len(words), np.uint8))[5]
+                top = np.searchsorted(row, np.arange(j - i + 1))
+                for k in range(i, j):
+                    listed = {(x["line_no"], x["d1"]) for x in gone[int(hit[k])].as_py()}
+                    own = range(top[k - i], top[k - i + 1])
+                    kept = [data[begin[x] : end[x]].tobytes() for x in own if (int(number[x]), int(d1[x].view(np.int64))) not in listed]
+                    texts[hit[k]] = b"\n".join(kept).decode()
+                    keep[hit[k]] = any(not all(c < 128 and blank[c] for c in x) for x in kept)
+            columns[where] = pa.array(texts, columns[where].type)
+            if "n_chars" in names:
+                at = names.index("n_chars")
+                columns[at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+
+    return rewrite
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with the lines of ``repeated_lines`` taken out of the texts, and n_chars renewed if there is one.
 
     A document that loses its last word goes; those without words before, null texts and null ids
-    stay as they are. Other columns, whatever their names, are passed on.
+    stay as they are. Rows repeated whole are rewritten alike. Other columns, whatever their names
+    and nulls, are passed on: a row travels as one struct, so no name can clash.
     """
-    gone = repeated_lines(spark, docs).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "d1")).alias("__gone")).withColumnRenamed("doc_id", "__id")
-    met = docs.join(gone, docs["doc_id"] == gone["__id"], "left").drop("__id")
-    return met.mapInArrow(_rewritten, docs.schema)
+    gone = repeated_lines(spark, docs).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "d1")).alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = rows.join(gone, F.col("row")["doc_id"].cast("long") == F.col("doc_id"), "left").select("row", "gone")
+    return met.mapInArrow(_rewritten(docs.columns), docs.schema)

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none (tests)."""
+    """The cluster's shared folder; one of this machine only where the session names none and runs on it alone (tests)."""
     context = spark.sparkContext
     given = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not given:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="axonframe-"))
         given = context.getCheckpointDir()
     return given.rstrip("/")

@@ -69,15 +69,23 @@ def find_words(data: np.ndarray, offs: np.ndarray, gaps: np.ndarray = GAP):
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offs)
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the powers 0 to n, and their inverses; kept for the next block."""
+    if len(_POWERS[0]) <= n:
+        for k, x in enumerate((BASE, BASE_INV)):
+            _POWERS[k] = np.full(n + 1 + (n >> 2), x, np.uint64)
+            _POWERS[k][0] = 1
+            np.cumprod(_POWERS[k], out=_POWERS[k])
+    return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, whatever their place."""
     n = len(data)
-    power = np.full(n + 1, BASE, np.uint64)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    back = np.full(n + 1, BASE_INV, np.uint64)
-    back[0] = 1
-    np.cumprod(back, out=back)
+    power, back = powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_KEY[data] * power[:n], out=total[1:])
     return mix64((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(BASE))
@@ -156,10 +164,7 @@ def code_points(data: np.ndarray) -> np.ndarray:
 def hash_runs(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """An order-sensitive 64-bit hash of each run of word hashes, whatever its place."""
     n = len(words)
-    power, back = np.full(n + 1, BASE, np.uint64), np.full(n + 1, BASE_INV, np.uint64)
-    power[0] = back[0] = 1
-    np.cumprod(power, out=power)
-    np.cumprod(back, out=back)
+    power, back = powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(words * power[:n], out=total[1:])
     return mix64((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
