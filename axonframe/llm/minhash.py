@@ -10,13 +10,14 @@ that share ``need`` values share one among the first ``size - need + 1``, so onl
 a document with fewer than ``need`` values that occur elsewhere has no partner and is done.
 
 A list may hold a third of the corpus. Its members first meet only the list's most central member
-(a linear number of pairs); connected components of the verified links follow. Lists that still
-span components are divided by size, and the members of each division meet a few central ones.
-Members near the same centre but not linked to it are compared whole with all the others near it,
-in blocks of a few hundred texts whose sets are multiplied as bit rows; a block pair returns a
-spanning forest of its links, so a crowd of texts that resemble each other never makes a row for
-each two of them. Pairs that share no centre, few in such a crowd, meet if the bounds allow. No link
-between components is lost, and none within one is tried in vain.
+(a linear number of pairs); connected components of the verified links follow. What can still be
+linked stands in lists that span components, and is one of two kinds. Two members that were both
+near the centre meet near it: those not linked to it are compared whole with all the others, in
+blocks of a few hundred texts whose sets are multiplied as bit rows; a block pair returns a spanning
+forest of its links, so a crowd of texts that resemble each other never makes a row for each two of
+them. Of the others, each two of a list are looked at within the tasks that read the list in order
+of size, dealt over as many tasks as the list needs: only pairs whose sizes and sketch bits allow a
+link become rows. No link between components is lost, and none within one is tried in vain.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
+from .listjoin import WORK, alone, runs, whole_lists, windows
 from .scratch import Scratch
 from .textkernel import digest128, long_lists, shingle_sets, text_blocks
 
@@ -36,27 +38,56 @@ SIMILAR, OF = 75, 100
 TOP = np.uint64(1 << 63)
 #: Rows (of a few dozen bytes) of a table that is broadcast at most; its size is counted first.
 SENT = 50_000
-#: Centres that a division gets, where its members aren't near those it has.
-CENTRES = 3
-#: Rows of a block, about.
-BLOCK = 256
-#: Divisions by size: similar sets are at most two apart.
-BAND = 0.5 * np.log(OF / SIMILAR)
+#: Rows of a block, about, and pairs of blocks that a task compares, about.
+BLOCK, TURNS = 256, 64
+#: A sketch as bits, each set by the values of one remainder.
+_BITS = ("b0", "b1", "b2", "b3")
 
-_SKETCH = "doc_id long, n_shingles long, digest binary, sketch array<long>"
+_SKETCH = "doc_id long, text_key long, n_shingles long, digest binary, sketch array<long>"
 
 
 def _sketches(batches):
     for batch in batches:
-        ids = batch.column(0).cast(pa.int64())
+        ids, keys = batch.column(0).cast(pa.int64()), batch.column(2)
         for i, j, data, offs in text_blocks(batch.column(1)):
             sets = list(shingle_sets(data, offs))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest128(s) for s in sets], pa.binary()), long_lists([s[:K] ^ TOP for s in sets])],
-                ["doc_id", "n_shingles", "digest", "sketch"],
+                [
+                    ids.slice(i, j - i),
+                    keys.slice(i, j - i),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([digest128(s) for s in sets], pa.binary()),
+                    long_lists([s[:K] ^ TOP for s in sets]),
+                ],
+                ["doc_id", "text_key", "n_shingles", "digest", "sketch"],
             )
 
 
+def _sketch_bits(batches):
+    """(cid, sketch) to (cid, b0, b1, b2, b3)."""
+    for batch in batches:
+        lists = batch.column(1)
+        values, offs = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offs))
+        bits = np.zeros((batch.num_rows, len(_BITS)), np.uint64)
+        np.bitwise_or.at(bits, (row, ((values >> np.uint64(6)) & np.uint64(3)).astype(np.int64)), np.uint64(1) << (values & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(bits[:, k].copy().view(np.int64)) for k in range(len(_BITS))]], ["cid", *_BITS])
+
+
+def _apart(batches):
+    """Entries in order of (v, block, n) to pairs (a, b): members of different components, not both near the centre, that sizes and sketches allow."""
+    for rows in whole_lists(batches, ("v", "block"), _BITS):
+        for i, j in windows(runs(rows["v"], rows["block"]), rows["n"], (OF, SIMILAR)):
+            ok = rows["own"][i] & (rows["comp"][i] != rows["comp"][j]) & ~(rows["near"][i] & rows["near"][j])
+            i, j = i[ok], j[ok]
+            need = np.maximum(rows["need"][i], rows["need"][j])
+            ok = np.minimum(rows["left"][i], rows["left"][j]) >= need
+            i, j, need = i[ok], j[ok], need[ok]
+            kept = [np.minimum(rows["n"][x], K) for x in (i, j)]
+            ok = (alone(rows, _BITS, i, j) <= kept[0] - need) & (alone(rows, _BITS, j, i) <= kept[1] - need)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["cid"][i[ok]]), pa.array(rows["cid"][j[ok]])], ["a", "b"])
+
+
 def _whole_sets(batches):
     """(cid, digest, text) to (cid, shingles): the sets of the texts that have the wanted digest."""
     for batch in batches:
@@ -168,85 +199,107 @@ def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(lists.select(F.col("e.v").alias("v"), "cid", "n", "need", (F.col("c") - F.col("pos")).alias("left"), "central"), "lists")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+def _crowd(near: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) among the members ``near`` (c, cid, comp, n, linked) to a centre c, but for those that are both linked to it."""
+    size = near.groupBy("c").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / (BLOCK * 512))).cast("int").alias("blocks"),
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_and("linked").alias("done"),
+    ).filter("lo <> hi AND NOT done").select("c", "blocks")
+    members = near.join(size, "c").withColumn("block", F.pmod(F.hash("cid"), "blocks")).join(sets, "cid")
+    rows = F.collect_list(F.struct("cid", "comp", "shingles")).alias("rows")
+    blocks = scratch.cut(members.groupBy("c", "blocks", "block", "linked").agg(rows), "blocks")
+    # The unlinked blocks of a centre are dealt over as many turns as they need; each turn meets all blocks.
+    turns = F.ceil(F.col("blocks") * F.col("blocks") / TURNS).cast("int")
+    xs = blocks.filter("NOT linked").select("c", F.pmod("block", turns).alias("turn"), F.col("block").alias("xblock"), F.col("rows").alias("xrows"))
+    ys = blocks.select("c", F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), F.col("block").alias("yblock"), F.col("linked").alias("ylinked"), F.col("rows").alias("yrows"))
+    met = xs.join(ys, ["c", "turn"]).filter("ylinked OR yblock >= xblock").select("xrows", "yrows")
+    found = scratch.cut(met.mapInArrow(_crowded, "a long, b long"), "crowd")
+    scratch.drop(blocks)
+    return found
+
+
+def _others(lists: DataFrame, spans: DataFrame, first: DataFrame, member: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of the lists that span components, but for those whose members are both near the list's centre."""
+    rows = lists.join(spans, "v").join(member.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    near = first.select(F.col("a").alias("cid"), F.col("b").alias("c"), F.lit(True).alias("near"))
+    rows = rows.join(near, ["cid", "c"], "left").withColumn("near", F.col("near").isNotNull() | (F.col("cid") == F.col("c")))
+    rows = scratch.cut(rows.select("v", "cid", "comp", "n", "need", "left", "near"), "spread")
+    # Each pair is one block's; a block has a share of the list's shorter members and all the longer ones.
+    work = rows.groupBy("v").agg(F.ceil(F.count("*") * F.count("*") / WORK).cast("int").alias("blocks"), F.bool_and("near").alias("done")).filter("NOT done").select("v", "blocks")
+    bits = rows.select("cid").distinct().join(classes.select("cid", "sketch"), "cid").mapInArrow(_sketch_bits, "cid long, " + ", ".join(f"{b} long" for b in _BITS))
+    rows = rows.join(work, "v").join(bits, "cid").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("own", F.pmod(F.hash("cid"), "blocks") == F.col("block")).drop("blocks")
+    met = rows.repartition("v", "block").sortWithinPartitions("v", "block", "n")
+    return met.mapInArrow(_apart, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    Equal shingle sets form a class; links are sought between classes. Null and empty texts have no shingles and stand alone. Rows with a null doc_id are never
-    linked: component_id is null and kept false. Repeated rows are each returned, with one
-    component; a repeated doc_id with different texts follows each text. Other columns are not read.
+
+def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, text_key) for every row of ``docs`` (doc_id, text).
+
+    Equal shingle sets form a class; links are sought between classes. Null and empty texts have no
+    shingles and stand alone. Rows with a null doc_id are never linked: component_id is null and kept
+    false. Repeated rows are each returned, with one component; a repeated doc_id with different
+    texts follows each text, and ``text_key`` (xxhash64 of the text) tells its rows apart. Ties have
+    no part in it: a component is named by its smallest doc_id. An empty table gives no rows; texts
+    of any length are read whole; other columns are not read.
     """
     scratch = Scratch(spark, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
     rows = scratch.cut(docs.mapInArrow(_sketches, _SKETCH), "sketches")
-    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    firsts = [F.min("doc_id").alias("rep_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")]
+    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(*firsts)
     classes = scratch.cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     lists = _candidates(classes, scratch)
 
-    close = lambda x, y: F.least(x, y) * OF >= F.greatest(x, y) * SIMILAR
-    labelled = lambda df: df.join(member.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-
     # First every member of a list meets the most central one.
-    mids = lists.groupBy("v").agg(F.max(F.struct("central", "cid", "n")).alias("m")).select("v", F.col("m.cid").alias("b"), F.col("m.n").alias("bn"))
-    star = lists.join(mids, "v").filter((F.col("cid") != F.col("b")) & close(F.col("n"), F.col("bn"))).select(F.col("cid").alias("a"), "b").distinct()
-    first, used = _compare(star, classes, docs, scratch)
-    scratch.drop(used)
-    edges = first.filter("linked").select("a", "b")
-    member = components(edges, scratch)
-
-    # Lists across components: (v, band) holds sizes of three bands; `own` marks those of the first.
-    band = F.floor(F.log("n") / BAND + 1e-9)
-    spread = labelled(lists).withColumn("o", band).withColumn("d", F.explode(F.array(*map(F.lit, range(4))))).withColumn("band", F.col("o") - F.col("d")).withColumn("own", F.col("d") == 0)
-    mixed = spread.groupBy("v", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("own").alias("held"), F.max(F.struct("central", "cid")).alias("c")).filter("lo <> hi AND held").select("v", "band", F.col("c.cid").alias("c"))
-    groups = scratch.cut(spread.join(mixed, ["v", "band"]).select("v", "band", "own", "cid", "comp", "n", "need", "left", "c"), "groups")
-    second = None
-    for turn in range(CENTRES):
-        if turn:  # a further centre, one of those that came near none of the division's
-            nearby = second.select(F.col("a").alias("cid"), F.col("b").alias("c"), F.lit(True).alias("close"))
-            far = groups.join(centres, ["v", "band"]).join(nearby, ["cid", "c"], "left").groupBy("v", "band", "cid").agg(F.max(F.col("close").isNotNull() | (F.col("cid") == F.col("c"))).alias("close")).filter("NOT close")
-            more = far.groupBy("v", "band").agg(F.max(F.struct(F.hash("cid", F.lit(turn)).alias("h"), "cid")).alias("m"), F.count("*").alias("k")).filter("k > 2").select("v", "band", F.col("m.cid").alias("c"))
-            more = scratch.cut(more, "centres")
-            star = groups.join(more, ["v", "band"]).filter("cid <> c").select(F.col("cid").alias("a"), F.col("c").alias("b")).distinct().join(second, ["a", "b"], "left_anti")
-            found, used = _compare(star, classes, docs, scratch)
-            second, sets, centres = second.union(found), sets.union(used), centres.union(more)
-        else:
-            centres = groups.select("v", "band", "c").distinct()
-            star = groups.filter("cid <> c").select(F.col("cid").alias("a"), F.col("c").alias("b")).distinct()
-            second, sets = _compare(star, classes, docs, scratch)
-            groups = groups.withColumnRenamed("c", "c0")
-    edges = edges.union(second.filter("linked").select("a", "b"))
-    member = components(edges, scratch)
-
-    # Near a centre: those not linked to it, with all.
-    near = labelled(second.withColumnRenamed("a", "cid")).join(classes.select("cid", "n"), "cid").select(F.col("b").alias("c"), "cid", "comp", "n", "linked")
-    size = near.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / (BLOCK * 512))).alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_and("linked").alias("done")).filter("lo <> hi AND NOT done").select("c", "blocks")
-    near = near.join(size, "c").join(sets.dropDuplicates(["cid"]), "cid").withColumn("block", F.pmod(F.hash("cid"), "blocks"))
-    blocks = scratch.cut(near.groupBy("c", "block", "linked").agg(F.collect_list(F.struct("cid", "comp", "shingles")).alias("rows")), "blocks")
-    side = lambda df, p, *cs: df.select(*cs, *[F.col(c).alias(p + c) for c in df.columns if c not in cs])
-    met = side(blocks.filter("NOT linked"), "x", "c").join(side(blocks, "y", "c"), "c").filter("ylinked OR yblock >= xblock").select("xrows", "yrows")
-    crowd = scratch.cut(met.mapInArrow(_crowded, "a long, b long"), "crowd")
-    scratch.drop(blocks, *([sets] if hasattr(sets, "_axonframe_path") else []))
-    edges = edges.union(crowd)
-    member = components(edges, scratch)
-
-    # The others: with every member of the division.
-    flagged = second.select(F.col("a").alias("cid"), F.col("b").alias("c"), F.lit(True).alias("close"))
-    centres = second.groupBy(F.col("a").alias("cid")).agg(F.collect_set("b").alias("centres"))
-    known = labelled(groups.drop("comp").withColumnRenamed("c0", "c").filter("cid <> c")).join(flagged, ["cid", "c"], "left").join(centres, "cid", "left")
-    known = scratch.cut(known.withColumn("close", F.coalesce("close", F.lit(False))).withColumn("centres", F.coalesce("centres", F.expr("cast(array() as array<bigint>)"))), "known")
-    others = side(known.filter("NOT close").drop("c"), "x", "v", "band").join(side(known.drop("c"), "y", "v", "band"), ["v", "band"])
-    others = others.filter((F.col("xcomp") != F.col("ycomp")) & (F.col("xown") | F.col("yown")) & (F.col("yclose") | (F.col("xcid") < F.col("ycid"))) & close(F.col("xn"), F.col("yn")) & (F.least("xleft", "yleft") >= F.greatest("xneed", "yneed")) & ~F.arrays_overlap("xcentres", "ycentres"))
-    others = others.select(F.least("xcid", "ycid").alias("a"), F.greatest("xcid", "ycid").alias("b"))
-    third, used = _compare(others.distinct(), classes, docs, scratch)
-    scratch.drop(used)
-    edges = edges.union(third.filter("linked").select("a", "b"))
-    member = components(edges, scratch)
-    ids = member.join(classes.select(F.col("cid").alias("node"), "rep_id"), "node")
-    lowest = ids.groupBy("component").agg(F.min("rep_id").alias("component_id"))
-    named = ids.join(lowest, "component").select(F.col("node").alias("cid"), "component_id")
-    named = classes.select("cid", "digest", "rep_id").join(named, "cid", "left").select("digest", F.coalesce("component_id", "rep_id").alias("component_id"))
-    linked_rows = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(named, "digest").select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked_rows.union(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    mids = scratch.cut(lists.groupBy("v").agg(F.max(F.struct("central", "cid", "n")).alias("m")).select("v", F.col("m.cid").alias("b"), F.col("m.n").alias("bn")), "mids")
+    close = F.least("n", "bn") * OF >= F.greatest("n", "bn") * SIMILAR
+    star = lists.join(mids, "v").filter((F.col("cid") != F.col("b")) & close).select(F.col("cid").alias("a"), "b").distinct()
+    first, sets = _compare(star, classes, docs, scratch)
+    links = first.filter("linked").select("a", "b")
+    member = components(links, scratch)
+
+    # Lists across components: near their centres, and the others.
+    labelled = lists.select("v", "cid").join(member.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    spans = labelled.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("v")
+    spans = scratch.cut(spans.join(mids, "v").select("v", F.col("b").alias("c")), "spans")
+    near = first.select(F.col("b").alias("c"), F.col("a").alias("cid"), "linked").join(spans.select("c").distinct(), "c", "left_semi")
+    near = near.join(member.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).join(classes.select("cid", "n"), "cid")
+    crowd = _crowd(near, sets, scratch)
+    scratch.drop(sets)
+    third, used = _compare(_others(lists, spans, first, member, classes, scratch), classes, docs, scratch)
+    scratch.drop(used, lists)
+
+    # The later links join components.
+    late = crowd.union(third.filter("linked").select("a", "b"))
+    for side in ("a", "b"):
+        late = late.join(member.toDF(side, "comp"), side, "left").withColumn(side, F.coalesce("comp", side)).select("a", "b")
+    merged = components(late, scratch)
+    whole = classes.select("cid", "digest", "rep_id").join(member.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    whole = whole.join(merged.toDF("comp", "over"), "comp", "left").withColumn("comp", F.coalesce("over", "comp"))
+    lowest = whole.groupBy("comp").agg(F.min("rep_id").alias("component_id"))
+    named = whole.join(lowest, "comp").select("digest", "component_id")
+    linked_rows = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(named, "digest").select("doc_id", "n_shingles", "component_id", "text_key")
+    alone_rows = rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return linked_rows.union(alone_rows).select("doc_id", "n_shingles", "component_id", kept, "text_key")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, the one with the smallest doc_id.
+
+    A row goes by its doc_id and its text, so of two texts under one doc_id each is judged for
+    itself, and of rows that repeat both one stays. Null texts, texts without words and null
+    doc_ids stay. Columns are passed on whatever their names.
+    """
+    scratch = Scratch(spark, "one_of_each")
+    found = scratch.cut(near_duplicates(spark, docs).filter("doc_id IS NOT NULL"), "found")
+    fate = found.groupBy("doc_id", "text_key").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = (F.col("row")["doc_id"].cast("long") == F.col("doc_id")) & (F.xxhash64(F.col("row")["text"].cast("string")) == F.col("text_key"))
+    met = rows.join(fate, own, "left").filter("kept IS NULL OR kept")
+    again = met.filter("n > 1").dropDuplicates(["doc_id", "text_key"])
+    return met.filter("n IS NULL").union(again).select("row.*")
 
 
 OP1_SQL = r"""

@@ -14,7 +14,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(spark, _docs(spark, sf_dir))
+    return minhash.near_duplicates(spark, _docs(spark, sf_dir)).drop("text_key")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
