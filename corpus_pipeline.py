@@ -1,6 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, mixing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. Columns other than
+doc_id and text are passed on with their values, nulls too; an empty table goes through all stages;
+texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -16,28 +18,27 @@ TARGETS = {"clean": 0.95, "toxic": 0.05}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the policy rejects go."""
+    """Documents that the policy rejects go: null, empty and very short texts among them. Rows are judged one by one, repeated ones alike."""
     return quality.keep_clean(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go, and documents that have no word left."""
+    """Lines that repeat an earlier one, by (doc_id, line), go, and documents that have no word left; rows with a null doc_id stay as they are, and rows repeated whole are rewritten alike."""
     return linedup.drop_repeated_lines(spark, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    gone = minhash.near_duplicates(spark, docs).filter("NOT kept AND component_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id; of rows repeated whole one stays, and null doc_ids stay."""
+    return minhash.one_of_each(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, all rows of such a doc_id; null doc_ids stay. An empty benchmark lets all through."""
     return decontam.drop_contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_rates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that have a positive rate, with their rates."""
+    """The documents that have a positive rate, with their rates; null doc_ids and repeated rows are rated like any other, and without labels all have rate 1."""
     labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")).filter(F.col("domain").isin(list(TARGETS)))
     return mixing.mix(spark, docs, labels, TARGETS).filter("rate > 0")
 
