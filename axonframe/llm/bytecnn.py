@@ -5,8 +5,8 @@ Bytes are embedded; filters of ``WIDTH`` bytes run over them. A text is cut into
 once and the memory of a task does not follow the text's length. Each filter is max-pooled within a
 chunk; the mean and the largest of the chunk maxima go into one logistic output.
 
-The network learns from at most ``TRAIN_ROWS`` labelled rows, those with the smallest hashes of
-doc_id; the fit takes place in one task, over a sample of that fixed size.
+The network learns from at most ``TRAIN_ROWS`` labelled rows that have a document, those with the
+smallest hashes of doc_id, and from the whole text of each; the fit takes place in one task, over a sample of that fixed size.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ from .textkernel import text_blocks
 EMBED, WIDTH, FILTERS, CHUNK = 6, 6, 24, 256
 #: Labelled rows to learn from, at most.
 TRAIN_ROWS = 2000
-#: Chunks of a training text at most: spread evenly over it. Scores read every chunk.
-TRAIN_CHUNKS = 8
-EPOCHS, BATCH, RATE = 12, 64, 0.01
+#: Texts of a training step at most, and chunks, about; a longer text is a step of its own.
+EPOCHS, BATCH, STEP_CHUNKS, RATE = 12, 64, 512, 0.01
 #: Weight of the short passages that each training text also gives.
 SHORT = np.float32(0.5)
 THRESHOLD = 0.7
@@ -86,16 +85,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _chunks(text: bytes) -> np.ndarray:
-    """(chunks, CHUNK + WIDTH - 1) bytes of a training text; the last chunk ends with the text."""
+    """(chunks, CHUNK + WIDTH - 1) bytes that cover a training text; the last chunk ends with the text."""
     data = np.frombuffer(text, np.uint8)
     wide = CHUNK + WIDTH - 1
     if len(data) <= wide:
         return np.pad(data, (0, wide - len(data)))[None, :]
     n = -(-(len(data) - WIDTH + 1) // CHUNK)
-    begin = np.unique(np.linspace(0, len(data) - wide, min(n, TRAIN_CHUNKS)).astype(np.int64))
+    begin = np.minimum(np.arange(n) * CHUNK, len(data) - wide)
     return data[begin[:, None] + np.arange(wide)]
 
 
+def _steps(order: np.ndarray, size: np.ndarray):
+    """The texts of each training step."""
+    own, held = [], 0
+    for i in order:
+        if own and (len(own) == BATCH or held + size[i] > STEP_CHUNKS):
+            yield np.array(own)
+            own, held = [], 0
+        own.append(i)
+        held += size[i]
+    if own:
+        yield np.array(own)
+
+
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
     """Trains the network by Adam on the logistic loss, the two labels weighing alike by half."""
     net, rng = start(seed), np.random.default_rng(seed)
@@ -113,10 +125,8 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> dict[str, np.
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.items()}
     turn = 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(chunks))
-        for k in range(0, len(order), BATCH):
+        for own in _steps(rng.permutation(len(chunks)), np.array([len(c) for c in chunks])):
             turn += 1
-            own = order[k : k + BATCH]
             block = np.concatenate([chunks[i] for i in own])
             count = np.array([len(chunks[i]) for i in own])
             row = np.repeat(np.arange(len(own)), count)
@@ -129,7 +139,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> dict[str, np.
             mean = np.add.reduceat(top, begin, axis=0) / count[:, None]
             most = np.maximum.reduceat(top, begin, axis=0)
             x = np.concatenate([mean, most], axis=1)
-            slope = ((_sigmoid(x @ net["out"] + net["bias"]) - labels[own]) * weight[own] / len(own)).astype(np.float32)
+            slope = ((_sigmoid(x @ net["out"] + net["bias"]) - labels[own]) * weight[own] / BATCH).astype(np.float32)
             back = slope[:, None] * net["out"]
             d_top = (back[:, :FILTERS] / count[:, None])[row] + back[:, FILTERS:][row] * (top == most[row])
             d_top = (d_top * (top > 0)).astype(np.float32)
@@ -173,7 +183,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
     """The network learned from ``labels`` (doc_id, quality) and the texts of ``docs`` (doc_id, text)."""
     scratch = Scratch(spark, "bytecnn")
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    sample = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     # The sample has ``rows`` rows at most, a few bytes each.
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     # Rows repeated under one doc_id are left to ``rows`` again; the sample stays of that size.

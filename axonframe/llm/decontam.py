@@ -24,6 +24,8 @@ WINDOW = 8
 LITERAL = 4
 #: A match needs so many windows of an item, or all of them if it has fewer.
 MIN_WINDOWS = 2
+#: Items of fewer words say little by themselves: they match only where they are a whole line.
+WHOLE_LINE = 5
 MAP_BITS = 24
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x1F3D5B79A6C8E0F1, 0x2E4C6A8F0B1D3F57, 0x3D5B7F9182A4C6E8))
 #: Units that may follow a number.
@@ -62,6 +64,14 @@ def templates(data: np.ndarray, offs: np.ndarray):
     return token, value, number | unit | name, at
 
 
+def _line_edges(data: np.ndarray, offs: np.ndarray):
+    """Which words are the first, and which the last, of their line."""
+    starts, _, at = find_words(data, offs, SOFT_GAP)
+    line, row = np.cumsum(data == 10)[starts], np.repeat(np.arange(len(offs) - 1), np.diff(at))
+    new = (line[1:] != line[:-1]) | (row[1:] != row[:-1])
+    return np.append(True, new)[: len(starts)], np.append(new, True)[: len(starts)]
+
+
 def _windows(sizes: list[int], bitmap=None):
     """Windows of whole rows, of the ``sizes`` given; with a bitmap only those that it has."""
 
@@ -71,6 +81,7 @@ def _windows(sizes: list[int], bitmap=None):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, _, data, offs in text_blocks(batch.column(1)):
                 token, value, slot, at = templates(data, offs)
+                edges = _line_edges(data, offs) if bits is not None and min(sizes) < WHOLE_LINE else None
                 filled = np.concatenate([[0], np.cumsum(slot)])
                 for size in sizes:
                     h, row, first = hash_windows(token, at, size)
@@ -78,6 +89,8 @@ def _windows(sizes: list[int], bitmap=None):
                     if bits is not None:
                         b = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
                         keep &= (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 > 0
+                        if size < WHOLE_LINE:
+                            keep &= edges[0][first] & edges[1][first + size - 1]
                     h, row, first = h[keep], row[keep], first[keep]
                     around = first[:, None] + np.arange(size)
                     flat = pa.array(np.where(slot[around], value[around], np.uint64(0)).view(np.int64).ravel())
@@ -103,7 +116,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     ``docs`` has (doc_id, text), ``benchmark`` (item_id, text). Of the alignments of an item with a
     document the one with the most windows counts (the first, in a tie); it must have MIN_WINDOWS
     windows or all of the item's, and consistent slots. ``exact`` tells that every slot holds the
-    item's own value. Items of fewer than WINDOW words match as one window. Null and empty texts
+    item's own value. Items of fewer than WINDOW words match as one window, and those of fewer than
+    WHOLE_LINE words only where they are a whole line. ``place`` is the number of the document's word at
+    which the item's first word would stand, negative if the item's begin is cut off. Null and empty texts
     hold nothing, null ids take no part, repeated rows count once, and other columns are not read.
     """
     scratch = Scratch(spark, "decontam")
@@ -134,6 +149,6 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is not contaminated; null ids stay."""
+    """The rows of ``docs``, all columns whatever their names, whose doc_id is not contaminated; null ids and null texts stay, and all rows of a contaminated doc_id go."""
     bad = contaminated(spark, docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(bad, docs["doc_id"] == bad["__id"], "left_anti")

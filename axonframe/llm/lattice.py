@@ -28,8 +28,8 @@ from .textkernel import GAP, LOWER, find_words, hash_spans, text_blocks
 
 #: The vocabulary file: pieces of a sentencepiece model.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Pieces of more bytes are left out, so that a piece is one 64-bit number.
-PIECE_BYTES = 8
+#: Multiplier of the numbers of pieces of more than eight bytes, whose bytes are compared when they are found.
+LONG_KEY = 0x100000001B3
 #: Rounds of expectation maximisation.
 ROUNDS = 2
 #: Languages with weights of their own; the others share one more.
@@ -50,7 +50,7 @@ def read_pieces(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             piece = model.id_to_piece(i).replace("▁", " ").encode()
-            if len(piece) <= PIECE_BYTES and b" " not in piece[1:] and not any(65 <= b <= 90 for b in piece):
+            if b" " not in piece[1:] and not any(65 <= b <= 90 for b in piece):
                 rank.setdefault(piece, i)
     pieces = [bytes([b]) for b in range(256)] + [p for p in rank if len(p) > 1]
     last = model.get_piece_size()
@@ -64,14 +64,23 @@ class Lattice:
     def __init__(self, pieces: list[bytes], weights: np.ndarray):
         self.n = len(pieces)
         self.weights = np.vstack([weights.reshape(self.n, -1), np.full((1, weights.size // self.n), -np.inf)])
-        self.keys, self.ids, self.maybe = {}, {}, {}
-        for size in range(1, PIECE_BYTES + 1):
-            own = [(int.from_bytes(p, "big"), i) for i, p in enumerate(pieces) if len(p) == size]
+        self.keys, self.ids, self.maybe, self.bytes = {}, {}, {}, {}
+        self.most = max(map(len, pieces))
+        for size in range(1, self.most + 1):
+            own = [(self._number(p), i) for i, p in enumerate(pieces) if len(p) == size]
             own.sort()
+            self.bytes[size] = np.array([list(pieces[i]) for _, i in own], np.uint8).reshape(len(own), size)
             self.keys[size], self.ids[size] = np.array([k for k, _ in own], np.uint64), np.array([i for _, i in own], np.int64)
             self.maybe[size] = np.zeros(1 << 16, bool)
             self.maybe[size][self._slot(self.keys[size])] = True
 
+    @staticmethod
+    def _number(piece: bytes) -> int:
+        key = int.from_bytes(piece[:8], "big")
+        for b in piece[8:]:
+            key = (key * LONG_KEY + b) & (2**64 - 1)
+        return key
+
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
@@ -83,14 +92,16 @@ class Lattice:
         wide = words.astype(np.uint64)
         for i in range(length):
             key, row = np.zeros(count, np.uint64), []
-            for size in range(1, min(PIECE_BYTES, length - i) + 1):
-                key = (key << np.uint64(8)) | wide[:, i + size - 1]
+            for size in range(1, min(self.most, length - i) + 1):
+                key = (key << np.uint64(8)) | wide[:, i + size - 1] if size <= 8 else key * np.uint64(LONG_KEY) + wide[:, i + size - 1]
                 if size == 1:
                     row.append(words[:, i].astype(np.int64))
                     continue
                 hit = np.flatnonzero(self.maybe[size][self._slot(key)])
                 at = np.searchsorted(self.keys[size], key[hit]).clip(max=max(len(self.keys[size]) - 1, 0))
-                same = self.keys[size][at] == key[hit] if len(hit) else np.zeros(0, bool)
+                same = self.keys[size][at] == key[hit] if len(hit) and len(self.keys[size]) else np.zeros(len(hit), bool)
+                if size > 8 and same.any():
+                    same[same] = (self.bytes[size][at[same]] == words[hit[same], i : i + size]).all(axis=1)
                 if same.any():
                     piece = np.full(count, self.n, np.int64)
                     piece[hit[same]] = self.ids[size][at[same]]
@@ -105,7 +116,7 @@ class Lattice:
         alpha = np.full((len(arcs) + 1, count, self.weights.shape[1]), -np.inf)
         alpha[0] = 0
         for j in range(1, len(arcs) + 1):
-            ways = [alpha[i] + self.weights[arcs[i][j - i - 1]] for i in range(max(0, j - PIECE_BYTES), j) if arcs[i][j - i - 1] is not None]
+            ways = [alpha[i] + self.weights[arcs[i][j - i - 1]] for i in range(max(0, j - self.most), j) if arcs[i][j - i - 1] is not None]
             alpha[j] = _log_sum(ways)
         return alpha
 

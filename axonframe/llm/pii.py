@@ -408,10 +408,19 @@ def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``found`` (doc_id, spans) replaced by its kind in angle brackets; doc_ids are unique."""
-    spans = found.filter("spans <> ''").select(F.col("doc_id").alias("__id"), F.sort_array(F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end"), F.split(s, ":")[0].alias("kind")))).alias("__spans"))
-    met = docs.join(spans, docs["doc_id"] == spans["__id"], "left").drop("__id")
+    """``docs`` with every span of ``found`` (doc_id, spans) replaced by its kind in angle brackets.
+
+    doc_ids are unique in ``found``; rows with a null doc_id or text, and those without spans, stay as
+    they are. Columns are passed on whatever their names.
+    """
+    part = lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end"), F.split(s, ":")[0].alias("kind"))
+    spans = found.filter("spans <> ''").select(F.col("doc_id").alias("id"), F.sort_array(F.transform(F.split("spans", ","), part)).alias("own"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = rows.join(spans, F.col("row")["doc_id"].cast("long") == F.col("id"), "left")
+    text = F.col("row")["text"]
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise(a["text"]).alias("text"))
-    done = F.aggregate("__spans", begin, step, lambda a: F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return met.withColumn("text", F.when(F.col("__spans").isNotNull(), done).otherwise(F.col("text"))).drop("__spans")
+    put = lambda a, s: F.concat(a["text"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("<"), s["kind"], F.lit(">"))
+    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], put(a, s)).otherwise(a["text"]).alias("text"))
+    done = F.aggregate("own", begin, step, lambda a: F.concat(a["text"], F.substring(text, a["at"] + 1, F.length(text))))
+    masked = F.when(F.col("own").isNotNull(), done).otherwise(text)
+    return met.select(*[masked.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
