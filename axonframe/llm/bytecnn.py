@@ -24,7 +24,7 @@ TRAIN_ROWS = 2000
 #: Texts of a training step at most, and chunks, about; a longer text is a step of its own.
 EPOCHS, BATCH, STEP_CHUNKS, RATE = 12, 64, 512, 0.01
 #: Weight of the short passages that each training text also gives.
-SHORT = np.float32(0.5)
+SHORT = np.float32(1.0)
 THRESHOLD = 0.7
 
 
