@@ -15,7 +15,7 @@ linked stands in lists that span components, and is one of two kinds. Two member
 near the centre meet near it: those not linked to it are compared whole with all the others, in
 blocks of a few hundred texts whose sets are multiplied as bit rows; a block pair returns a spanning
 forest of its links, so a crowd of texts that resemble each other never makes a row for each two of
-them. Of the others, each two of a list are looked at within the tasks that read the list in order
+them. Of the others, each two with a centre are looked at within the tasks that read them in order
 of size, dealt over as many tasks as the list needs: only pairs whose sizes and sketch bits allow a
 link become rows. No link between components is lost, and none within one is tried in vain.
 """
@@ -75,14 +75,12 @@ def _sketch_bits(batches):
 
 
 def _apart(batches):
-    """Entries in order of (v, block, n) to pairs (a, b): members of different components, not both near the centre, that sizes and sketches allow."""
-    for rows in whole_lists(batches, ("v", "block"), _BITS):
-        for i, j in windows(runs(rows["v"], rows["block"]), rows["n"], (OF, SIMILAR)):
+    """Members in order of (c, block, n) to pairs (a, b): of different components, not both near the centre, that sizes and sketches allow."""
+    for rows in whole_lists(batches, ("c", "block"), _BITS):
+        for i, j in windows(runs(rows["c"], rows["block"]), rows["n"], (OF, SIMILAR)):
             ok = rows["own"][i] & (rows["comp"][i] != rows["comp"][j]) & ~(rows["near"][i] & rows["near"][j])
             i, j = i[ok], j[ok]
             need = np.maximum(rows["need"][i], rows["need"][j])
-            ok = np.minimum(rows["left"][i], rows["left"][j]) >= need
-            i, j, need = i[ok], j[ok], need[ok]
             kept = [np.minimum(rows["n"][x], K) for x in (i, j)]
             ok = (alone(rows, _BITS, i, j) <= kept[0] - need) & (alone(rows, _BITS, j, i) <= kept[1] - need)
             yield pa.RecordBatch.from_arrays([pa.array(rows["cid"][i[ok]]), pa.array(rows["cid"][j[ok]])], ["a", "b"])
@@ -186,17 +184,16 @@ def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scr
 
 
 def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, cid, n, left, central): the inverted lists of the rarest shared values.
+    """(v, cid, n, need, central): the inverted lists of the rarest shared values.
 
-    ``left`` is how many shared values can follow at most, this one included; ``central`` is the
-    same for all values of a document and grows with the company they keep.
+    ``central`` is the same for all values of a document and grows with the company they keep.
     """
     values = classes.select("cid", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     docs = values.join(shared, "v").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("central"))
     docs = docs.join(classes.select("cid", "n"), "cid").withColumn("need", _need(F.col("n"), K)).filter(F.size("vs") >= F.col("need"))
-    lists = docs.select("cid", "n", "need", "central", F.size("vs").alias("c"), F.posexplode(F.slice("vs", F.lit(1), F.size("vs") - F.col("need") + 1)).alias("pos", "e"))
-    return scratch.cut(lists.select(F.col("e.v").alias("v"), "cid", "n", "need", (F.col("c") - F.col("pos")).alias("left"), "central"), "lists")
+    lists = docs.select("cid", "n", "need", "central", F.explode(F.slice("vs", F.lit(1), F.size("vs") - F.col("need") + 1)).alias("e"))
+    return scratch.cut(lists.select(F.col("e.v").alias("v"), "cid", "n", "need", "central"), "lists")
 
 
 def _crowd(near: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -219,17 +216,21 @@ def _crowd(near: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _others(lists: DataFrame, spans: DataFrame, first: DataFrame, member: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of the lists that span components, but for those whose members are both near the list's centre."""
-    rows = lists.join(spans, "v").join(member.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    """Pairs (a, b) of the lists that span components, but for those whose members are both near the list's centre.
+
+    Lists with one centre are read as one, so that documents which meet in many of them meet once.
+    """
+    rows = lists.join(spans, "v").groupBy("c", "cid").agg(F.max("n").alias("n"), F.max("need").alias("need"))
+    rows = rows.join(member.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     near = first.select(F.col("a").alias("cid"), F.col("b").alias("c"), F.lit(True).alias("near"))
     rows = rows.join(near, ["cid", "c"], "left").withColumn("near", F.col("near").isNotNull() | (F.col("cid") == F.col("c")))
-    rows = scratch.cut(rows.select("v", "cid", "comp", "n", "need", "left", "near"), "spread")
-    # Each pair is one block's; a block has a share of the list's shorter members and all the longer ones.
-    work = rows.groupBy("v").agg(F.ceil(F.count("*") * F.count("*") / WORK).cast("int").alias("blocks"), F.bool_and("near").alias("done")).filter("NOT done").select("v", "blocks")
+    rows = scratch.cut(rows.select("c", "cid", "comp", "n", "need", "near"), "spread")
+    # Each pair is one block's; a block has a share of the shorter members and all the longer ones.
+    work = rows.groupBy("c").agg(F.ceil(F.count("*") * F.count("*") / WORK).cast("int").alias("blocks"), F.bool_and("near").alias("done")).filter("NOT done").select("c", "blocks")
     bits = rows.select("cid").distinct().join(classes.select("cid", "sketch"), "cid").mapInArrow(_sketch_bits, "cid long, " + ", ".join(f"{b} long" for b in _BITS))
-    rows = rows.join(work, "v").join(bits, "cid").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.join(work, "c").join(bits, "cid").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("own", F.pmod(F.hash("cid"), "blocks") == F.col("block")).drop("blocks")
-    met = rows.repartition("v", "block").sortWithinPartitions("v", "block", "n")
+    met = rows.repartition("c", "block").sortWithinPartitions("c", "block", "n")
     return met.mapInArrow(_apart, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
