@@ -8,8 +8,6 @@ from pyspark.sql import Column, functions as F
 
 from .presets import STOPS
 
-LITERAL = F.lit
-
 
 def _ratio(num: Column, den: Column, fallback: float) -> Column:
     return F.when(F.abs(den) < 1e-7, F.lit(fallback)).otherwise(F.try_divide(num, den))
