@@ -28,6 +28,8 @@ BUCKETS = 32768
 TRAIN_ROWS = 20_000
 #: Standard errors by which a word's shares must differ: values that are tried.
 CHANCE = (3.0, 5.5, 8.0)
+#: Rounds in which the priors are brought into line with the labels.
+SHIFTS = 3
 #: Factors of the evidence that are tried.
 SHARP = (0.1, 0.25, 0.5, 1.0, 2.0)
 #: Iterations at most, and the relative residual, or its change, that ends them.
@@ -113,8 +115,12 @@ def _soft(evidence: DataFrame, priors: list[float], domains: list[str], sharp: f
     return parts.select(*keep, "n_tokens", *[(F.col(f"e{k}") / whole).alias(f"p_{d}") for k, d in enumerate(domains)])
 
 
-def _chosen(sample: DataFrame, domains: list[str]) -> tuple[float, float]:
-    """(chance, sharp): of the values CHANCE and SHARP, those with the least log loss on a third of the sample that the rest did not teach."""
+def _chosen(sample: DataFrame, domains: list[str]) -> tuple[float, float, list[float]]:
+    """(chance, sharp, shift), by a third of the sample that the rest did not teach.
+
+    Of the values CHANCE and SHARP, those with the least log loss; ``shift`` is added to the log priors,
+    so that the mean posteriors of that third agree with the shares of its labels.
+    """
     apart = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0
     counted = _counts(sample.filter(~apart))
     best = (math.inf, CHANCE[0], 1.0)
@@ -130,19 +136,31 @@ def _chosen(sample: DataFrame, domains: list[str]) -> tuple[float, float]:
         if len(domains) > 1:
             found = evidence.agg(*losses).first()
             best = min([best, *((loss, chance, x) for loss, x in zip(found, SHARP) if loss is not None)])
-    return best[1], best[2]
+    _, chance, sharp = best
+    shift = [0.0] * len(domains)
+    model = _learn(counted, domains, chance)
+    evidence = _evidence(sample.filter(apart), model, "domain")
+    for _ in range(SHIFTS):
+        soft = _soft(evidence, [p + x for p, x in zip(model[0], shift)], domains, sharp, "domain")
+        found = soft.agg(F.count("*"), *[F.avg(f"p_{d}") for d in domains], *[F.avg((F.col("domain") == d).cast("double")) for d in domains]).first()
+        if not found[0]:
+            break
+        means, shares = found[1 : 1 + len(domains)], found[1 + len(domains) :]
+        shift = [x + math.log(max(b, 1e-3) / max(a, 1e-3)) for x, a, b in zip(shift, means, shares)]
+    return chance, sharp, shift
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], keep: list[str]) -> DataFrame:
     """``keep``, n_tokens and p_<domain> of each row of ``docs``.
 
     Words of one text are not independent, so their log likelihood ratios are multiplied by a factor
-    that a held-out third of the sample chooses; an empty text has the priors.
+    that a held-out third of the sample chooses, and the priors are shifted until the mean posteriors of
+    that third agree with its labels; an empty text has the shifted priors.
     """
     chosen = Scratch(docs.sparkSession, "mixing").cut(_sample(docs, labelled, domains), "sample")
-    chance, sharp = _chosen(chosen, domains)
+    chance, sharp, shift = _chosen(chosen, domains)
     model = _learn(_counts(chosen), domains, chance)
-    return _soft(_evidence(docs, model, *keep), model[0], domains, sharp, *keep)
+    return _soft(_evidence(docs, model, *keep), [p + x for p, x in zip(model[0], shift)], domains, sharp, *keep)
 
 
 def _rate(domains: list[str], steps: list[list[float]]) -> Column:
