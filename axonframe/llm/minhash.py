@@ -11,13 +11,13 @@ a document with fewer than ``need`` values that occur elsewhere has no partner a
 
 A list may hold a third of the corpus. Its members first meet only the list's most central member
 (a linear number of pairs); connected components of the verified links follow. What can still be
-linked stands in lists that span components, and is one of two kinds. Two members that were both
-near the centre meet near it: those not linked to it are compared whole with all the others, in
-blocks of a few hundred texts whose sets are multiplied as bit rows; a block pair returns a spanning
-forest of its links, so a crowd of texts that resemble each other never makes a row for each two of
-them. Of the others, each two with a centre are looked at within the tasks that read them in order
-of size, dealt over as many tasks as the list needs: only pairs whose sizes and sketch bits allow a
-link become rows. No link between components is lost, and none within one is tried in vain.
+linked stands in lists that span components. There, those members that are not linked to the centre
+are compared whole with all the others, in blocks of a few hundred texts whose sets are multiplied as
+bit rows; a block pair returns a spanning forest of its links, so a crowd of texts that resemble each
+other never makes a row for each two of them. Which members that had no sketch in common with the
+centre take part is found before, within the tasks that read a centre's lists in order of size: only
+those that sizes and sketch bits allow a link with a member of another component. No link between
+components is lost, and none within one is tried in vain.
 """
 
 from __future__ import annotations
@@ -75,15 +75,18 @@ def _sketch_bits(batches):
 
 
 def _apart(batches):
-    """Members in order of (c, block, n) to pairs (a, b): of different components, not both near the centre, that sizes and sketches allow."""
+    """Members in order of (c, block, n) to (c, cid): those not near the centre that sizes and sketch bits allow a link with a member of another component."""
     for rows in whole_lists(batches, ("c", "block"), _BITS):
+        found = np.zeros(len(rows["c"]), bool)
         for i, j in windows(runs(rows["c"], rows["block"]), rows["n"], (OF, SIMILAR)):
             ok = rows["own"][i] & (rows["comp"][i] != rows["comp"][j]) & ~(rows["near"][i] & rows["near"][j])
             i, j = i[ok], j[ok]
             need = np.maximum(rows["need"][i], rows["need"][j])
             kept = [np.minimum(rows["n"][x], K) for x in (i, j)]
             ok = (alone(rows, _BITS, i, j) <= kept[0] - need) & (alone(rows, _BITS, j, i) <= kept[1] - need)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["cid"][i[ok]]), pa.array(rows["cid"][j[ok]])], ["a", "b"])
+            found[i[ok]] = found[j[ok]] = True
+        held = np.flatnonzero(found & ~rows["near"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows["c"][held]), pa.array(rows["cid"][held])], ["c", "cid"])
 
 
 def _whole_sets(batches):
@@ -169,14 +172,20 @@ def _sketch_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return met.filter(common >= F.greatest("na", "nb")).select("a", "b")
 
 
+def _sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cid, shingles) of the classes ``wanted`` (cid): the whole sets of their texts."""
+    wanted = scratch.cut(wanted.join(classes.select("cid", "rep_id", "digest"), "cid"), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= SENT else wanted  # else the texts are shuffled
+    texts = docs.join(few, docs.doc_id == wanted.rep_id).select("cid", "digest", "text")
+    sets = scratch.cut(texts.mapInArrow(_whole_sets, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
+    scratch.drop(wanted)
+    return sets
+
+
 def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(a, b, linked) of the pairs (a, b) of class ids that pass the sketch filter, and the sets (cid, shingles) of the texts involved, compared whole."""
     pairs = scratch.cut(_sketch_filter(pairs, classes), "pairs")
-    wanted = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep_id", "digest"), "cid"), "wanted")
-    if wanted.count() <= SENT:  # else the texts are shuffled
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, docs.doc_id == wanted.rep_id).select("cid", "digest", "text")
-    sets = scratch.cut(texts.mapInArrow(_whole_sets, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), classes, docs, scratch)
     met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     out = scratch.cut(met.mapInArrow(_compared, "a long, b long, linked boolean"), "compared")
     scratch.drop(pairs)
@@ -196,13 +205,13 @@ def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(lists.select(F.col("e.v").alias("v"), "cid", "n", "need", "central"), "lists")
 
 
-def _crowd(near: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) among the members ``near`` (c, cid, comp, n, linked) to a centre c, but for those that are both linked to it."""
-    size = near.groupBy("c").agg(
+def _crowd(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) among the ``members`` (c, cid, comp, n, linked) of a centre c, but for those that are both linked to it."""
+    size = members.groupBy("c").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / (BLOCK * 512))).cast("int").alias("blocks"),
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_and("linked").alias("done"),
     ).filter("lo <> hi AND NOT done").select("c", "blocks")
-    members = near.join(size, "c").withColumn("block", F.pmod(F.hash("cid"), "blocks")).join(sets, "cid")
+    members = members.join(size, "c").withColumn("block", F.pmod(F.hash("cid"), "blocks")).join(sets, "cid")
     rows = F.collect_list(F.struct("cid", "comp", "shingles")).alias("rows")
     blocks = scratch.cut(members.groupBy("c", "blocks", "block", "linked").agg(rows), "blocks")
     # The unlinked blocks of a centre are dealt over as many turns as they need; each turn meets all blocks.
@@ -215,8 +224,8 @@ def _crowd(near: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     return found
 
 
-def _others(lists: DataFrame, spans: DataFrame, first: DataFrame, member: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of the lists that span components, but for those whose members are both near the list's centre.
+def _far(lists: DataFrame, spans: DataFrame, first: DataFrame, member: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(c, cid, comp, n) of the members of the lists that span components which are not near the centre c, and may be linked with another member.
 
     Lists with one centre are read as one, so that documents which meet in many of them meet once.
     """
@@ -228,10 +237,11 @@ def _others(lists: DataFrame, spans: DataFrame, first: DataFrame, member: DataFr
     # Each pair is one block's; a block has a share of the shorter members and all the longer ones.
     work = rows.groupBy("c").agg(F.ceil(F.count("*") * F.count("*") / WORK).cast("int").alias("blocks"), F.bool_and("near").alias("done")).filter("NOT done").select("c", "blocks")
     bits = rows.select("cid").distinct().join(classes.select("cid", "sketch"), "cid").mapInArrow(_sketch_bits, "cid long, " + ", ".join(f"{b} long" for b in _BITS))
-    rows = rows.join(work, "c").join(bits, "cid").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("own", F.pmod(F.hash("cid"), "blocks") == F.col("block")).drop("blocks")
-    met = rows.repartition("c", "block").sortWithinPartitions("c", "block", "n")
-    return met.mapInArrow(_apart, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    dealt = rows.join(work, "c").join(bits, "cid").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("own", F.pmod(F.hash("cid"), "blocks") == F.col("block")).drop("blocks")
+    dealt = dealt.repartition("c", "block").sortWithinPartitions("c", "block", "n")
+    found = dealt.mapInArrow(_apart, "c long, cid long").distinct()
+    return scratch.cut(rows.join(found, ["c", "cid"]).select("c", "cid", "comp", "n"), "far")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -260,19 +270,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     links = first.filter("linked").select("a", "b")
     member = components(links, scratch)
 
-    # Lists across components: near their centres, and the others.
+    # Lists across components: members near their centres, and others that may be linked with them or with each other.
     labelled = lists.select("v", "cid").join(member.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     spans = labelled.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("v")
     spans = scratch.cut(spans.join(mids, "v").select("v", F.col("b").alias("c")), "spans")
+    far = _far(lists, spans, first, member, classes, scratch)
+    scratch.drop(lists, mids)
     near = first.select(F.col("b").alias("c"), F.col("a").alias("cid"), "linked").join(spans.select("c").distinct(), "c", "left_semi")
     near = near.join(member.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).join(classes.select("cid", "n"), "cid")
-    crowd = _crowd(near, sets, scratch)
-    scratch.drop(sets)
-    third, used = _compare(_others(lists, spans, first, member, classes, scratch), classes, docs, scratch)
-    scratch.drop(used, lists)
+    members = near.select("c", "cid", "comp", "n", "linked").union(far.select("c", "cid", "comp", "n", F.lit(False)))
+    more = _sets_of(far.select("cid").distinct().join(sets.select("cid"), "cid", "left_anti"), classes, docs, scratch)
+    late = _crowd(members, sets.union(more), scratch)
+    scratch.drop(sets, more, far)
 
     # The later links join components.
-    late = crowd.union(third.filter("linked").select("a", "b"))
     for side in ("a", "b"):
         late = late.join(member.toDF(side, "comp"), side, "left").withColumn(side, F.coalesce("comp", side)).select("a", "b")
     merged = components(late, scratch)
