@@ -48,7 +48,7 @@ ENTRIES = 1 << 19
 #: Digests that repeat, which are broadcast if there are no more of them; their number is counted first.
 SENT = 500_000
 #: Bits of the maps of the texts and lines that are read anew.
-MAP_BITS = 26
+MAP_BITS = 24
 
 _LINE = "doc_id long, line_no int, d1 long, d2 long, n int, s1 long, s2 long, skip int, tokens array<long>, wide array<struct<v: long, part: int>>"
 _BITS = ("s1", "s2")
@@ -330,8 +330,12 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
         bits = np.zeros(1 << (MAP_BITS - 6), np.uint64)
         bits[own["w"].to_numpy()] = own["x"].to_numpy().view(np.uint64)
         maps.append(bits.tobytes())
-    read = docs.mapInArrow(_listed_sets(docs.sparkSession.sparkContext.broadcast(maps)), "doc_id long, line_no int, d1 long, tokens binary")
-    return read.join(wanted, ["doc_id", "line_no", "d1"]).select("cid", "tokens").dropDuplicates(["cid"])
+    shared = docs.sparkSession.sparkContext.broadcast(maps)
+    read = docs.mapInArrow(_listed_sets(shared), "doc_id long, line_no int, d1 long, tokens binary")
+    key = ["doc_id", "line_no", "d1"]  # rows repeated whole give a line again
+    sets = scratch.cut(read.dropDuplicates(key).join(wanted, key).select("cid", "tokens"), "sets")
+    shared.destroy()
+    return sets
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -346,7 +350,7 @@ def _late(pairs: DataFrame, places: DataFrame, docs: DataFrame, scratch: Scratch
     One such is enough: each class is held against the earliest of its candidates first, and only
     those that this doesn't settle against all of them.
     """
-    at = places.select("cid", F.struct("doc_id", "line_no", "d1", "d2").alias("at"))
+    at = places.select("cid", F.struct("doc_id", "line_no", "d1").alias("at"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     placed = pairs.join(at.toDF("a", "at_a"), "a").join(at.toDF("b", "at_b"), "b")
     later = F.col("at_a") > F.col("at_b")
@@ -354,10 +358,12 @@ def _late(pairs: DataFrame, places: DataFrame, docs: DataFrame, scratch: Scratch
     pairs = scratch.cut(placed.select(ends[0].alias("late"), ends[1].alias("early"), ends[2].alias("at")), "pairs")
     wanted = pairs.select(F.explode(F.array("late", "early")).alias("cid")).distinct().join(places.select("cid", "doc_id", "line_no", "d1"), "cid")
     wanted = scratch.cut(wanted.select("cid", "doc_id", "line_no", "d1"), "wanted")
-    sets = scratch.cut(_sets_of(wanted, docs, scratch), "sets")
+    sets = _sets_of(wanted, docs, scratch)
     first = pairs.groupBy("late").agg(F.min(F.struct("at", "early")).alias("x")).select("late", F.col("x.early").alias("early"))
     found = scratch.cut(_similar(first, sets), "similar")
-    rest = scratch.cut(pairs.select("late", "early").join(found.toDF("late"), "late", "left_anti"), "rest")
+    first = first.withColumnRenamed("early", "tried")
+    rest = pairs.select("late", "early").join(found.toDF("late"), "late", "left_anti").join(first, "late").filter("early <> tried")
+    rest = scratch.cut(rest.select("late", "early"), "rest")
     if not rest.isEmpty():
         found = found.union(scratch.cut(_similar(rest, sets), "similar"))
     scratch.drop(pairs, wanted, sets, rest)
@@ -402,6 +408,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     shared = spark.sparkContext.broadcast(rarity_table(docs))
     lines = scratch.cut(docs.mapInArrow(_reader(shared), _LINE), "lines")
+    shared.destroy()
     again = lines.groupBy("d1", "d2").agg(F.count("*").alias("k")).filter("k > 1").select("d1", "d2")
     again = scratch.cut(again, "again")
     once = None
