@@ -35,7 +35,7 @@ MAP_BITS = 26
 PARTS = 1 << 16
 #: Rows (of a few dozen bytes) of a table that is broadcast at most; its size is counted first.
 SENT = 50_000
-_UNIT = "d1 long, d2 long, doc_id long, start int, end int, n_words int, key long, pos int, rest int"
+_UNIT = "d1 long, d2 long, doc_id long, start int, end int, n_words int, key int, pos int, rest int"
 
 
 def _second(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -184,7 +184,9 @@ def _found(met: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     hot = scratch.cut(first.filter(F.col("n") > total // PARTS + (1 << 12)).select("d1", "d2"), "hot")
     met = _join_digests(met, first.drop("n"), hot)
     found = met.filter("doc_id <> kept_doc_id OR start >= kept_end OR (key <> kept_key AND start <> kept_start)")
-    return scratch.cut(found.drop("kept_end", "kept_key"), "found"), hot
+    found = scratch.cut(found.drop("kept_end", "kept_key"), "found")
+    scratch.drop(first)
+    return found, hot
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -197,9 +199,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     empty table gives no rows, and texts of any length are read whole.
     """
     scratch = Scratch(spark, "substring")
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("key", F.xxhash64("text"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("key", F.hash("text"))
     bitmap = spark.sparkContext.broadcast(_repeated_bits(given))
     met = scratch.cut(given.mapInArrow(_units(bitmap), _UNIT), "met")
+    bitmap.destroy()
     found, hot = _found(met, scratch)
     # Ends of the stretches that found seeds cover, and the seeds from which such an end is near.
     doc = Window.partitionBy("doc_id", "key").orderBy("pos")
@@ -216,8 +219,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     edges = scratch.cut(given.join(near, ["doc_id", "key"]).select("doc_id", "text", "key", "seeds").mapInArrow(_edges, _UNIT), "edges")
     found = found.unionByName(_found(edges, scratch)[0])
     scratch.drop(edges)
+    found = found.select("doc_id", "start", "end", "n_words", "kept_doc_id", "kept_start", "d1", "d2").dropDuplicates(["doc_id", "start", "end", "d1", "d2"])
     digest = F.concat(F.lower(F.lpad(F.hex("d1"), 16, "0")), F.lower(F.lpad(F.hex("d2"), 16, "0"))).alias("digest")
-    return found.select("doc_id", "start", "end", F.col("n_words").cast("long").alias("n_words"), "kept_doc_id", "kept_start", digest).dropDuplicates(["doc_id", "start", "end", "digest"])
+    return found.select("doc_id", "start", "end", F.col("n_words").cast("long").alias("n_words"), "kept_doc_id", "kept_start", digest)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, removed: str = "removed") -> DataFrame:
