@@ -80,7 +80,7 @@ _SYNC = "CASE WHEN count(*) <= 1 THEN 1.0 ELSE 1.0 - least(1.0, stddev_pop(round
 # --- statistics -----------------------------------------------------------------------------------
 
 
-@_query(f"""SELECT r.network_id, count(*) AS n_neurons, count_if(excitatory) AS exc_count, count_if(NOT excitatory) AS inh_count, round(avg(v), 2) AS mean_v,
+@_query(f"""SELECT r.network_id, count(*) AS n_neurons, count_if(excitatory) AS exc_count, count_if(NOT excitatory) AS inh_count, round(avg(v) + 1e-9, 2) AS mean_v,
   CAST(sum(n_spikes) AS BIGINT) AS total_spikes, round(max(rate), 2) AS max_rate, round({_SYNC}, 3) AS synchrony, coalesce(max(e.k), 0) AS n_synapses, {RUN_MS}::DOUBLE AS sim_time_ms
   FROM rated r LEFT JOIN (SELECT network_id, count(*) AS k FROM synapses s JOIN population p ON p.id = s.src_id GROUP BY 1) e ON e.network_id = r.network_id GROUP BY 1""", "rated", "synapses")
 def q_network_stats(spark, sf):
@@ -725,7 +725,7 @@ def q_pulse_fanout(spark, sf):
     return _six(display.pulses(T.spikes(spark, sf), T.synapses(spark, sf), graph.circle(T.neurons(spark, sf))))
 
 
-@_query(f"{_PLACED} SELECT id, CAST(f AS INT) AS frame, round(x * (1 - f * 0.06), 6) AS x, round(1 - 0.7 * f * 0.06, 6) AS opacity FROM p, unnest(range(17)) u(f) WHERE f * 0.06 < 1", "neurons")
+@_query(f"{_PLACED} SELECT id, CAST(f AS INT) AS frame, round(x * (1 - f * 0.06), 6) AS x, CAST(round(1 - 0.7 * f * 0.06, 6) AS DOUBLE) AS opacity FROM p, unnest(range(17)) u(f) WHERE f * 0.06 < 1", "neurons")
 def q_pulse_animation(spark, sf):
     ends = graph.circle(T.neurons(spark, sf)).select("id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.lit(0.0).alias("tx"), F.lit(0.0).alias("ty"))
     return display.animate(ends).select("id", "frame", "x", "opacity")
