@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.presets import RADII
+from .timeline import running
 
 
 def radius(kind):
@@ -73,3 +74,27 @@ def anchored_frame(t, dt: float = 0.3, every: float = 20.0):
     """
     steps = -int(-round(every / dt, 9) // 1)
     return F.floor(F.floor(F.round(t / dt, 6)) / steps)
+
+
+def frame_stats(nodes: DataFrame, edges: DataFrame, spikes: DataFrame, width: float = 20.0, segment: float = 1e6) -> DataFrame:
+    """The statistics part of the state frames: a row for each network and each frame in which one of its neurons fires.
+
+    (network_id, frame, t_ms, n_neurons, exc_count, inh_count, n_synapses, mean_v, firing, frame_spikes, total_spikes,
+    mean_rate, synchrony) at the frame's end ``t_ms``. Running totals come from sparse frames: the spread of the rates needs
+    the sum of the squared counts, which a neuron's k-th spike moves by 2k - 1. Rates are not rounded before their spread.
+    """
+    own = spikes.withColumnRenamed("neuron_id", "id").join(nodes.select("id", "network_id"), "id").withColumn("frame", F.floor(F.col("t_ms") / width))
+    per_neuron = own.groupBy("network_id", "id", "frame").agg(F.count("*").alias("k"))
+    counted = running(per_neuron.withColumn("upto", F.col("k")), ["network_id", "id"], "frame", ["upto"], segment)
+    squares = F.col("upto") * F.col("upto") - (F.col("upto") - F.col("k")) * (F.col("upto") - F.col("k"))
+    per_frame = counted.groupBy("network_id", "frame").agg(F.count("*").alias("firing"), F.sum("k").alias("frame_spikes"), F.sum("k").alias("total_spikes"), F.sum(squares).alias("square"))
+    totals = running(per_frame, ["network_id"], "frame", ["total_spikes", "square"], segment)
+
+    fixed = nodes.groupBy("network_id").agg(F.count("*").alias("n_neurons"), F.count_if("excitatory").alias("exc_count"), F.count_if(~F.col("excitatory")).alias("inh_count"), F.avg("v").alias("mean_v"))
+    n_edges = edges.join(nodes.select(F.col("id").alias("src_id"), "network_id"), "src_id").groupBy("network_id").agg(F.count("*").alias("n_synapses"))
+    met = totals.join(fixed.join(n_edges, "network_id", "left"), "network_id").withColumn("t_ms", (F.col("frame") + 1) * width)
+    n, scale = F.col("n_neurons"), 1000.0 / F.greatest("t_ms", F.lit(1.0))
+    rate = F.col("total_spikes") / n * scale
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("square") / n - (F.col("total_spikes") / n) * (F.col("total_spikes") / n))) * scale
+    sync = F.when(n <= 1, 1.0).otherwise(1.0 - F.least(F.lit(1.0), spread / (rate + 1e-6)))
+    return met.select("network_id", "frame", "t_ms", "n_neurons", "exc_count", "inh_count", F.coalesce("n_synapses", F.lit(0)).alias("n_synapses"), "mean_v", "firing", "frame_spikes", "total_spikes", rate.alias("mean_rate"), sync.alias("synchrony"))

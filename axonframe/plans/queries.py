@@ -758,3 +758,6 @@ def q_tooltip(spark, sf):
 def q_param_domain_check(spark, sf):
     outside = F.filter("genome", lambda x, i: ~x.between(evolution.low(i), evolution.high(i)))
     return T.genomes(spark, sf).select("vec_id", F.size(outside).cast("long").alias("n_outside"))
+
+
+from . import runs  # noqa: E402,F401  registers its queries beside these

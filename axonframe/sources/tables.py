@@ -51,6 +51,13 @@ def stimuli(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("stim_id"), F.col("user_id").alias("neuron_id"), kind.alias("stim_type"), F.least("value", F.lit(30.0)).alias("amplitude"), (5 + 5 * k).cast("double").alias("duration_ms"), (1 + k).cast("double").alias("frequency"), F.col("event_id").cast("double").alias("start_t"))
 
 
+def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, op, id, src_id, tgt_id, weight): the log of edits, a command for each event."""
+    op = F.when(F.col("event_type") == "click", "add_synapse").when(F.col("event_type") == "view", "update_synapse").when(F.col("event_type") == "purchase", "remove_synapse").when(F.col("event_type") == "signup", "add_neuron").otherwise("remove_neuron")
+    tgt = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("id"), F.col("user_id").alias("src_id"), tgt.alias("tgt_id"), F.least(F.col("value") / 50, F.lit(10.0)).alias("weight"))
+
+
 def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, label, genome): as many elements as there are genes."""
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, len(GENES)).cast("array<double>").alias("genome"))
