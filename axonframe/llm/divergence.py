@@ -71,11 +71,12 @@ def shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 def _tile(rows: pd.DataFrame) -> pd.DataFrame:
     """A tile's part of the result: differences of source pairs summed over its terms, and the best terms of each source."""
+    columns = ["lang", "source", "part", "item", "value"]
     lang, a, b = rows["lang"].iloc[0], int(rows["a"].iloc[0]), int(rows["b"].iloc[0])
     # kind 0: a source, with its sum of counts; 1: a term, with its count in the language; 2: a term's count in a source
     sources, terms, counts = (rows[rows["kind"] == k] for k in (0, 1, 2))
-    if not len(sources):
-        return pd.DataFrame({"lang": [], "source": [], "part": [], "item": [], "value": []})
+    if not len(sources):  # blocks that got no source
+        return pd.DataFrame([], columns=columns).astype({"value": "int64"})
     names = sources["source"].to_numpy()
     order = np.argsort(names)
     names, block, total = names[order], sources["block"].to_numpy()[order], sources["n"].to_numpy()[order]
@@ -89,7 +90,7 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
     for i in range(len(names)):  # a source against the others of the tile; a pair within one block is in that block's own tile
         other = np.flatnonzero((block != block[i]) if a != b else (np.arange(len(names)) != i))
         if len(other):
-            out.append(pd.DataFrame({"lang": lang, "source": names[i], "part": "pair", "item": names[other], "value": np.abs(p[other] - p[i]).sum(axis=1).astype(np.int64)}))
+            out.append((names[i], "pair", names[other], np.abs(p[other] - p[i]).sum(axis=1)))
     if a == b and size:
         by_id = terms.sort_values("term")["n"].to_numpy()
         q = shares(by_id + SMOOTH, np.array(lang_n + SMOOTH * n_terms))
@@ -97,8 +98,9 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
             over = np.flatnonzero((dense[i] > 0) & (p[i] > q))
             gain = p[i][over] - q[over]
             best = over[np.lexsort((over, -gain))[:TOP]]
-            out.append(pd.DataFrame({"lang": lang, "source": names[i], "part": "term", "item": own[best], "value": p[i][best] - q[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"lang": [], "source": [], "part": [], "item": [], "value": []})
+            out.append((names[i], "term", own[best], p[i][best] - q[best]))
+    flat = [(lang, source, part, item, int(value)) for source, part, items, values in out for item, value in zip(items, values)]
+    return pd.DataFrame(flat, columns=columns).astype({"value": "int64"})
 
 
 def audit(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, width: int = WIDTH, least: int = SLICES, block: int = BLOCK) -> DataFrame:

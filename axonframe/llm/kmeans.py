@@ -34,7 +34,7 @@ def first_centroids(points: DataFrame, k: int = K, seed: int = SEED) -> np.ndarr
     """The ``k`` vectors with the smallest sha256 of ``seed:vec_id``, in that order; a top-k, so k rows reach the driver."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit("")))
     rows = points.select(F.sha2(text, 256).alias("h"), "v").orderBy("h", "v").limit(k).collect()
-    return np.array([r.v for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], dtype=np.int64) if rows else np.empty((0, 0), dtype=np.int64)
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +64,8 @@ def cluster_sums(points: DataFrame, centroids: np.ndarray) -> DataFrame:
             for c in np.unique(best):
                 total[c] += x[best == c].sum(axis=0)
         met = np.flatnonzero(n)
-        yield pd.DataFrame({"cluster": met.astype("int32"), "n": n[met], "sums": list(total[met])})
+        if len(met):
+            yield pd.DataFrame({"cluster": met.astype("int32"), "n": n[met], "sums": list(total[met])})
 
     parts = points.select("v").mapInPandas(partial, "cluster int, n long, sums array<long>")
     merged = parts.groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(dim)])
