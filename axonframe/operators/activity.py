@@ -27,7 +27,7 @@ def synaptic_input(edges: DataFrame, kinds: DataFrame, nodes: DataFrame) -> Data
     return met.groupBy(F.col("tgt_id").alias("id")).agg(F.sum(-F.col("g_max") * F.col("weight") * (F.col("v") - F.col("e_rev")) * 1e-3).alias("current"))
 
 
-def last_spikes(spikes: DataFrame, at: float) -> DataFrame:
+def last_spikes(spikes: DataFrame, at: Column | float) -> DataFrame:
     """(id, last_t, fired): each neuron's last spike up to ``at``, and whether it is at ``at``."""
     return spikes.filter(F.col("t_ms") <= at).groupBy(F.col("neuron_id").alias("id")).agg(F.max("t_ms").alias("last_t")).withColumn("fired", F.col("last_t") == at)
 
@@ -37,7 +37,7 @@ def clamped(weight: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(10.0), weight))
 
 
-def plasticity(edges: DataFrame, last: DataFrame, at: float, up: float = 0.01, down: float = 0.012, tau: float = 20.0, hebbian: bool = False) -> DataFrame:
+def plasticity(edges: DataFrame, last: DataFrame, at: Column | float, up: float = 0.01, down: float = 0.012, tau: float = 20.0, hebbian: bool = False) -> DataFrame:
     """``edges`` with weights moved by the spikes at ``at`` and kept within [0, 10].
 
     A source that fires alone strengthens an edge, a target that fires alone weakens it, by the
@@ -57,11 +57,16 @@ def plasticity(edges: DataFrame, last: DataFrame, at: float, up: float = 0.01, d
     return met.select(*[c for c in edges.columns if c != "weight"], weight.alias("weight"))
 
 
-def rates(nodes: DataFrame, spikes: DataFrame, t: float) -> DataFrame:
+def clock(t: Column | float) -> Column:
+    """A time in ms as a column."""
+    return t if isinstance(t, Column) else F.lit(float(t))
+
+
+def rates(nodes: DataFrame, spikes: DataFrame, t: Column | float) -> DataFrame:
     """``nodes`` with n_spikes and rate (Hz over the whole run); silent neurons have zero."""
     counts = spikes.groupBy(F.col("neuron_id").alias("id")).agg(F.count("*").alias("n_spikes"))
     met = nodes.join(counts, "id", "left").withColumn("n_spikes", F.coalesce("n_spikes", F.lit(0)).cast("long"))
-    return met.withColumn("rate", F.col("n_spikes") / max(t, 1.0) * 1000.0)
+    return met.withColumn("rate", F.col("n_spikes") / F.greatest(clock(t), F.lit(1.0)) * 1000.0)
 
 
 def synchrony() -> Column:
@@ -96,7 +101,7 @@ def network_weights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 TIE = 1e-9
 
 
-def network_stats(nodes: DataFrame, spikes: DataFrame, edges: DataFrame, t: float) -> DataFrame:
+def network_stats(nodes: DataFrame, spikes: DataFrame, edges: DataFrame, t: Column | float) -> DataFrame:
     """A row for each network: counts, mean potential, spikes, synchrony and time."""
     rated = rates(nodes, spikes, t)
     n_edges = edges.join(nodes.select(F.col("id").alias("src_id"), "network_id"), "src_id").groupBy("network_id").agg(F.count("*").alias("n_synapses"))
@@ -104,7 +109,7 @@ def network_stats(nodes: DataFrame, spikes: DataFrame, edges: DataFrame, t: floa
         F.count("*").alias("n_neurons"), F.count_if("excitatory").alias("exc_count"), F.count_if(~F.col("excitatory")).alias("inh_count"), F.round(F.avg("v") + TIE, 2).alias("mean_v"),
         F.sum("n_spikes").alias("total_spikes"), F.round(F.max("rate"), 2).alias("max_rate"), F.round(synchrony(), 3).alias("synchrony"),
     )
-    return stats.join(n_edges, "network_id", "left").withColumn("n_synapses", F.coalesce("n_synapses", F.lit(0)).cast("long")).withColumn("sim_time_ms", F.lit(round(float(t), 1)))
+    return stats.join(n_edges, "network_id", "left").withColumn("n_synapses", F.coalesce("n_synapses", F.lit(0)).cast("long")).withColumn("sim_time_ms", F.round(clock(t), 1))
 
 
 def trace_window(samples: DataFrame, key: str, t: str, size: int = 200) -> DataFrame:

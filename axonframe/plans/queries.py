@@ -15,8 +15,11 @@ from ..streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: The length of a run, in ms: more than any spike time of the tables.
-RUN_MS = 100_000.0
+#: The length of a run, in ms: it ends with the step of its last spike.
+_RUN_SQL = "(SELECT max(t_ms) + 1 FROM spikes)"
+#: The moment of its last spike.
+_LAST_SQL = "(SELECT max(t_ms) FROM spikes)"
+_HALF_SQL = f"({_RUN_SQL} / 2)"
 
 _VIEWS = {
     "neurons": "SELECT s_suppkey AS id, s_suppkey % 5 AS network_id, CASE s_suppkey % 6 WHEN 0 THEN 'pyramidal' WHEN 1 THEN 'interneuron' WHEN 2 THEN 'motor' WHEN 3 THEN 'sensory' WHEN 4 THEN 'purkinje' ELSE 'granule' END AS neuron_type, CASE WHEN s_suppkey % 18 < 6 THEN 'izh' WHEN s_suppkey % 18 < 12 THEN 'lif' ELSE 'hh' END AS model, s_suppkey % 6 NOT IN (1, 4) AS excitatory FROM supplier",
@@ -32,7 +35,7 @@ _VIEWS = {
 _NEEDS = {"cells": ("neurons", "presets"), "wires": ("neurons", "presets", "cells", "synapses"), "rated": ("population", "spikes")}
 _VIEWS["cells"] = "SELECT n.*, p.* EXCLUDE (neuron_type, p_excitatory) FROM neurons n JOIN presets p ON p.neuron_type = n.neuron_type"
 _VIEWS["wires"] = "SELECT s.*, exp(-s.distance / ((CASE WHEN myelinated THEN 2.0 ELSE 0.5 END) * sqrt(greatest(0.1, axon_diameter)))) AS attenuation, s.distance / greatest(CASE WHEN myelinated THEN greatest(1.0, 6.0 * axon_diameter) ELSE greatest(0.2, 0.57 * sqrt(axon_diameter)) END, 0.001) AS delay_ms, (CASE WHEN myelinated THEN 2.0 ELSE 0.5 END) * sqrt(greatest(0.1, axon_diameter)) AS length FROM synapses s JOIN cells c ON c.id = s.src_id"
-_VIEWS["rated"] = f"SELECT p.*, coalesce(k, 0) AS n_spikes, coalesce(k, 0) / {RUN_MS} * 1000 AS rate FROM population p LEFT JOIN (SELECT neuron_id, count(*) AS k FROM spikes GROUP BY 1) s ON s.neuron_id = p.id"
+_VIEWS["rated"] = f"SELECT p.*, coalesce(k, 0) AS n_spikes, coalesce(k, 0) / greatest({_RUN_SQL}, 1.0) * 1000 AS rate FROM population p LEFT JOIN (SELECT neuron_id, count(*) AS k FROM spikes GROUP BY 1) s ON s.neuron_id = p.id"
 
 
 def _u(seed: str, *keys: str) -> str:
@@ -65,8 +68,12 @@ def _wires(spark, sf):
     return activity.cable(T.synapses(spark, sf), _cells(spark, sf))
 
 
+def _run(spark, sf):
+    return T.spikes(spark, sf).select(F.max("t_ms") + 1).scalar()
+
+
 def _rated(spark, sf):
-    return activity.rates(T.population(spark, sf), T.spikes(spark, sf), RUN_MS)
+    return activity.rates(T.population(spark, sf), T.spikes(spark, sf), _run(spark, sf))
 
 
 def _six(df: DataFrame) -> DataFrame:
@@ -81,10 +88,10 @@ _SYNC = "CASE WHEN count(*) <= 1 THEN 1.0 ELSE 1.0 - least(1.0, stddev_pop(round
 
 
 @_query(f"""SELECT r.network_id, count(*) AS n_neurons, count_if(excitatory) AS exc_count, count_if(NOT excitatory) AS inh_count, round(avg(v) + 1e-9, 2) AS mean_v,
-  CAST(sum(n_spikes) AS BIGINT) AS total_spikes, round(max(rate), 2) AS max_rate, round({_SYNC}, 3) AS synchrony, coalesce(max(e.k), 0) AS n_synapses, {RUN_MS}::DOUBLE AS sim_time_ms
+  CAST(sum(n_spikes) AS BIGINT) AS total_spikes, round(max(rate), 2) AS max_rate, round({_SYNC}, 3) AS synchrony, coalesce(max(e.k), 0) AS n_synapses, {_RUN_SQL} AS sim_time_ms
   FROM rated r LEFT JOIN (SELECT network_id, count(*) AS k FROM synapses s JOIN population p ON p.id = s.src_id GROUP BY 1) e ON e.network_id = r.network_id GROUP BY 1""", "rated", "synapses")
 def q_network_stats(spark, sf):
-    return activity.network_stats(T.population(spark, sf), T.spikes(spark, sf), T.synapses(spark, sf), RUN_MS)
+    return activity.network_stats(T.population(spark, sf), T.spikes(spark, sf), T.synapses(spark, sf), _run(spark, sf))
 
 
 @_query("SELECT id, n_spikes, round(rate, 6) AS rate FROM rated", "rated")
@@ -263,10 +270,10 @@ def q_add_stimulus(spark, sf):
     return T.stimuli(spark, sf).select("stim_id", "neuron_id", "start_t").unionByName(new)
 
 
-@_query(f"SELECT network_id, 't = ' || printf('%.0f', {RUN_MS}::DOUBLE) || ' ms' AS clock, CAST(sum(n_spikes) AS BIGINT) || ' spikes' AS spikes, 'sync: ' || printf('%.2f', round(round({_SYNC}, 3), 2)) AS sync FROM rated GROUP BY 1", "rated")
+@_query(f"SELECT network_id, 't = ' || printf('%.0f', {_RUN_SQL}) || ' ms' AS clock, CAST(sum(n_spikes) AS BIGINT) || ' spikes' AS spikes, 'sync: ' || printf('%.2f', round(round({_SYNC}, 3), 2)) AS sync FROM rated GROUP BY 1", "spikes", "rated")
 def q_header_stats(spark, sf):
     stats = _rated(spark, sf).groupBy("network_id").agg(F.sum("n_spikes").alias("n"), F.round(activity.synchrony(), 3).alias("sync"))
-    return stats.select("network_id", F.format_string("t = %.0f ms", F.lit(RUN_MS)).alias("clock"), F.concat(F.col("n").cast("string"), F.lit(" spikes")).alias("spikes"), F.format_string("sync: %.2f", F.round("sync", 2)).alias("sync"))
+    return stats.select("network_id", F.format_string("t = %.0f ms", _run(spark, sf)).alias("clock"), F.concat(F.col("n").cast("string"), F.lit(" spikes")).alias("spikes"), F.format_string("sync: %.2f", F.round("sync", 2)).alias("sync"))
 
 
 # --- topologies and edits -------------------------------------------------------------------------
@@ -422,13 +429,14 @@ def q_synaptic_input(spark, sf):
     return _six(activity.synaptic_input(T.synapses(spark, sf), synapse_types(spark), T.population(spark, sf)))
 
 
-@_query("""#d AS (SELECT tgt_id, t_ms + delay_ms AS a, weight * attenuation AS w, tau, g_max FROM spikes JOIN wires ON neuron_id = src_id JOIN kinds USING (syn_type) WHERE t_ms < 200)
-  SELECT tgt_id, round(sum(g_max * w * ((200.0 - a) / tau) * exp(1 - (200.0 - a) / tau)), 6) AS g FROM d WHERE a <= 200 GROUP BY 1""", "spikes", "wires", "kinds")
+@_query(f"""#d AS (SELECT tgt_id, t_ms + delay_ms AS a, weight * attenuation AS w, tau, g_max FROM spikes JOIN wires ON neuron_id = src_id JOIN kinds USING (syn_type)), r AS (SELECT {_RUN_SQL} AS e)
+  SELECT tgt_id, round(sum(g_max * w * ((e - a) / tau) * exp(1 - (e - a) / tau)), 6) AS g FROM d, r WHERE a <= e GROUP BY 1""", "spikes", "wires", "kinds")
 def q_alpha_closed_form(spark, sf):
     wires = _wires(spark, sf)
-    met = T.spikes(spark, sf).filter("t_ms < 200").withColumnRenamed("neuron_id", "src_id").join(wires, "src_id").join(F.broadcast(synapse_types(spark)), "syn_type")
-    x = (200.0 - F.col("t_ms") - F.col("delay_ms")) / F.col("tau")
-    return _six(met.filter(F.col("t_ms") + F.col("delay_ms") <= 200).groupBy("tgt_id").agg(F.sum(F.col("g_max") * F.col("weight") * F.col("attenuation") * x * F.exp(1 - x)).alias("g")))
+    end = _run(spark, sf)
+    met = T.spikes(spark, sf).withColumnRenamed("neuron_id", "src_id").join(wires, "src_id").join(F.broadcast(synapse_types(spark)), "syn_type")
+    x = (end - (F.col("t_ms") + F.col("delay_ms"))) / F.col("tau")
+    return _six(met.filter(F.col("t_ms") + F.col("delay_ms") <= end).groupBy("tgt_id").agg(F.sum(F.col("g_max") * F.col("weight") * F.col("attenuation") * x * F.exp(1 - x)).alias("g")))
 
 
 @_query("""#s(syn_type, k, g, dg, peak) AS (SELECT syn_type, 0, 0.0::DOUBLE, g_max * 2.718281828459045 / tau, 0.0::DOUBLE FROM kinds UNION ALL
@@ -447,9 +455,9 @@ def _stim(rel, draw):
     return kernels.stimulus(F.col("stim_type"), F.col("amplitude"), F.col("duration_ms"), F.col("frequency"), rel, draw)
 
 
-@_query(f"SELECT stim_id, round({_stim_sql('500.0', _u('st', 'stim_id'))}, 6) + 0.0 AS current FROM stimuli", "stimuli")
+@_query(f"SELECT stim_id, round({_stim_sql(_HALF_SQL, _u('st', 'stim_id'))}, 6) + 0.0 AS current FROM stimuli", "stimuli", "spikes")
 def q_stimulus_current(spark, sf):
-    return _six(T.stimuli(spark, sf).select("stim_id", _stim(500.0 - F.col("start_t"), uniform("st", "stim_id")).alias("current")))
+    return _six(T.stimuli(spark, sf).select("stim_id", _stim(_run(spark, sf) / 2 - F.col("start_t"), uniform("st", "stim_id")).alias("current")))
 
 
 @_query(f"SELECT stim_id, k AS step, {_u('sr', 'stim_id', 'k')} < frequency * 1e-3 AS active FROM stimuli, unnest(range(3)) u(k) WHERE stim_type = 'random'", "stimuli")
@@ -458,15 +466,15 @@ def q_stimulus_random(spark, sf):
     return each.select("stim_id", "step", (uniform("sr", "stim_id", "step") < F.col("frequency") * 1e-3).alias("active"))
 
 
-@_query(f"SELECT neuron_id, CAST(t AS BIGINT) AS t, round(sum({_stim_sql('t', _u('st', 'stim_id'))}), 6) + 0.0 AS current FROM stimuli, unnest([100, 200, 300]) u(t) WHERE start_t <= t GROUP BY ALL", "stimuli")
+@_query(f"SELECT neuron_id, CAST(t AS BIGINT) AS t, round(sum({_stim_sql('t', _u('st', 'stim_id'))}), 6) + 0.0 AS current FROM stimuli, (SELECT floor({_RUN_SQL} * q / 4) AS t FROM unnest(range(1, 5)) u(q)) WHERE start_t <= t GROUP BY ALL", "stimuli", "spikes")
 def q_stimulus_superposition(spark, sf):
-    each = T.stimuli(spark, sf).withColumn("t", F.explode(F.array(*[F.lit(x).cast("long") for x in (100, 200, 300)]))).filter("start_t <= t")
+    each = T.stimuli(spark, sf).withColumn("t", F.explode(F.array(*[F.floor(_run(spark, sf) * q / 4) for q in range(1, 5)]))).filter("start_t <= t")
     return _six(each.groupBy("neuron_id", "t").agg(F.sum(_stim(F.col("t") - F.col("start_t"), uniform("st", "stim_id"))).alias("current")))
 
 
-@_query(f"SELECT stim_id FROM stimuli WHERE {_stim_sql('500.0', _u('st', 'stim_id'))} <> 0 OR 500 - start_t < 2 * duration_ms", "stimuli")
+@_query(f"SELECT stim_id FROM stimuli WHERE {_stim_sql(_HALF_SQL, _u('st', 'stim_id'))} <> 0 OR {_HALF_SQL} - start_t < 2 * duration_ms", "stimuli", "spikes")
 def q_stimulus_retention(spark, sf):
-    age = 500.0 - F.col("start_t")
+    age = _run(spark, sf) / 2 - F.col("start_t")
     return T.stimuli(spark, sf).filter((_stim(age, uniform("st", "stim_id")) != 0) | (age < 2 * F.col("duration_ms"))).select("stim_id")
 
 
@@ -540,14 +548,12 @@ def q_coupled_network(spark, sf):
 
 # --- plasticity and evolution ---------------------------------------------------------------------
 
-_AT = 700.0
-
-
-@_query(f"""#l AS (SELECT neuron_id AS id, max(t_ms) AS t, max(t_ms) = {_AT} AS f FROM spikes WHERE t_ms <= {_AT} GROUP BY 1)
-  SELECT src_id, tgt_id, round(greatest(0.0, least(10.0, weight + CASE WHEN coalesce(a.f, FALSE) AND NOT coalesce(b.f, FALSE) THEN 0.01 * exp(-({_AT} - coalesce(b.t, -1e9)) / 20.0)
-  WHEN coalesce(b.f, FALSE) AND NOT coalesce(a.f, FALSE) THEN -0.012 * exp(-({_AT} - coalesce(a.t, -1e9)) / 20.0) ELSE 0.0 END)), 6) AS weight FROM synapses LEFT JOIN l a ON a.id = src_id LEFT JOIN l b ON b.id = tgt_id""", "spikes", "synapses")
+@_query(f"""#l AS (SELECT neuron_id AS id, max(t_ms) AS t, max(t_ms) = {_LAST_SQL} AS f FROM spikes WHERE t_ms <= {_LAST_SQL} GROUP BY 1)
+  SELECT src_id, tgt_id, round(greatest(0.0, least(10.0, weight + CASE WHEN coalesce(a.f, FALSE) AND NOT coalesce(b.f, FALSE) THEN 0.01 * exp(-({_LAST_SQL} - coalesce(b.t, -1e9)) / 20.0)
+  WHEN coalesce(b.f, FALSE) AND NOT coalesce(a.f, FALSE) THEN -0.012 * exp(-({_LAST_SQL} - coalesce(a.t, -1e9)) / 20.0) ELSE 0.0 END)), 6) AS weight FROM synapses LEFT JOIN l a ON a.id = src_id LEFT JOIN l b ON b.id = tgt_id""", "spikes", "synapses")
 def q_stdp(spark, sf):
-    out = activity.plasticity(T.synapses(spark, sf), activity.last_spikes(T.spikes(spark, sf), _AT), _AT)
+    at = T.spikes(spark, sf).select(F.max("t_ms")).scalar()
+    out = activity.plasticity(T.synapses(spark, sf), activity.last_spikes(T.spikes(spark, sf), at), at)
     return _six(out.select("src_id", "tgt_id", "weight"))
 
 
@@ -630,7 +636,7 @@ def q_select_parents(spark, sf):
 @_query()
 def q_run_generation(spark, sf):
     cells = _driven(spark, sf).select("id", "network_id", evolution.encode().alias("genome"))
-    rated = activity.rates(cells, T.spikes(spark, sf), RUN_MS)
+    rated = activity.rates(cells, T.spikes(spark, sf), _run(spark, sf))
     scored = evolution.scores(rated, rated.groupBy("network_id").agg(activity.fitness("max_firing_rate").alias("fitness")))
     return evolution.generation(cells, scored).select("id", "network_id", F.posexplode("genome").alias("gene", "value"))
 
@@ -640,7 +646,7 @@ def q_evolution_history(spark, sf):
     cells = _driven(spark, sf).select("id", "network_id", evolution.encode().alias("genome"))
     out = None
     for g in range(3):  # spike counts stay as they are between generations
-        rated = activity.rates(cells, T.spikes(spark, sf), RUN_MS)
+        rated = activity.rates(cells, T.spikes(spark, sf), _run(spark, sf))
         scored = evolution.scores(rated, rated.groupBy("network_id").agg(activity.fitness("max_firing_rate").alias("fitness")))
         row = evolution.summary(scored).withColumn("generation", F.lit(g))
         out = row if out is None else out.unionByName(row)
