@@ -33,6 +33,16 @@ RADII = {"pyramidal": 9, "interneuron": 7, "motor": 12, "sensory": 8, "purkinje"
 STOPS = [(0.00, 40, 0, 80), (0.15, 0, 20, 120), (0.35, 0, 100, 200), (0.50, 0, 180, 120), (0.65, 30, 220, 60), (0.75, 220, 200, 0), (0.88, 255, 100, 0), (1.00, 255, 240, 20)]
 
 
+#: A network's configuration: types and defaults.
+CONFIG = {
+    "n_neurons": ("int", 20), "topology": ("string", "random"), "connect_prob": ("double", 0.20), "exc_ratio": ("double", 0.80), "sw_k": ("int", 4), "sw_beta": ("double", 0.30),
+    "sf_m": ("int", 2), "default_model": ("string", "izh"), "max_distance": ("double", 3.0), "weight_mean": ("double", 1.0), "weight_std": ("double", 0.3),
+}
+LAYER_SIZES = [5, 10, 5]
+#: Sliders of a network's form: field, least, most, step.
+SLIDERS = [("n_neurons", 4.0, 80.0, 1.0), ("connect_prob", 0.05, 0.80, 0.01), ("exc_ratio", 0.2, 1.0, 0.01), ("max_distance", 0.1, 10.0, 0.1), ("sw_k", 2.0, 20.0, 2.0), ("sw_beta", 0.0, 1.0, 0.05), ("sf_m", 1.0, 10.0, 1.0)]
+#: Slots of a neuron's voltage history.
+HISTORY = 200
 #: What a client may choose from.
 CATALOG = {
     "neuron_types": ["pyramidal", "interneuron", "motor", "sensory", "purkinje", "granule", "custom"],

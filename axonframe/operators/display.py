@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.presets import RADII
+from .ranks import rank_in
 from .timeline import running
 
 
@@ -36,9 +37,8 @@ def animate(moving: DataFrame, step: float = 0.06) -> DataFrame:
 
 def raster(spikes: DataFrame, nodes: DataFrame, height: int = 120) -> DataFrame:
     """(id, t_ms, y, color): a row of dots for each neuron, by its rank in its network."""
-    size = nodes.groupBy("network_id").agg(F.count("*").alias("n"))
-    ranked = nodes.withColumn("rank", F.row_number().over(Window.partitionBy("network_id").orderBy("id")) - 1).join(size, "network_id")
-    y = F.floor(F.col("rank") / F.greatest(F.col("n") - 1, F.lit(1)) * (height - 2) + 0.5).cast("long")
+    ranked = rank_in(nodes, ["network_id"], "id")
+    y = F.floor(F.col("rank") / F.greatest(F.col("size") - 1, F.lit(1)) * (height - 2) + 0.5).cast("long")
     return spikes.withColumnRenamed("neuron_id", "id").join(ranked, "id").select("id", "t_ms", y.alias("y"), F.when(F.col("excitatory"), "exc").otherwise("inh").alias("color"))
 
 
@@ -98,3 +98,40 @@ def frame_stats(nodes: DataFrame, edges: DataFrame, spikes: DataFrame, width: fl
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("square") / n - (F.col("total_spikes") / n) * (F.col("total_spikes") / n))) * scale
     sync = F.when(n <= 1, 1.0).otherwise(1.0 - F.least(F.lit(1.0), spread / (rate + 1e-6)))
     return met.select("network_id", "frame", "t_ms", "n_neurons", "exc_count", "inh_count", F.coalesce("n_synapses", F.lit(0)).alias("n_synapses"), "mean_v", "firing", "frame_spikes", "total_spikes", rate.alias("mean_rate"), sync.alias("synchrony"))
+
+
+def field_rows(df: DataFrame, part: str, id: str, other: str | None, fields: list[str]) -> DataFrame:
+    """(part, id, other, field, value, text): a row for each field of each row; numbers and flags are values, strings are texts."""
+    kinds = dict(df.dtypes)
+    one = lambda f: F.struct(F.lit(f).alias("field"), (F.lit(None) if kinds[f] == "string" else F.col(f)).cast("double").alias("value"), (F.col(f) if kinds[f] == "string" else F.lit(None)).cast("string").alias("text"))
+    each = df.select(F.lit(part).alias("part"), F.col(id).cast("long").alias("id"), (F.col(other) if other else F.lit(None)).cast("long").alias("other"), F.explode(F.array(*map(one, fields))).alias("f"))
+    return each.select("part", "id", "other", "f.*")
+
+
+def active_edges(wires: DataFrame, spikes: DataFrame, step) -> DataFrame:
+    """``wires`` with active: whether a spike arrives over the edge in the step of 1 ms that ends at ``step``.
+
+    Only spikes within the longest delay before the step can, so no others meet the edges.
+    """
+    longest = wires.select(F.max("delay_ms")).scalar()
+    recent = spikes.filter(F.col("t_ms") >= step - longest - 2).select(F.col("neuron_id").alias("src_id"), "t_ms").distinct()
+    at = F.greatest(F.floor("t_ms") + 1, F.ceil(F.col("t_ms") + F.col("delay_ms")))
+    hit = wires.select("src_id", "tgt_id", "delay_ms").join(recent, "src_id").filter(at == step).select("src_id", "tgt_id").distinct()
+    return wires.join(hit.withColumn("active", F.lit(True)), ["src_id", "tgt_id"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
+
+
+def ordered_history(nodes: DataFrame, samples: DataFrame, slots: int) -> DataFrame:
+    """(id, slot, v): each node's last ``slots`` samples (id, step, v), oldest first; slots not yet filled, the first ones, have its v_rest.
+
+    The last samples are found before anything is shuffled: the limit is taken within each partition first.
+    """
+    last = samples.withColumn("back", F.row_number().over(Window.partitionBy("id").orderBy(F.col("step").desc()))).filter(F.col("back") <= slots)
+    grid = nodes.select("id", "v_rest", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    met = grid.join(last.select("id", (slots - F.col("back")).alias("slot"), "v"), ["id", "slot"], "left")
+    return met.select("id", "slot", F.coalesce("v", "v_rest").alias("v"))
+
+
+def snapped(value, least: float, most: float, step: float):
+    """A slider's value: held within its bounds and on the nearest of its steps, the upper one of two."""
+    held = F.greatest(F.lit(least), F.least(F.lit(most), value))
+    return F.least(F.lit(most), least + F.floor(F.round((held - least) / step, 6) + 0.5) * step)

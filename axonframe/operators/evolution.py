@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.presets import GENES
 from ..functions.rng import gauss, uniform
+from .ranks import rank_down
 
 
 def low(i: Column) -> Column:
@@ -46,9 +47,8 @@ def scores(rated: DataFrame, network_fitness: DataFrame) -> DataFrame:
 
 def elites(scored: DataFrame, share: float = 0.2) -> DataFrame:
     """The best of each network by (score, id), with their rank from 0: a share of them, one at least."""
-    size = scored.groupBy("network_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("n_elite"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("network_id").orderBy(F.col("score").desc(), F.col("id").desc())) - 1)
-    return ranked.join(size, "network_id").filter(F.col("rank") < F.col("n_elite"))
+    ranked = rank_down(scored, ["network_id"], "score", "id").withColumn("n_elite", F.greatest(F.lit(1), F.floor(F.col("size") * share))).drop("size")
+    return ranked.filter(F.col("rank") < F.col("n_elite"))
 
 
 def parents(children: DataFrame, best: DataFrame, seed: str = "par") -> DataFrame:

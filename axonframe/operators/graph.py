@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.rng import gauss, uniform
+from .ranks import rank_in
 
 
 def random_edges(nodes: DataFrame, p: float, seed: str = "er") -> DataFrame:
@@ -19,6 +20,38 @@ def random_edges(nodes: DataFrame, p: float, seed: str = "er") -> DataFrame:
     return a.join(b, "network_id").filter((F.col("src_id") != F.col("tgt_id")) & (uniform(seed, "src_id", "tgt_id") < p))
 
 
+#: Mean edges drawn from one block of candidates, and draws that a block has at hand: over 12 deviations more.
+_DRAWN, _DRAWS = 64, 176
+
+
+def random_edges_by_skips(nodes: DataFrame, p: float, seed: str = "skip") -> DataFrame:
+    """(network_id, src_id, tgt_id): each ordered pair within a network, by chance ``p``, with work by the edges drawn and not by the pairs.
+
+    A source's candidates are the other nodes in the order of their ids. The gaps between those it takes are geometric, so
+    each draw goes from one edge to the next; candidates come in blocks of 64 / p, so that no row draws for long.
+    """
+    if p <= 0:
+        return nodes.select("network_id", F.col("id").alias("src_id"), F.col("id").alias("tgt_id")).limit(0)
+    placed = rank_in(nodes.select("network_id", "id"), ["network_id"], "id")
+    block = max(1, math.ceil(_DRAWN / p))
+    width = F.least(F.lit(block), F.col("size") - 1 - F.col("block") * block)
+    starts = placed.filter("size > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 2) / block)))).withColumn("width", width)
+    gap = lambda k: F.lit(1) if p >= 1 else F.floor(F.log(1.0 - uniform(seed, "id", "block", k)) / math.log1p(-p)) + 1
+    begin = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<bigint>").alias("taken"))
+
+    def draw(s, k):
+        at = s["at"] + F.when(s["at"] < F.col("width"), gap(k)).otherwise(0)
+        return F.struct(at.cast("long").alias("at"), F.when((s["at"] < F.col("width")) & (at < F.col("width")), F.concat(s["taken"], F.array(at.cast("long")))).otherwise(s["taken"]).alias("taken"))
+
+    draws = min(block, _DRAWS) + 1
+    taken = F.aggregate(F.sequence(F.lit(1), F.lit(draws)), begin, draw, lambda s: s["taken"])
+    hits = starts.select("network_id", F.col("id").alias("src_id"), F.col("rank").alias("own"), "block", F.explode(taken).alias("at"))
+    other = F.col("block") * block + F.col("at")
+    hits = hits.withColumn("rank", F.when(other >= F.col("own"), other + 1).otherwise(other))  # the source itself is no candidate
+    ends = placed.select("network_id", "rank", F.col("id").alias("tgt_id"))
+    return hits.join(ends, ["network_id", "rank"]).select("network_id", "src_id", "tgt_id")
+
+
 def small_world(spark: SparkSession, n: int, k: int, beta: float, seed: str = "sw") -> DataFrame:
     """(src_id, tgt_id): a ring lattice whose edges are rewired, by chance ``beta``, to a node that is no neighbour in the lattice.
 
@@ -106,10 +139,8 @@ def roulette(items: DataFrame, group: str, item: str, weight: str, seed: str = "
 
 def circle(nodes: DataFrame, radius: float = 300.0) -> DataFrame:
     """Adds (x, y) on a circle around (400, 300); a node's place is its rank in its network."""
-    size = nodes.groupBy("network_id").agg(F.count("*").alias("n"))
-    ranked = nodes.withColumn("rank", F.row_number().over(Window.partitionBy("network_id").orderBy("id")) - 1).join(size, "network_id")
-    angle = F.lit(2 * math.pi) * F.col("rank") / F.greatest(F.col("n"), F.lit(1))
-    return ranked.withColumn("x", 400 + radius * F.cos(angle)).withColumn("y", 300 + radius * F.sin(angle)).drop("rank", "n")
+    angle = F.lit(2 * math.pi) * F.col("rank") / F.greatest(F.col("size"), F.lit(1))
+    return rank_in(nodes, ["network_id"], "id").withColumn("x", 400 + radius * F.cos(angle)).withColumn("y", 300 + radius * F.sin(angle)).drop("rank", "size")
 
 
 def with_weights(edges: DataFrame, mean: float = 1.0, std: float = 0.3, furthest: float = 3.0, seed: str = "w") -> DataFrame:
@@ -125,7 +156,8 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def add_node(nodes: DataFrame, **values) -> DataFrame:
-    """``nodes`` and one more, whose id follows the largest; columns not given are null."""
+    """``nodes`` and one more, whose id follows the largest; it is placed at (400, 300) if not given a place, and other columns not given are null."""
+    values = {"x": 400.0, "y": 300.0} | values
     new = nodes.agg((F.coalesce(F.max("id"), F.lit(-1)) + 1).alias("id"))
     return nodes.unionByName(new.select("id", *[F.lit(values.get(c)).cast(t).alias(c) for c, t in nodes.dtypes if c != "id"]))
 

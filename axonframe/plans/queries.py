@@ -766,4 +766,4 @@ def q_param_domain_check(spark, sf):
     return T.genomes(spark, sf).select("vec_id", F.size(outside).cast("long").alias("n_outside"))
 
 
-from . import runs  # noqa: E402,F401  registers its queries beside these
+from . import details, runs  # noqa: E402,F401  they register their queries beside these
