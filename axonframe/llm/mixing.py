@@ -6,10 +6,11 @@ the first one by more than chance (``CHANCE`` standard errors, as a held-out par
 others add up to noise. Rates ``r >= 0`` for all documents are then fitted so that the expected
 token totals of the domains, ``sum r * tokens * posterior``, match the targets, by projected
 gradient descent on the weighted squared residuals from ``r = 1``. The residuals are weighted by the
-inverse of the domains' second moments, so that one step would do if no rate met the bound at zero,
-and few do if some meet it. A step needs one number a domain from the corpus: each iteration is an
-aggregation over a compact table of posteriors, and a document's rate follows from the few step
-vectors so far, within its row.
+inverse of the domains' second moments over the documents that are not at the bound, so that one
+step would do if no further rate met it, and about ten do. The fit ends where a step moves no rate,
+whether the targets are met there or out of reach. A step needs a few numbers a domain from the
+corpus: each iteration is an aggregation over a compact table of posteriors, and a document's rate
+follows from the few step vectors so far, within its row.
 """
 
 from __future__ import annotations
@@ -30,14 +31,14 @@ TRAIN_ROWS = 20_000
 CHANCE = (3.0, 5.5, 8.0)
 #: Rounds in which the priors are brought into line with the labels.
 SHIFTS = 3
-#: Factors of the evidence that are tried.
-SHARP = (0.1, 0.25, 0.5, 1.0, 2.0)
-#: Iterations at most, and the relative residual, or its change, that ends them.
-STEPS, CLOSE = 20, 1e-4
+#: Factors of each domain's evidence that are tried, and powers by which it is weakened in a text longer than LENGTH tokens.
+SHARP, DAMP, LENGTH = (0.1, 0.25, 0.5, 1.0, 2.0), (0.0, 0.25, 0.5, 0.75), 100.0
+#: The fit has settled when a step moves the rates by less than CLOSE (root mean square over tokens); a fit that has not after STEPS says so.
+STEPS, CLOSE = 60, 1e-5
 #: Relative residual of a domain beyond which a target counts as missed.
 MISSED = 0.05
 #: Added to the second moments of the domains.
-RIDGE = 2e-3
+RIDGE = 2e-4
 #: Domains of the labels table and the share of the corpus's tokens that each shall have.
 TARGETS = {"clean": 0.92, "junk": 0.03, "toxic": 0.05}
 
@@ -105,9 +106,16 @@ def _evidence(docs: DataFrame, model: tuple[list[float], list[list[float]]], *ke
     return hashed.select(*keep, F.size("b").cast("long").alias("n_tokens"), *ratios)
 
 
-def _soft(evidence: DataFrame, priors: list[float], domains: list[str], sharp: float, *keep: str) -> DataFrame:
-    """Posteriors p_<domain>: evidence times ``sharp``, and the priors."""
-    scores = [(F.lit(0.0) if not k else F.col(f"v{k}") * sharp) + F.lit(priors[k]) for k in range(len(domains))]
+def _weighed(k: int, factors: list[float], damp: float) -> Column:
+    """The evidence of domain ``k``: words of one text are not independent, the less the longer it is."""
+    if not k:
+        return F.lit(0.0)
+    return F.col(f"v{k}") * factors[k - 1] * F.pow(F.lit(LENGTH) / F.greatest(F.col("n_tokens"), F.lit(1)), F.lit(damp))
+
+
+def _soft(evidence: DataFrame, priors: list[float], domains: list[str], weights: tuple[list[float], float], *keep: str) -> DataFrame:
+    """Posteriors p_<domain>: the weighed evidence and the priors."""
+    scores = [_weighed(k, *weights) + F.lit(priors[k]) for k in range(len(domains))]
     scored = evidence.select(*keep, "n_tokens", *[s.alias(f"s{k}") for k, s in enumerate(scores)])
     top = F.greatest(*[F.col(f"s{k}") for k in range(len(domains))]) if len(domains) > 1 else F.col("s0")
     parts = scored.select(*keep, "n_tokens", *[F.exp(F.col(f"s{k}") - top).alias(f"e{k}") for k in range(len(domains))])
@@ -115,52 +123,68 @@ def _soft(evidence: DataFrame, priors: list[float], domains: list[str], sharp: f
     return parts.select(*keep, "n_tokens", *[(F.col(f"e{k}") / whole).alias(f"p_{d}") for k, d in enumerate(domains)])
 
 
-def _chosen(sample: DataFrame, domains: list[str]) -> tuple[float, float, list[float]]:
-    """(chance, sharp, shift), by a third of the sample that the rest did not teach.
+def _losses(evidence: DataFrame, priors: list[float], domains: list[str], tried: list[tuple[list[float], float]]) -> list[float]:
+    """The log loss of the labels of ``evidence`` under each of the weights tried, in one aggregation."""
+    losses = []
+    for weights in tried:
+        scores = [_weighed(k, *weights) + priors[k] for k in range(len(domains))]
+        top = F.greatest(*scores)
+        parts = [F.exp(x - top) for x in scores]
+        right = F.coalesce(*[F.when(F.col("domain") == d, parts[k]) for k, d in enumerate(domains)]) / sum(parts[1:], parts[0])
+        losses.append(F.avg(-F.log(F.greatest(right, F.lit(1e-12)))))
+    return [math.inf if x is None else x for x in evidence.agg(*losses).first()]
+
+
+def _best_weights(evidence: DataFrame, priors: list[float], domains: list[str]) -> tuple[float, list[float], float]:
+    """(log loss, factors, damp): the best factor for all domains with each power, then domain after domain, twice."""
+    least = lambda tried: min(zip(_losses(evidence, priors, domains, tried), tried))
+    _, (factors, damp) = least([([x] * (len(domains) - 1), d) for d in DAMP for x in SHARP])
+    for _ in range(2):
+        for k in range(len(domains) - 1):
+            _, (factors, damp) = least([(factors[:k] + [x] + factors[k + 1 :], damp) for x in SHARP])
+        loss, (factors, damp) = least([(factors, d) for d in DAMP])
+    return loss, factors, damp
 
-    Of the values CHANCE and SHARP, those with the least log loss; ``shift`` is added to the log priors,
+
+def _chosen(sample: DataFrame, domains: list[str]) -> tuple[float, tuple[list[float], float], list[float]]:
+    """(chance, (factors, damp), shift), by a third of the sample that the rest did not teach.
+
+    Of the values CHANCE, SHARP and DAMP, those with the least log loss; ``shift`` is added to the log priors,
     so that the mean posteriors of that third agree with the shares of its labels.
     """
     apart = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0
     counted = _counts(sample.filter(~apart))
-    best = (math.inf, CHANCE[0], 1.0)
-    for chance in CHANCE:
+    scratch = Scratch(sample.sparkSession, "mixing")
+    best = None
+    for chance in CHANCE if len(domains) > 1 else CHANCE[:1]:
         model = _learn(counted, domains, chance)
-        evidence = _evidence(sample.filter(apart), model, "domain")
-        losses = []
-        for x in SHARP:
-            scores = [F.exp((F.col(f"v{k}") * x if k else F.lit(0.0)) + model[0][k] - F.greatest(F.lit(0.0), *[F.col(f"v{j}") * x for j in range(1, len(domains))])) for k in range(len(domains))]
-            whole = sum(scores[1:], scores[0])
-            right = F.coalesce(*[F.when(F.col("domain") == d, scores[k]) for k, d in enumerate(domains)]) / whole
-            losses.append(F.sum(-F.log(F.greatest(right, F.lit(1e-12)))))
-        if len(domains) > 1:
-            found = evidence.agg(*losses).first()
-            best = min([best, *((loss, chance, x) for loss, x in zip(found, SHARP) if loss is not None)])
-    _, chance, sharp = best
+        evidence = scratch.cut(_evidence(sample.filter(apart), model, "domain"), "evidence")  # of a part of the sample: bounded
+        loss, factors, damp = _best_weights(evidence, model[0], domains) if len(domains) > 1 else (0.0, [], 0.0)
+        if best is None or loss < best[0]:
+            best = (loss, chance, (factors, damp), evidence, model[0])
+    _, chance, weights, evidence, priors = best
     shift = [0.0] * len(domains)
-    model = _learn(counted, domains, chance)
-    evidence = _evidence(sample.filter(apart), model, "domain")
     for _ in range(SHIFTS):
-        soft = _soft(evidence, [p + x for p, x in zip(model[0], shift)], domains, sharp, "domain")
+        soft = _soft(evidence, [p + x for p, x in zip(priors, shift)], domains, weights, "domain")
         found = soft.agg(F.count("*"), *[F.avg(f"p_{d}") for d in domains], *[F.avg((F.col("domain") == d).cast("double")) for d in domains]).first()
         if not found[0]:
             break
         means, shares = found[1 : 1 + len(domains)], found[1 + len(domains) :]
         shift = [x + math.log(max(b, 1e-3) / max(a, 1e-3)) for x, a, b in zip(shift, means, shares)]
-    return chance, sharp, shift
+    return chance, weights, shift
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], keep: list[str]) -> DataFrame:
     """``keep``, n_tokens and p_<domain> of each row of ``docs``.
 
-    Words of one text are not independent, so their log likelihood ratios are multiplied by a factor
-    that a held-out third of the sample chooses, and the priors are shifted until the mean posteriors of
-    that third agree with its labels; an empty text has the shifted priors.
+    Words of one text are not independent, so their log likelihood ratios are multiplied by a factor for
+    each domain, and weakened in long texts, as a held-out third of the sample chooses; and the priors are
+    shifted until the mean posteriors of that third agree with its labels. An empty text has the shifted priors.
     """
     chosen = Scratch(docs.sparkSession, "mixing").cut(_sample(docs, labelled, domains), "sample")
-    chance, sharp, shift = _chosen(chosen, domains)
+    chance, weights, shift = _chosen(chosen, domains)
     model = _learn(_counts(chosen), domains, chance)
-    return _soft(_evidence(docs, model, *keep), [p + x for p, x in zip(model[0], shift)], domains, sharp, *keep)
+    return _soft(_evidence(docs, model, *keep), [p + x for p, x in zip(model[0], shift)], domains, weights, *keep)
 
 
 def _rate(domains: list[str], steps: list[list[float]]) -> Column:
@@ -186,33 +210,47 @@ def _inverse(m: list[list[float]]) -> list[list[float]]:
     return [row[k:] for row in rows]
 
 
-def fit_rates(book: DataFrame, targets: dict[str, float]) -> tuple[Column, list[list[float]], dict[str, float]]:
-    """The fitted rate as an expression over ``book`` (n_tokens, p_<domain>), its steps, and the totals reached, as shares of all tokens.
+def _fit(book: DataFrame, targets: dict[str, float]) -> tuple[Column, list[list[float]], dict[str, float], bool]:
+    """The fitted rate as an expression over ``book`` (n_tokens, p_<domain>), its steps, the totals reached as shares of all tokens, and whether the fit has settled.
 
     The variables are scaled by the root of the tokens, so a step moves the rate of a document by
     its posterior times the weighted residuals, whatever its length.
     """
     domains = list(targets)
-    cross = [F.sum(F.col("n_tokens") * F.col(f"p_{a}") * F.col(f"p_{b}")) for a in domains for b in domains]
-    sums = list(book.agg(F.sum("n_tokens"), *cross).first())
-    if not sums[0]:
-        return F.lit(1.0), [], {d: 0.0 for d in domains}
-    k, total = len(domains), float(sums[0])
-    # A domain that hardly occurs can't be raised at will: the ridge bounds its weight.
-    moments = [[sums[1 + i * k + j] / total + (RIDGE if i == j else 0.0) for j in range(k)] for i in range(k)]
-    weight = _inverse(moments)
+    total = float(book.agg(F.sum("n_tokens")).first()[0] or 0)
+    if not total:
+        return F.lit(1.0), [], {d: 0.0 for d in domains}, True
+    k = len(domains)
+    both = [(i, j) for i in range(k) for j in range(i, k)]
     steps: list[list[float]] = []
-    before = math.inf
-    for _ in range(STEPS):
-        now = list(book.agg(*[F.sum(_rate(domains, steps) * F.col("n_tokens") * F.col(f"p_{d}")) for d in domains]).first())
-        reached = {d: x / total for d, x in zip(domains, now)}
+    nearest = (math.inf, 0, {})
+    while True:
+        now = book.withColumn("r", _rate(domains, steps))
+        totals = [F.sum(F.col("r") * F.col("n_tokens") * F.col(f"p_{d}")) for d in domains]
+        free = F.when(F.col("r") > 0, F.col("n_tokens")).otherwise(0)
+        sums = [x / total for x in now.agg(*totals, *[F.sum(free * F.col(f"p_{domains[i]}") * F.col(f"p_{domains[j]}")) for i, j in both]).first()]
+        reached = dict(zip(domains, sums))
+        moments = [[sums[k + both.index((min(i, j), max(i, j)))] for j in range(k)] for i in range(k)]
         off = [reached[d] - targets[d] for d in domains]
-        worst = max(abs(x) / max(targets[d], 1e-6) for x, d in zip(off, domains))
-        if worst < CLOSE or abs(before - worst) < CLOSE:  # met, or as near as it gets
-            break
-        before = worst
-        steps.append([sum(w * x for w, x in zip(row, off)) for row in weight])
-    return _rate(domains, steps), steps, reached
+        # A domain that hardly occurs can't be raised at will: the ridge bounds its weight.
+        weight = _inverse([[x + (RIDGE if i == j else 0.0) for j, x in enumerate(row)] for i, row in enumerate(moments)])
+        step = [sum(w * x for w, x in zip(row, off)) for row in weight]
+        moved = math.sqrt(max(0.0, sum(step[i] * moments[i][j] * step[j] for i in range(k) for j in range(k))))
+        if moved < CLOSE:
+            return _rate(domains, steps), steps, reached, True
+        nearest = min(nearest, (sum(x * x for x in off), len(steps), reached), key=lambda x: x[:2])
+        if len(steps) == STEPS:  # where few documents would have to stand for all, the metric may swing: the nearest rates count
+            _, n, reached = nearest
+            return _rate(domains, steps[:n]), steps[:n], reached, False
+        steps.append(step)
+
+
+def fit_rates(book: DataFrame, targets: dict[str, float]) -> tuple[Column, list[list[float]], dict[str, float]]:
+    """The fitted rate as an expression over ``book`` (n_tokens, p_<domain>), its steps, and the totals reached, as shares of all tokens.
+
+    Posteriors of null count nothing; an empty book, or one without tokens, has rate 1.
+    """
+    return _fit(book, targets)[:3]
 
 
 def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -221,7 +259,7 @@ def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict
     ``targets`` gives the share of the corpus's tokens for each domain of ``labelled`` (doc_id,
     domain); a domain without a labelled row is not aimed at, and the other shares are scaled to one. ``copies`` is the rate rounded up or down by a hash of the doc_id, so that it holds on
     average. Where the targets can't be met, ``target_met`` is false on all rows and a warning
-    says what is reached. Empty and null texts weigh nothing and keep their prior's rate; rows with a
+    says what is reached, another one if the fit had not settled by then. Empty and null texts weigh nothing and keep their prior's rate; rows with a
     null doc_id and repeated rows are rated like any other, and a repeated label counts again;
     without labels all posteriors are equal; an empty table gives no rows; texts of any length are
     read whole; other columns are not read, and a missing ``source`` is null.
@@ -233,7 +271,9 @@ def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict
     taught = {r.domain for r in labelled.filter(F.col("domain").isin(list(targets))).select("domain").distinct().collect()} or set(targets)
     whole = sum(targets[d] for d in taught)
     aims = {d: x / whole for d, x in targets.items() if d in taught}
-    rate, _, reached = fit_rates(book, aims)
+    rate, _, reached, settled = _fit(book, aims)
+    if not settled:
+        warnings.warn(f"the rates have not settled after {STEPS} steps", stacklevel=2)
     missed = {d: round(reached[d], 4) for d in aims if abs(reached[d] - aims[d]) > MISSED * max(aims[d], 1e-6)}
     if missed:
         warnings.warn(f"the rates reach {missed} in place of {({d: round(aims[d], 4) for d in missed})}", stacklevel=2)

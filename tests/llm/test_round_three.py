@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from axonframe.llm import chat, divergence, kmeans
+from axonframe.llm import chat, divergence, kmeans, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -224,3 +224,46 @@ def test_new_queries_run(spark):
             db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
         want = db.sql(queries.oracle_sql()[name]).select(", ".join(got.columns)).fetchall()
         assert _sorted(map(tuple, got.select(*[F.col(c) for c in got.columns]).collect())) == _sorted(want)
+
+
+# --- mixing ---------------------------------------------------------------------------------------
+
+
+def _plain_rates(p, tokens, aim):
+    """The least squares of the totals over rates of zero and more, by many accelerated projected steps."""
+    total = tokens.sum()
+    r = y = np.ones(len(tokens))
+    mass, size = 1.0, np.linalg.eigvalsh((p * tokens[:, None]).T @ p / total).max()
+    for _ in range(60_000):
+        new = np.maximum(0, y - p @ ((y * tokens) @ p / total - aim) / size)
+        if ((y - new) * tokens) @ (new - r) > 0:
+            mass = 1.0
+        after = (1 + np.sqrt(1 + 4 * mass * mass)) / 2
+        r, y, mass = new, new + (mass - 1) / after * (new - r), after
+    return r
+
+
+@pytest.mark.parametrize("flat, targets", [(False, {"clean": 0.93, "junk": 0.03, "toxic": 0.04}), (False, {"clean": 0.5, "junk": 0.4, "toxic": 0.1}), (True, {"clean": 0.94, "junk": 0.03, "toxic": 0.03})])
+def test_mixing_settles_where_rates_meet_zero(spark, flat, targets):
+    """Posteriors as a corpus gives them: many alike, some sharp; flat ones can't give the last target, and the optimum is the plain one."""
+    rng = np.random.default_rng(7)
+    many = np.tile([0.93, 0.03, 0.04], (500, 1)) if flat else rng.dirichlet([90, 4, 6], 500)
+    p = np.vstack([many, rng.dirichlet([2, 1, 6], 60), rng.dirichlet([2, 6, 1], 80)])
+    tokens = rng.integers(5, 900, len(p)).astype(float)
+    book = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(tokens, p)], "n_tokens long, p_clean double, p_junk double, p_toxic double")
+    rate, steps, reached, settled = mixing._fit(book, targets)
+    got = np.array([r.rate for r in book.select(rate.alias("rate")).collect()])
+    want = _plain_rates(p, tokens, np.array(list(targets.values())))
+    totals = lambda r: (r * tokens) @ p / tokens.sum()
+    assert settled and len(steps) < mixing.STEPS and (got >= 0).all()
+    assert np.allclose(totals(got), totals(want), atol=1e-3) and np.allclose(totals(got), list(reached.values()), atol=1e-6)
+    assert (want == 0).sum() == 0 or (got == 0).any()
+    assert not flat or totals(got)[2] > targets["toxic"] + 2e-3
+
+
+def test_mixing_says_that_it_has_not_settled(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    docs = spark.createDataFrame([(i, ("good words here " if i % 3 else "bad spam now ") * (5 + i % 4)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "clean" if i % 3 else "junk") for i in range(40)], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="not settled"):
+        mixing.mix(spark, docs, labels, {"clean": 0.999, "junk": 0.001})
