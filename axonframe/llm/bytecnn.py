@@ -200,7 +200,8 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int
     ``labels`` (doc_id, quality) teaches by the rows whose crc32 of doc_id, as text, does not leave
     ``held_fold``. Null texts are empty; an empty text is scored as zero bytes. A null doc_id counts
     as an empty one, repeated rows are each scored, and without labels the untrained network scores.
-    Other columns are not read.
+    Texts of any length are read whole; other columns, whatever their names, are not read; an empty
+    table gives no row.
     """
     out_of = lambda c: F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_fold
     net = train(spark, docs, labels.filter(~out_of("doc_id")))

@@ -398,8 +398,9 @@ def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     The counts and ``base_sha256`` are of the patterns' spans, ``spans`` lists all as
     kind:start:end in code points, end exclusive, by kind and start. Null and empty texts have
-    none. Rows are independent: repeated rows and null doc_ids are kept as they are; other columns
-    are not read.
+    none; texts of any length are read whole, by lines for the field. Rows are independent: repeated
+    rows and null doc_ids are kept as they are; other columns, whatever their names, are not read;
+    an empty table gives no row.
     """
     field = train()
     shared = spark.sparkContext.broadcast((field.known, field.weights, field.moves))

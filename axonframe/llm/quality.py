@@ -70,8 +70,9 @@ def measurements(docs: DataFrame) -> DataFrame:
 def ledger(docs: DataFrame) -> DataFrame:
     """The measurements of each row of ``docs`` (doc_id, text) and ``failed_bits``, one bit for each rule of RULES.
 
-    Null and empty texts measure zero and fail ``few_words``. Rows are independent: repeated rows
-    and null doc_ids are kept as they are; other columns are not read.
+    Null and empty texts measure zero and fail ``few_words``; texts of any length are read whole. Rows
+    are independent: repeated rows and null doc_ids are kept as they are; other columns, whatever
+    their names, are not read, and an empty table gives no row.
     """
     found = measurements(docs)
     bits = sum((F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items()), F.lit(0))
@@ -79,7 +80,7 @@ def ledger(docs: DataFrame) -> DataFrame:
 
 
 def apply_policy(book: DataFrame, version: str = POLICY) -> DataFrame:
-    """Adds base_failed and kept, the verdict of a policy version."""
+    """Adds base_failed and kept, the verdict of a policy version, to each row of a ledger; it reads the bits alone, so an empty ledger, nulls elsewhere and repeated rows need no care."""
     fails = lambda mask: F.col("failed_bits").bitwiseAND(F.lit(mask).cast("long")) != 0
     return book.withColumn("base_failed", fails(BASE_MASK)).withColumn("kept", ~fails(BASE_MASK) & ~fails(POLICIES[version]))
 
@@ -88,7 +89,7 @@ def ablations(book: DataFrame, version: str = POLICY) -> DataFrame:
     """(rule, n_failed, n_alone): rows a rule fails, and rows that only this rule of the policy rejects.
 
     One aggregation counts the distinct bit patterns (at most 2 to the number of rules); the rest
-    reads those counts.
+    reads those counts. Repeated rows of the ledger count each; of an empty one there is no row.
     """
     mask = POLICIES[version]
     patterns = book.groupBy("failed_bits").agg(F.count("*").alias("n"))
@@ -100,7 +101,11 @@ def ablations(book: DataFrame, version: str = POLICY) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, version: str = POLICY) -> DataFrame:
-    """The rows of ``docs``, all columns, that the policy keeps; the verdict is taken within the row."""
+    """The rows of ``docs``, all columns, that the policy keeps; the verdict is taken within the row.
+
+    Null, empty and very short texts go, very long ones are judged whole, repeated rows are judged alike, columns of any
+    names are passed on, and an empty table stays empty.
+    """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
     # A filter would be pushed below the measurements and repeat them for each of their uses; it stays above a row number.
     book = apply_policy(ledger(whole), version).select("doc_id", "kept", F.monotonically_increasing_id().alias("row"))

@@ -87,8 +87,9 @@ def write_pages(spark: SparkSession, pages: DataFrame, path: str) -> None:
 
     The payload is the html in UTF-8; null counts as empty. Of rows with equal payloads of
     REVISIT_BYTES or more the one with the largest page_id is a response and the others revisit
-    it; repeated rows of one page_id are alike. Rows with a null page_id are responses. Other
-    columns are not read; an empty table gives an archive without records.
+    it; repeated rows of one page_id are alike. Rows with a null page_id are responses. Payloads of
+    any length that fits a row are written whole. Other columns are not read; an empty table gives
+    an archive without records.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
