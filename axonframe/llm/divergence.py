@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .scratch import Scratch
@@ -23,23 +24,25 @@ MIN_DOCS, SMOOTH, TOP = 30, 5, 50
 #: Mean terms in a slice, the least number of slices of a language (a small dictionary is spread too), mean sources in a block.
 WIDTH, SLICES, BLOCK = 2048, 32, 64
 #: Counters of a task are handed on at so many entries or bytes of text.
-ENTRIES, BYTES = 400_000, 32 << 20
+ENTRIES, BYTES = 600_000, 48 << 20
 #: Letters of ASCII in lower case, every other ASCII character as a space; bytes of longer characters stay.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of a task's documents: (lang, source, term, n, docs), terms as bytes; more than one row a term is possible."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's documents (lang, source, text): (lang, source, term, n, docs), terms as bytes; more than one row a term is possible."""
     groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     taken = entries = 0
 
-    def rows() -> Iterator[pd.DataFrame]:
+    def rows() -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in groups.items():
             terms = [b"", *n]  # the empty term stands for the group itself, which may hold no term
-            yield pd.DataFrame({"lang": lang, "source": source, "term": terms, "n": [n[t] for t in terms], "docs": [docs[t] for t in terms]})
+            counts = [np.fromiter((x[t] for t in terms), np.int64, len(terms)) for x in (n, docs)]
+            same = [pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(terms, pa.binary()), *map(pa.array, counts)], ["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
-        for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
+        for lang, source, text in zip(*(column.to_pylist() for column in batch.columns)):
             words = text.translate(_TO_WORDS).split()
             n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
             before = len(n)
@@ -56,7 +59,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term in a group, and documents (rows) that hold it; every group has an empty term with 0."""
     said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(said("lang").alias("lang"), said("source").alias("source"), said("text").cast("binary").alias("text"))
-    parts = rows.mapInPandas(_counts, "lang string, source string, term binary, n long, docs long")
+    parts = rows.mapInArrow(_counts, "lang string, source string, term binary, n long, docs long")
     return parts.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 

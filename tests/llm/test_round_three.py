@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,12 +138,10 @@ def test_divergence_brute_force(spark):
 
 def test_divergence_hands_counters_on(spark, monkeypatch):
     rows = [("en", f"s{i % 3}", _prose(np.random.default_rng(i), 30)) for i in range(40)]
-    import pandas as pd
-
-    batch = pd.DataFrame([(lang, s, t.encode()) for lang, s, t in rows], columns=["lang", "source", "text"])
-    whole = pd.concat(divergence._counts(iter([batch])))
+    batch = pa.RecordBatch.from_pylist([{"lang": lang, "source": s, "text": t.encode()} for lang, s, t in rows])
+    whole = pa.Table.from_batches(divergence._counts(iter([batch]))).to_pandas()
     monkeypatch.setattr(divergence, "ENTRIES", 20)
-    parts = pd.concat(divergence._counts(iter([batch])))
+    parts = pa.Table.from_batches(divergence._counts(iter([batch]))).to_pandas()
     add = lambda x: x.groupby(["lang", "source", "term"])[["n", "docs"]].sum().sort_index()
     assert len(parts) > len(whole) and add(parts).equals(add(whole))
 
