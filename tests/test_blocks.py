@@ -61,3 +61,28 @@ def test_bins_by_chunks(monkeypatch, chunk):
 
 def test_delivery_bins_shuffles_no_product(spark):
     assert "hashpartitioning(tgt_id" not in _plan(Q.q_delivery_bins(spark, SF)).replace("hashpartitioning(src_id, tgt_id", "")
+
+
+@pytest.mark.parametrize("chunk", [3, 1_000_000])
+def test_conductances_are_the_direct_sum(spark, monkeypatch, chunk):
+    monkeypatch.setattr(blocks, "CHUNK", chunk)
+    spikes, edges = _rows(chunk)
+    taus = {0: 2.0, 3: 150.0}
+    wires = [(s, g, kind, delay, kick, taus[kind]) for s, g, delay, kick in edges for kind in taus if (s + g + kind) % 3]
+    arrive = [(g, kind, t + delay, kick, tau) for i, t in spikes for s, g, kind, delay, kick, tau in wires if s == i]
+    if chunk == 3:  # in this process, so that the chunk holds
+        table = pa.Table.from_pylist([dict(zip(("src_id", "tgt_id", "kind", "delay_ms", "kick", "tau"), w)) for w in wires])
+        state = blocks._Conductances(table)
+        ids, ts = (pa.array(x).to_numpy() for x in zip(*sorted(spikes, key=lambda x: x[1])))
+        got = [tuple(r.values()) for b in [*state.take(ids, ts), *state.end()] for r in b.to_pylist()]
+    else:
+        s, w = spark.createDataFrame(spikes, "neuron_id long, t_ms double"), spark.createDataFrame(wires, "src_id long, tgt_id long, kind int, delay_ms double, kick double, tau double")
+        got = [tuple(r) for r in blocks.conductances(s, w, 4).collect()]
+    assert sorted(r[:3] for r in got) == sorted({a[:3] for a in arrive})
+    for g, kind, t, value in got:
+        ages = [((t - at) / tau, kick) for j, k, at, kick, tau in arrive if (j, k) == (g, kind) and at <= t]
+        assert value == pytest.approx(sum(c * x * math.exp(1 - x) for x, c in ages), abs=1e-9)
+
+
+def test_conductance_arrivals_shuffle_no_product(spark):
+    assert "hashpartitioning(tgt_id" not in _plan(Q.QUERIES["q_conductance_arrivals"](spark, SF)).replace("hashpartitioning(src_id, tgt_id", "")
