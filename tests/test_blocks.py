@@ -24,6 +24,11 @@ def _rows(seed):
     return spikes + spikes[:20], wires  # some neurons fire twice at a moment
 
 
+def _packed(spikes):
+    ids, ts = zip(*spikes)
+    return pa.RecordBatch.from_pydict({"ids": [list(ids)], "ts": [list(ts)]})
+
+
 def _bins(spikes, wires):
     want = defaultdict(lambda: [0, 0.0])
     for i, t in spikes:
@@ -53,8 +58,7 @@ def test_bins_by_chunks(monkeypatch, chunk):
     table = pa.Table.from_pylist([dict(zip(("src_id", "tgt_id", "delay_ms", "strength"), w)) for w in wires])
     state, got = blocks._Bins(table), []
     for k in range(0, len(spikes), 50):
-        ids, ts = (pa.array(x).to_numpy() for x in zip(*spikes[k : k + 50]))
-        got += [b for b in state.take(ids, ts)]
+        got += state.take(_packed(spikes[k : k + 50]))
     rows = pa.Table.from_batches(got + list(state.end())).to_pylist()
     assert {(r["tgt_id"], r["step"]): (r["n"], round(r["kick"], 9)) for r in rows} == _bins(spikes, wires) and len(rows) == len(_bins(spikes, wires))
 
@@ -73,8 +77,7 @@ def test_conductances_are_the_direct_sum(spark, monkeypatch, chunk):
     if chunk == 3:  # in this process, so that the chunk holds
         table = pa.Table.from_pylist([dict(zip(("src_id", "tgt_id", "kind", "delay_ms", "kick", "tau"), w)) for w in wires])
         state = blocks._Conductances(table)
-        ids, ts = (pa.array(x).to_numpy() for x in zip(*sorted(spikes, key=lambda x: x[1])))
-        got = [tuple(r.values()) for b in [*state.take(ids, ts), *state.end()] for r in b.to_pylist()]
+        got = [tuple(r.values()) for b in [*state.take(_packed(sorted(spikes, key=lambda x: x[1]))), *state.end()] for r in b.to_pylist()]
     else:
         s, w = spark.createDataFrame(spikes, "neuron_id long, t_ms double"), spark.createDataFrame(wires, "src_id long, tgt_id long, kind int, delay_ms double, kick double, tau double")
         got = [tuple(r) for r in blocks.conductances(s, w, 4).collect()]
@@ -86,3 +89,18 @@ def test_conductances_are_the_direct_sum(spark, monkeypatch, chunk):
 
 def test_conductance_arrivals_shuffle_no_product(spark):
     assert "hashpartitioning(tgt_id" not in _plan(Q.QUERIES["q_conductance_arrivals"](spark, SF)).replace("hashpartitioning(src_id, tgt_id", "")
+
+
+@pytest.mark.parametrize("name", ["q_stdp_pairs", "q_stdp_run"])
+def test_stdp_shuffles_no_product(spark, name):
+    plan = _plan(Q.QUERIES[name](spark, SF))
+    assert "hashpartitioning(block" in plan and "Window" not in plan
+
+
+def test_as_of_pairs_without_trains(spark):
+    from axonframe.operators import timeline
+
+    edges = spark.createDataFrame([(1, 2), (2, 2), (3, None), (9, 1)], "src_id long, tgt_id long")
+    spikes = spark.createDataFrame([(1, 5.0), (1, 5.0), (2, 7.5), (None, 8.0), (3, None)], "neuron_id long, t_ms double")
+    assert [tuple(r) for r in timeline.asof_pairs(edges, spikes).collect()] == [(1, 2, 7.5, False, 2.5)]
+    assert timeline.asof_pairs(edges, spikes.limit(0)).count() == 0
