@@ -13,6 +13,14 @@ def uniform(seed: str, *keys) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+def below(p: float, text: Column) -> Column:
+    """Whether the draw of ``text``, which is ``uniform``'s seed and keys joined by ``|``, is less than ``p``; the hash's digits are compared as they are."""
+    limit = math.ceil(p * 2**32)
+    if not 0 < limit < 2**32:
+        return F.lit(limit > 0)
+    return F.substring(F.md5(text.cast("binary")), 1, 8) < F.lit(f"{limit:08x}")
+
+
 def gauss(seed: str, *keys) -> Column:
     """A standard normal number, by the Box-Muller method from two hashes."""
     radius = F.sqrt(-2.0 * F.log(F.lit(1.0) - uniform(seed + "r", *keys)))

@@ -7,17 +7,26 @@ import math
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.rng import gauss, uniform
+from ..functions.rng import below, gauss, uniform
 from .ranks import rank_in
 
 
+#: Blocks of a network's nodes on either side of its pairs, and tasks over which tiles of them are dealt.
+_TILES, _TASKS = 16, 256
+
+
 def random_edges(nodes: DataFrame, p: float, seed: str = "er") -> DataFrame:
     """(network_id, src_id, tgt_id): each ordered pair within a network, by chance ``p``.
 
-    A network's pairs are its definition: all are drawn, and only within a network, by an equi-join.
+    A network's pairs are its definition: all are drawn, and only within a network, by an equi-join. They are dealt in tiles of
+    a block of sources and a block of targets, so that a large network is no one task's work.
     """
-    a, b = nodes.select("network_id", F.col("id").alias("src_id")), nodes.select("network_id", F.col("id").alias("tgt_id"))
-    return a.join(b, "network_id").filter((F.col("src_id") != F.col("tgt_id")) & (uniform(seed, "src_id", "tgt_id") < p))
+    block, each = F.pmod(F.xxhash64("id"), F.lit(_TILES)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(_TILES - 1)))
+    key = ["network_id", "i", "j"]
+    a = nodes.select("network_id", F.col("id").alias("src_id"), F.concat(F.lit(f"{seed}|"), F.col("id").cast("string"), F.lit("|")).alias("head"), block.alias("i"), each.alias("j"))
+    b = nodes.select("network_id", F.col("id").alias("tgt_id"), F.col("id").cast("string").alias("tail"), each.alias("i"), block.alias("j"))
+    met = a.repartition(_TASKS, *key).join(b.repartition(_TASKS, *key).hint("shuffle_hash"), key)
+    return met.filter((F.col("src_id") != F.col("tgt_id")) & below(p, F.concat("head", "tail"))).select("network_id", "src_id", "tgt_id")
 
 
 #: Mean edges drawn from one block of candidates, and draws that a block has at hand: over 12 deviations more.
@@ -40,16 +49,22 @@ def random_edges_by_skips(nodes: DataFrame, p: float, seed: str = "skip") -> Dat
     begin = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<bigint>").alias("taken"))
 
     def draw(s, k):
-        at = s["at"] + F.when(s["at"] < F.col("width"), gap(k)).otherwise(0)
-        return F.struct(at.cast("long").alias("at"), F.when((s["at"] < F.col("width")) & (at < F.col("width")), F.concat(s["taken"], F.array(at.cast("long")))).otherwise(s["taken"]).alias("taken"))
+        going = s["at"] < F.col("width")
+        took = lambda at: F.struct(at.alias("at"), F.when(going & (at < F.col("width")), F.concat(s["taken"], F.array(at))).otherwise(s["taken"]).alias("taken"))
+        return F.transform(F.array((s["at"] + F.when(going, gap(k)).otherwise(0)).cast("long")), took).getItem(0)  # each gap is drawn once
 
     draws = min(block, _DRAWS) + 1
     taken = F.aggregate(F.sequence(F.lit(1), F.lit(draws)), begin, draw, lambda s: s["taken"])
-    hits = starts.select("network_id", F.col("id").alias("src_id"), F.col("rank").alias("own"), "block", F.explode(taken).alias("at"))
-    other = F.col("block") * block + F.col("at")
-    hits = hits.withColumn("rank", F.when(other >= F.col("own"), other + 1).otherwise(other))  # the source itself is no candidate
-    ends = placed.select("network_id", "rank", F.col("id").alias("tgt_id"))
-    return hits.join(ends, ["network_id", "rank"]).select("network_id", "src_id", "tgt_id")
+    # A block's candidates have ranks that follow each other, one more than its width as the source itself is none: the ends come as one array a block.
+    first = F.floor(F.col("rank") / block)
+    within = F.explode(F.when((F.col("rank") % block == 0) & (F.col("rank") > 0), F.array(first, first - 1)).otherwise(F.array(first)))
+    ends = placed.select("network_id", "rank", "id", within.alias("block")).groupBy("network_id", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda e: e["id"]).alias("ends"))
+    key = ["network_id", "block"]
+    starts = starts.select(*key, F.col("id"), F.col("rank").alias("own"), "width").repartition(_TASKS, *key)
+    hits = starts.join(ends.repartition(_TASKS, *key).hint("shuffle_hash"), key)
+    own = F.col("own") - F.col("block") * block
+    tgt = F.explode(F.transform(taken, lambda at: F.element_at("ends", (F.when(at >= own, at + 2).otherwise(at + 1)).cast("int"))))
+    return hits.select("network_id", F.col("id").alias("src_id"), tgt.alias("tgt_id"))
 
 
 def small_world(spark: SparkSession, n: int, k: int, beta: float, seed: str = "sw") -> DataFrame:
