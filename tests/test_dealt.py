@@ -20,3 +20,15 @@ def test_skips_join_blocks_and_not_edges(spark):
     got = graph.random_edges_by_skips(nodes, 0.3)
     plan = _plan(got)
     assert "hashpartitioning(network_id, block, 256)" in plan and "ShuffledHashJoin [network_id, block]" in plan and "hashpartitioning(network_id, rank" not in plan
+
+
+def test_random_edges_are_dealt_in_tiles_and_drawn_as_before(spark):
+    nodes = spark.range(60).select("id", (F.col("id") % 3).alias("network_id"))
+    got = graph.random_edges(nodes, 0.22)
+    assert "hashpartitioning(network_id, i, j, 256)" in _plan(got)
+    a, b = nodes.select("network_id", F.col("id").alias("src_id")), nodes.select("network_id", F.col("id").alias("tgt_id"))
+    want = a.join(b, "network_id").filter((F.col("src_id") != F.col("tgt_id")) & (uniform("er", "src_id", "tgt_id") < 0.22)).collect()
+    assert sorted(got.collect()) == sorted(want)
+    rows = spark.range(3000).select(F.concat_ws("|", F.lit("x"), "id").alias("text"), uniform("x", "id").alias("u"))
+    for p in (-1.0, 0.0, 1e-12, 0.22, 0.5, 1.0, 2.0):
+        assert rows.filter(below(p, F.col("text")) != (F.col("u") < p)).count() == 0
