@@ -21,9 +21,10 @@ def rate_bars(rated: DataFrame) -> DataFrame:
 
 
 def pulses(spikes: DataFrame, edges: DataFrame, placed: DataFrame) -> DataFrame:
-    """Every spike on every edge of its neuron with the ends' coordinates."""
+    """Every spike on every edge of its neuron with the ends' coordinates, which the edges have before they meet the spikes."""
     end = lambda k, p: placed.select(F.col("id").alias(k), F.col("x").alias(p + "x"), F.col("y").alias(p + "y"))
-    met = spikes.withColumnRenamed("neuron_id", "src_id").join(edges, "src_id").join(end("src_id", "s"), "src_id").join(end("tgt_id", "t"), "tgt_id")
+    drawn = edges.select("src_id", "tgt_id").join(end("tgt_id", "t"), "tgt_id").join(end("src_id", "s"), "src_id")
+    met = drawn.join(spikes.withColumnRenamed("neuron_id", "src_id"), "src_id")
     return met.select("src_id", "tgt_id", "t_ms", "sx", "sy", "tx", "ty")
 
 

@@ -32,3 +32,9 @@ def test_random_edges_are_dealt_in_tiles_and_drawn_as_before(spark):
     rows = spark.range(3000).select(F.concat_ws("|", F.lit("x"), "id").alias("text"), uniform("x", "id").alias("u"))
     for p in (-1.0, 0.0, 1e-12, 0.22, 0.5, 1.0, 2.0):
         assert rows.filter(below(p, F.col("text")) != (F.col("u") < p)).count() == 0
+
+
+def test_pulses_place_edges_before_spikes_meet_them(spark):
+    plan = _plan(Q.q_pulse_fanout(spark, SF))
+    joins = re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) \[(\w+)\]", plan)
+    assert joins[0] == "src_id" and "round(tx" not in plan
