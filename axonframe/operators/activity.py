@@ -16,9 +16,9 @@ def cable(edges: DataFrame, axons: DataFrame) -> DataFrame:
 
 
 def deliver(spikes: DataFrame, wires: DataFrame) -> DataFrame:
-    """(src_id, tgt_id, t_ms, arrive_t, strength): every spike along every edge of its neuron."""
+    """(src_id, tgt_id, t_ms, arrive_t, strength): every spike along every one of the ``wires`` (src_id, tgt_id, delay_ms, strength) of its neuron."""
     met = spikes.withColumnRenamed("neuron_id", "src_id").join(wires, "src_id")
-    return met.select("src_id", "tgt_id", "t_ms", (F.col("t_ms") + F.col("delay_ms")).alias("arrive_t"), (F.col("weight") * F.col("attenuation")).alias("strength"))
+    return met.select("src_id", "tgt_id", "t_ms", (F.col("t_ms") + F.col("delay_ms")).alias("arrive_t"), "strength")
 
 
 def synaptic_input(edges: DataFrame, kinds: DataFrame, nodes: DataFrame) -> DataFrame:

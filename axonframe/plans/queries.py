@@ -415,7 +415,9 @@ def q_update_synapse(spark, sf):
 
 @_query("SELECT src_id, tgt_id, t_ms, round(t_ms + delay_ms, 6) AS arrive_t, round(weight * attenuation, 6) AS strength FROM spikes JOIN wires ON neuron_id = src_id", "spikes", "wires")
 def q_spike_delivery(spark, sf):
-    return _six(activity.deliver(T.spikes(spark, sf), _wires(spark, sf)))
+    # What belongs to a spike or a wire is rounded before they meet; only the arrival is made for each pair.
+    wires = _wires(spark, sf).select("src_id", "tgt_id", "delay_ms", F.round(F.col("weight") * F.col("attenuation"), 6).alias("strength"))
+    return activity.deliver(T.spikes(spark, sf), wires).withColumn("arrive_t", F.round("arrive_t", 6))
 
 
 @_query("SELECT tgt_id, CAST(greatest(floor(t_ms) + 1, ceil(t_ms + delay_ms)) AS BIGINT) AS step, count(*) AS n, round(sum(weight * attenuation), 6) AS kick FROM spikes JOIN wires ON neuron_id = src_id GROUP BY ALL", "spikes", "wires")
@@ -728,7 +730,7 @@ def q_neuron_radius(spark, sf):
 
 @_query(f"{_PLACED} SELECT s.src_id, s.tgt_id, t_ms, round(a.x, 6) AS sx, round(a.y, 6) AS sy, round(b.x, 6) AS tx, round(b.y, 6) AS ty FROM spikes JOIN synapses s ON s.src_id = neuron_id JOIN p a ON a.id = s.src_id JOIN p b ON b.id = s.tgt_id", "neurons", "spikes", "synapses")
 def q_pulse_fanout(spark, sf):
-    return _six(display.pulses(T.spikes(spark, sf), T.synapses(spark, sf), graph.circle(T.neurons(spark, sf))))
+    return display.pulses(T.spikes(spark, sf), T.synapses(spark, sf), _six(graph.circle(T.neurons(spark, sf))))
 
 
 @_query(f"{_PLACED} SELECT id, CAST(f AS INT) AS frame, round(x * (1 - f * 0.06), 6) AS x, CAST(round(1 - 0.7 * f * 0.06, 6) AS DOUBLE) AS opacity FROM p, unnest(range(17)) u(f) WHERE f * 0.06 < 1", "neurons")

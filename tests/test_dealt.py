@@ -38,3 +38,8 @@ def test_pulses_place_edges_before_spikes_meet_them(spark):
     plan = _plan(Q.q_pulse_fanout(spark, SF))
     joins = re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) \[(\w+)\]", plan)
     assert joins[0] == "src_id" and "round(tx" not in plan
+
+
+def test_delivery_rounds_strength_by_wire(spark):
+    plan = _plan(Q.q_spike_delivery(spark, SF))
+    assert "round(t_ms," not in plan and "round(strength," not in plan
