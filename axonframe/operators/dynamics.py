@@ -10,11 +10,15 @@ from ..functions.rng import gauss
 D = lambda x: F.lit(float(x))
 
 
+#: Tasks over which the rows of a fold are dealt: a row is small and its fold is long, so the input's partitions are too few.
+_TASKS = 64
+
+
 def _fold(df: DataFrame, steps: int, start: dict[str, Column], step, *keep: str) -> DataFrame:
     """``keep`` and the last state; ``step`` takes the state and the step's number and returns the next one."""
     names = list(start)
     state = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(*[c.alias(n) for n, c in start.items()]), lambda s, k: F.struct(*[c.alias(n) for n, c in step(s, k).items()]))
-    return df.select(*keep, state.alias("s")).select(*keep, *[F.col(f"s.{n}").alias(n) for n in names])
+    return df.repartition(_TASKS).select(*keep, state.alias("s")).select(*keep, *[F.col(f"s.{n}").alias(n) for n in names])
 
 
 def _let(values: dict[str, Column], body) -> Column:

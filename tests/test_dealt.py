@@ -43,3 +43,8 @@ def test_pulses_place_edges_before_spikes_meet_them(spark):
 def test_delivery_rounds_strength_by_wire(spark):
     plan = _plan(Q.q_spike_delivery(spark, SF))
     assert "round(t_ms," not in plan and "round(strength," not in plan
+
+
+def test_folds_are_dealt_over_tasks(spark):
+    assert dynamics._fold(spark.range(100).coalesce(1), 3, {"v": F.lit(0.0)}, lambda s, k: {"v": s["v"] + 1.0}, "id").rdd.getNumPartitions() == 64
+    assert "RoundRobinPartitioning(64)" in _plan(Q.q_hh_trajectory(spark, SF))
