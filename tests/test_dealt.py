@@ -48,3 +48,14 @@ def test_delivery_rounds_strength_by_wire(spark):
 def test_folds_are_dealt_over_tasks(spark):
     assert dynamics._fold(spark.range(100).coalesce(1), 3, {"v": F.lit(0.0)}, lambda s, k: {"v": s["v"] + 1.0}, "id").rdd.getNumPartitions() == 64
     assert "RoundRobinPartitioning(64)" in _plan(Q.q_hh_trajectory(spark, SF))
+
+
+def test_synapses_that_no_command_names_meet_no_scan(spark):
+    from axonframe.operators import editlog
+
+    nodes = spark.createDataFrame([(0,), (1,), (2,)], "id long")
+    edges = spark.createDataFrame([(0, 1, 0.5), (1, 2, 0.25), (2, 0, 0.75), (7, 0, 1.0)], "src_id long, tgt_id long, weight double")
+    log = spark.createDataFrame([(0, "update_synapse", 0, 0, 1, 2.0), (3, "remove_neuron", 2, 0, 0, 0.0)], "seq long, op string, id long, src_id long, tgt_id long, weight double")
+    got = editlog.synapse_versions(nodes, edges, log)
+    assert "isnull(named)" in _plan(got)
+    assert sorted(map(tuple, got.collect()), key=str) == [(0, 1, -1, 0.5, -1, 0), (0, 1, -1, 2.0, 0, None), (1, 2, -1, 0.25, -1, 3), (2, 0, -1, 0.75, -1, 3)]
