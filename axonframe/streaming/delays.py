@@ -6,12 +6,16 @@ by the batch's number, and a batch that is run again after a failure replaces it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import blocks
 from .windows import _folder
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,49 +27,121 @@ def stamp(t_ms: Column) -> Column:
     return F.timestamp_millis(F.floor(t_ms).cast("long") + ORIGIN)
 
 
+_WIRE = {"src_id": np.int64, "tgt_id": np.int64, "delay_ms": np.float64, "strength": np.float64}
+_HELD = {"src_id": np.int64, "t_ms": np.float64, "since": np.float64}
+#: Wires in one row of a block's state.
+_PIECE = 1 << 16
+#: Arrivals in one row that the state gives, which are lists so that rows are few between Python and Spark.
+_LIST = 1 << 12
+_LISTS = "tgt_id array<long>, step array<long>, n array<long>, kick array<double>"
+#: Partitions of the state, at most.
+_STATES = 32
+
+
+def _binary(fields: dict) -> str:
+    return ", ".join(f"{f} binary" for f in fields)
+
+
+def _arrays(rows: Iterable, fields: dict) -> dict[str, np.ndarray]:
+    rows = list(rows)
+    return {f: np.frombuffer(b"".join(bytes(r[k]) for r in rows), kind) for k, (f, kind) in enumerate(fields.items())}
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wires in the order of their block, as rows of their bytes."""
+    for batch in batches:
+        of = batch.column("block").to_numpy()
+        for lo, hi in zip(cuts := [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)], cuts[1:]):
+            for k in range(lo, hi, _PIECE):
+                part = batch.slice(k, min(hi - k, _PIECE))
+                bytes_of = [pa.array([part.column(f).to_numpy().astype(kind).tobytes()], pa.binary()) for f, kind in _WIRE.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([of[lo]], pa.int32()), *bytes_of], ["block", *_WIRE])
+
+
 class _Queue(StatefulProcessor):
-    """Kicks on their way to one target, held by frames of steps; a frame is let go by the timer at its end."""
+    """Spikes on their way to a block of targets, with the block's wires; frames of steps are let go by a timer at their end.
+
+    A spike is held once, whatever it reaches, until all of it has arrived; what arrives in the frames that are over is made
+    when they are let go. ``since`` is the first step of a spike that no timer has let go.
+    """
 
     def __init__(self, frame: int):
         self.frame = frame
+        self.blocks: dict[int, blocks.Stretches] = {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "frame long", "steps array<long>, n array<long>, kick array<double>")
+        self.wires, self.held = handle.getListState("wires", _binary(_WIRE)), handle.getListState("held", _binary(_HELD))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.wires.appendList([tuple(map(bytes, row)) for row in initialState[list(_WIRE)].itertuples(index=False)])
+
+    def _end_of_frame(self, step: int) -> int:
+        return (step // self.frame + 1) * self.frame + ORIGIN
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).groupby("step", as_index=False).agg(n=("n", "sum"), kick=("kick", "sum"))
-        for frame, part in new.groupby(new["step"] // self.frame):
-            at = (int(frame),)
-            if old := self.held.getValue(at):
-                part = pd.concat([part, pd.DataFrame({"step": old[0], "n": old[1], "kick": old[2]})]).groupby("step", as_index=False).sum()
-            else:
-                # A timer in the past, for a spike that came late but within the delay allowed, is run with the next watermark.
-                self.handle.registerTimer((at[0] + 1) * self.frame + ORIGIN)
-            self.held.updateValue(at, (part["step"].tolist(), part["n"].tolist(), part["kick"].tolist()))
+        soonest = math.inf
+        for new in rows:
+            t = new["t_ms"].to_numpy(np.float64)
+            self.held.appendValue((new["src_id"].to_numpy(np.int64).tobytes(), t.tobytes(), np.full(len(t), -np.inf).tobytes()))
+            soonest = min(soonest, math.floor(t.min()) + 1)
+        # A timer in the past, for a spike that came late but within the delay allowed, is run at once.
+        self.handle.registerTimer(self._end_of_frame(soonest))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = ((expiredTimerInfo.getExpiryTimeInMs() - ORIGIN) // self.frame - 1,)
-        if due := self.held.getValue(at):
-            self.held.removeKey(at)
-            yield pd.DataFrame({"tgt_id": key[0], "step": due[0], "n": due[1], "kick": due[2]})
+        before = (timerValues.getCurrentWatermarkInMs() - ORIGIN) // self.frame * self.frame
+        ids, ts, since = _arrays(self.held.get(), _HELD).values()
+        if not len(ids):
+            return
+        if key[0] not in self.blocks:
+            self.blocks[key[0]] = blocks.Stretches(pa.table(_arrays(self.wires.get(), _WIRE)))
+        block = self.blocks[key[0]]
+        order = np.argsort(ts, kind="stable")
+        ids, ts, since = ids[order], ts[order], since[order]
+        for part in block.between(ids, ts, since, before):
+            for k in range(0, part.num_rows, _LIST):
+                some = part.slice(k, _LIST)
+                yield pd.DataFrame({f: [some.column(f).to_numpy()] for f in some.schema.names})
+        left = block.open(ids, ts, before)
+        if left.any():
+            since = np.maximum(since[left], before)
+            self.held.put([tuple(x.tobytes() for x in (ids[left], ts[left], since))])
+            self.handle.registerTimer(self._end_of_frame(max(before, math.floor(ts[left].min()) + 1)))
+        else:
+            self.held.clear()
 
     def close(self) -> None:
         pass
 
 
+def _each(lists: DataFrame) -> DataFrame:
+    """Rows of lists as one row for each arrival."""
+    return lists.select(F.posexplode("tgt_id").alias("at", "tgt_id"), *[F.col(c).alias(f"{c}s") for c in ("step", "n", "kick")]).select("tgt_id", *[F.col(f"{c}s")[F.col("at")].alias(c) for c in ("step", "n", "kick")])
+
+
 def hold_until_arrival(spikes: DataFrame, wires: DataFrame, late: str = "0 seconds", frame: int = 20) -> DataFrame:
     """(tgt_id, step, n, kick) of streamed ``spikes`` (neuron_id, t_ms, at): what arrives at a target in each step of 1 ms.
 
-    ``wires`` (src_id, tgt_id, delay_ms, strength) is a table. A kick is held until the watermark has passed the end of its
-    frame of ``frame`` ms; spikes behind the watermark are dropped by Spark, so ``late`` is how much disorder is allowed. A
-    step is let go whole unless a spike comes after its frame was, which gives a second row to be added to the first.
+    ``wires`` (src_id, tgt_id, delay_ms, strength) is a table, which the state takes in with the first batch: a queue keeps the
+    wires that it began with. Targets are dealt into blocks, and a spike goes once to each block that it reaches. It is held
+    there until the watermark has passed the end of its frames of ``frame`` ms; spikes behind the watermark are dropped by
+    Spark, so ``late`` is how much disorder is allowed, and no spike comes after the frame of its arrival was let go. So each
+    step of a target is one row. A wire whose delay is no finite number brings nothing.
     """
-    step = F.greatest(F.floor("t_ms") + 1, F.ceil(F.col("t_ms") + F.col("delay_ms")))
-    met = spikes.withWatermark("at", late).withColumnRenamed("neuron_id", "src_id").join(wires, "src_id")
-    sent = met.select("tgt_id", "at", step.alias("step"), F.lit(1).cast("long").alias("n"), F.col("strength").alias("kick"))
-    return sent.groupBy("tgt_id").transformWithStateInPandas(_Queue(frame), "tgt_id long, step long, n long, kick double", "Append", "EventTime")
+    return _each(_held(spikes, wires, late, frame))
+
+
+def _held(spikes: DataFrame, wires: DataFrame, late: str, frame: int) -> DataFrame:
+    """``hold_until_arrival`` as rows of lists."""
+    ends = [F.col(c).cast("long").alias(c) for c in ("src_id", "tgt_id")]
+    known = wires.select(*ends, F.coalesce("delay_ms", F.lit(0.0)).alias("delay_ms"), F.coalesce("strength", F.lit(0.0)).alias("strength"))
+    known = known.dropna(subset=["src_id", "tgt_id"]).filter(F.abs("delay_ms") < math.inf)
+    known = known.withColumn("block", F.pmod(F.xxhash64("tgt_id"), F.lit(blocks.BLOCKS)).cast("int"))
+    pieces = known.repartition("block").sortWithinPartitions("block").mapInArrow(_pieces, f"block int, {_binary(_WIRE)}")
+    met = spikes.withWatermark("at", late).withColumnRenamed("neuron_id", "src_id").join(known.select("src_id", "block").distinct(), "src_id")
+    sent = met.select("block", "at", "src_id", "t_ms")
+    return sent.groupBy("block").transformWithStateInPandas(_Queue(frame), _LISTS, "Append", "EventTime", pieces.groupBy("block"))
 
 
 def _run(rows: DataFrame, home: str, fail_after: int | None = None) -> list[int]:
@@ -98,15 +174,17 @@ def spike_source(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
 
 def delayed_arrivals(spark: SparkSession, path: str, wires: DataFrame, home: str, late: str = "0 seconds", frame: int = 20, fail_after: int | None = None) -> DataFrame:
     """(tgt_id, step, n, kick): all that has arrived by now, over all runs with this ``home``; spikes still on their way stay in the state."""
-    conf = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(conf)
-    spark.conf.set(conf, _ROCKS)  # the provider that timers need
+    confs = {"spark.sql.streaming.stateStore.providerClass": _ROCKS}  # the provider that timers need
+    confs["spark.sql.shuffle.partitions"] = str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), _STATES))  # an empty state costs a task each batch
+    before = {k: spark.conf.get(k) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
     try:
-        _run(hold_until_arrival(spike_source(spark, path), wires, late, frame), home, fail_after)
+        _run(_held(spike_source(spark, path), wires, late, frame), home, fail_after)
     finally:
-        spark.conf.set(conf, before)
-    rows = _written(spark, home, "tgt_id long, step long, n long, kick double, batch long")
-    return rows.groupBy("tgt_id", "step").agg(F.sum("n").alias("n"), F.sum("kick").alias("kick"))
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return _each(_written(spark, home, f"{_LISTS}, batch long"))
 
 
 def drain(spark: SparkSession, path: str, home: str, files: int = 1, fail_after: int | None = None) -> DataFrame:
@@ -135,6 +213,8 @@ def feed(spark: SparkSession, spikes: DataFrame, path: str, parts: int, closing:
 def delayed_run(spark: SparkSession, spikes: DataFrame, wires: DataFrame, parts: int = 3, frame: int = 100) -> DataFrame:
     """``delayed_arrivals`` of ``spikes`` fed as a stream in ``parts`` stretches, a run after each of them."""
     path, home = _folder(spark, "fed"), _folder(spark, "queue")
+    wires.write.parquet(table := _folder(spark, "wires"))  # every batch reads them
+    wires = spark.read.schema(wires.schema).parquet(table)
     for _ in feed(spark, spikes, path, parts, closing=True):
         delayed_arrivals(spark, path, wires, home, frame=frame)
     return delayed_arrivals(spark, path, wires, home, frame=frame)

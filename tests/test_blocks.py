@@ -4,8 +4,10 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from axonframe.operators import blocks
 from axonframe.plans import queries as Q
@@ -104,3 +106,41 @@ def test_as_of_pairs_without_trains(spark):
     spikes = spark.createDataFrame([(1, 5.0), (1, 5.0), (2, 7.5), (None, 8.0), (3, None)], "neuron_id long, t_ms double")
     assert [tuple(r) for r in timeline.asof_pairs(edges, spikes).collect()] == [(1, 2, 7.5, False, 2.5)]
     assert timeline.asof_pairs(edges, spikes.limit(0)).count() == 0
+
+
+def test_stretches_give_each_arrival_once():
+    """Arrivals made a stretch of steps at a time, as the delay queue lets them go, are all arrivals, and none comes before its stretch."""
+    draw = random.Random(12)
+    wires = [(draw.randrange(4), draw.randrange(6), draw.choice([-1.0, 0.0, 0.1, 7.0, 33.3, 120.5, draw.random() * 9]), draw.random()) for _ in range(60)]
+    spikes = sorted((draw.choice([draw.randrange(300), draw.random() * 300]), draw.choice([s for s, *_ in wires])) for _ in range(200))
+    table = pa.table(dict(zip(("src_id", "tgt_id", "delay_ms", "strength"), map(list, zip(*wires)))))
+    ts, ids = np.array([t for t, _ in spikes], float), np.array([i for _, i in spikes])
+    block, got, since = blocks.Stretches(table), {}, -np.inf
+    for before in (0, 20, 100, 107, 240, 500):
+        for part in block.between(ids, ts, np.full(len(ts), since), before):
+            for tgt, step, n, kick in zip(*(part.column(c).to_pylist() for c in ("tgt_id", "step", "n", "kick"))):
+                assert since <= step < before and (tgt, step) not in got
+                got[tgt, step] = (n, round(kick, 9))
+        assert block.open(ids, ts, before).tolist() == [any(max(math.floor(t) + 1, math.ceil(t + d)) >= before for s, _, d, _ in wires if s == i) for t, i in spikes]
+        since = before
+    want = {}
+    for t, i in spikes:
+        for s, g, d, k in wires:
+            if s == i:
+                n, kick = want.get(at := (g, max(math.floor(t) + 1, math.ceil(t + d))), (0, 0.0))
+                want[at] = (n + 1, kick + k)
+    assert got == {k: (n, round(x, 9)) for k, (n, x) in want.items()}
+
+
+def test_delay_queue_meets_blocks_and_not_targets(spark, tmp_path):
+    """A spike is sent once to each block, not over each wire, and its arrivals come back whole: one row for a target's step."""
+    from axonframe.streaming import delays
+
+    wires = spark.range(2_000).selectExpr("id % 1 AS src_id", "id AS tgt_id", "CAST(id % 50 AS DOUBLE) AS delay_ms", "1.0D AS strength")
+    spikes = spark.createDataFrame([(0, 0.0), (0, 10.0), (0, 200.0)], "neuron_id long, t_ms double")
+    for _ in delays.feed(spark, spikes, f"{tmp_path}/in", 2, closing=True):
+        delays.delayed_arrivals(spark, f"{tmp_path}/in", wires, f"{tmp_path}/home")
+    got = delays.delayed_arrivals(spark, f"{tmp_path}/in", wires, f"{tmp_path}/home")
+    assert got.agg(F.sum("n")).first()[0] == 6_000 and got.count() == got.select("tgt_id", "step").distinct().count() == 6_000
+    state = spark.read.format("statestore").option("stateVarName", "held").option("batchId", 0).load(f"{tmp_path}/home/offsets")
+    assert 0 < state.count() <= blocks.BLOCKS
