@@ -100,6 +100,19 @@ def test_superposition_joins_no_moment_with_stimuli(spark):
     assert {(r.t, r.current) for r in got} == {(0.0, 50.0), (2.0, 50.0)} and len(got) == 2
 
 
+def test_superposition_deals_its_rows_over_as_many_tasks_as_they_need(spark, monkeypatch):
+    """Tasks follow the samples, moments times frequencies of a neuron, and not a fixed number of partitions."""
+    rows = [(n, "sinusoidal", 1.0, 5.0, float(k % 5), float(k), 0.5) for n in range(20) for k in range(30)]
+    stimuli = spark.createDataFrame(rows, "neuron_id long, stim_type string, amplitude double, duration_ms double, frequency double, start_t double, draw double")
+    whole = {(r.neuron_id, r.t): r.current for r in timeline.superposition(stimuli).collect()}
+    monkeypatch.setattr(timeline, "_SWEPT", 500)  # 20 neurons of 30 moments, each with 5 frequencies: 4,200 rows
+    assert timeline._sweep_tasks(timeline._stimulus_deltas(stimuli)) == 9
+    dealt = timeline.superposition(stimuli)
+    assert {(r.neuron_id, r.t): r.current for r in dealt.collect()} == pytest.approx(whole, abs=1e-9) and len(whole) == 600
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 6 and ", 9), REPARTITION_BY_NUM" in plan
+
+
 # --- conductances ---------------------------------------------------------------------------------
 
 
