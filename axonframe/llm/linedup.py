@@ -47,6 +47,8 @@ DEALT = 1 << 15
 ENTRIES = 1 << 19
 #: Digests that repeat, which are broadcast if there are no more of them; their number is counted first.
 SENT = 500_000
+#: Lines that are read anew; if there are no more of them, their documents' ids are broadcast and other texts aren't read.
+READ = 50_000
 #: Bits of the maps of the texts and lines that are read anew.
 MAP_BITS = 24
 
@@ -331,6 +333,8 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
         bits[own["w"].to_numpy()] = own["x"].to_numpy().view(np.uint64)
         maps.append(bits.tobytes())
     shared = docs.sparkSession.sparkContext.broadcast(maps)
+    if wanted.count() <= READ:
+        docs = docs.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
     read = docs.mapInArrow(_listed_sets(shared), "doc_id long, line_no int, d1 long, tokens binary")
     key = ["doc_id", "line_no", "d1"]  # rows repeated whole give a line again
     sets = scratch.cut(read.dropDuplicates(key).join(wanted, key).select("cid", "tokens"), "sets")
@@ -338,9 +342,36 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     return sets
 
 
+def _prints(batches):
+    """(cid, tokens) to (cid, prints): a byte of each token."""
+    for batch in batches:
+        prints = [np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint8).tobytes() for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], ["cid", "prints"])
+
+
+def _perhaps(batches):
+    """(a, b, x, y) to the (a, b) whose prints do not rule out that their sets are similar: no set shares more tokens than prints."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            both = int(np.minimum(np.bincount(x, minlength=256), np.bincount(y, minlength=256)).sum())
+            keep.append(OF * both >= SIMILAR * (len(x) + len(y) - both))
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return pairs.join(sets.toDF("late", "x"), "late").join(sets.toDF("early", "y"), "early").select("late", "early", "x", "y")
+
+
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (late, early) that a byte of each token does not rule out; they are many, so whole sets are not sent with each."""
+    return _met(pairs, sets.mapInArrow(_prints, "cid long, prints binary")).mapInArrow(_perhaps, "late long, early long")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The late ones (cid) of ``pairs`` (late, early) whose whole sets are similar."""
-    met = pairs.join(sets.toDF("late", "x"), "late").join(sets.toDF("early", "y"), "early").select("late", "early", "x", "y")
+    met = _met(pairs, sets)
     return met.mapInArrow(_verified, "late long, early long").select(F.col("late").alias("cid")).distinct()
 
 
@@ -365,7 +396,10 @@ def _late(pairs: DataFrame, places: DataFrame, docs: DataFrame, scratch: Scratch
     rest = pairs.select("late", "early").join(found.toDF("late"), "late", "left_anti").join(first, "late").filter("early <> tried")
     rest = scratch.cut(rest.select("late", "early"), "rest")
     if not rest.isEmpty():
-        found = found.union(scratch.cut(_similar(rest, sets), "similar"))
+        likely = scratch.cut(_likely(rest, sets), "likely")
+        ends = likely.select(F.explode(F.array("late", "early")).alias("cid")).distinct()
+        found = found.union(scratch.cut(_similar(likely, sets.join(ends, "cid", "left_semi")), "similar"))
+        scratch.drop(likely)
     scratch.drop(pairs, wanted, sets, rest)
     return found
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from axonframe.llm import chat, divergence, kmeans, mixing
+from axonframe.llm import chat, divergence, kmeans, linedup, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -266,3 +266,21 @@ def test_mixing_says_that_it_has_not_settled(spark, monkeypatch):
     labels = spark.createDataFrame([(i, "clean" if i % 3 else "junk") for i in range(40)], "doc_id long, domain string")
     with pytest.warns(UserWarning, match="not settled"):
         mixing.mix(spark, docs, labels, {"clean": 0.999, "junk": 0.001})
+
+
+def test_prints_rule_out_no_similar_sets():
+    """A byte of each token goes with every candidate pair in place of the whole set: similar sets pass, and most others do not."""
+    draw = np.random.default_rng(5)
+    sets, alike = [], []
+    for k in range(300):
+        x = draw.integers(0, 1 << 63, draw.integers(1, 400)).astype(np.uint64)
+        y = np.append(x[: draw.integers(1, len(x) + 1)], draw.integers(0, 1 << 63, draw.integers(0, 40)).astype(np.uint64)) if k % 2 else draw.integers(0, 1 << 63, max(1, len(x) - 3)).astype(np.uint64)
+        both = len(np.intersect1d(x, y))
+        sets.append((x, y))
+        alike.append(100 * both >= 75 * (len(x) + len(y) - both))
+    ids = pa.array(range(300), pa.int64())
+    x, y = (list(linedup._prints([pa.RecordBatch.from_arrays([ids, pa.array([s[k].tobytes() for s in sets], pa.binary())], ["cid", "tokens"])]))[0].column("prints") for k in (0, 1))
+    assert [len(p) for p in x.to_pylist()] == [len(s) for s, _ in sets]
+    (kept,) = linedup._perhaps([pa.RecordBatch.from_arrays([ids, ids, x, y], ["late", "early", "x", "y"])])
+    kept = set(kept.column(0).to_pylist())
+    assert {k for k in range(300) if alike[k]} <= kept and 0 < sum(alike) and len(kept) < sum(alike) + 60
