@@ -14,7 +14,8 @@ partner and is not listed.
 Equal sets form one class, so a very common line is one entry. A class carries 128 bits, one set by
 each of its tokens; a bit that only one of two sets has is a token that only this one has, which
 rules out nearly all pairs before they make a row. The prefix tokens are shuffled to their lists
-in ``SLICES`` turns, each of which gives its shuffle files back before the next. A list is read in
+in ``SLICES`` turns, each of which gives its shuffle files back before the next; what a task has for
+another travels in packs of many entries, a row each. A list is read in
 order of size, so that a class meets only those whose length fits. Tokens whose bucket holds more
 than ``DEALT`` words are wide: their lists are dealt over parts.
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .listjoin import PAIRS, WORK, alone, columns, joined, runs, whole_lists, windows
+from .listjoin import PAIRS, WORK, alone, runs, whole_lists, windows
 from .scratch import Scratch
 from .textkernel import BYTE_KEY, GAP, LOWER, find_words, hash_spans, mix64, text_blocks
 
@@ -45,6 +46,8 @@ SLICES = 4
 DEALT = 1 << 15
 #: Entries of a task that makes the pairs of short lists, about.
 ENTRIES = 1 << 19
+#: Entries that a task packs in one go.
+PACKED = 1 << 18
 #: Digests that repeat, which are broadcast if there are no more of them; their number is counted first.
 SENT = 500_000
 #: Lines that are read anew; if there are no more of them, their documents' ids are broadcast and other texts aren't read.
@@ -52,14 +55,15 @@ READ = 50_000
 #: Bits of the maps of the texts and lines that are read anew.
 MAP_BITS = 24
 
-_LINE = "doc_id long, line_no int, d1 long, d2 long, n int, s1 long, s2 long, skip int, tokens array<long>, wide array<struct<v: long, part: int>>"
+_LINE = "doc_id long, line_no int, d1 long, d2 long, n int, s1 long, s2 long, skip int, tokens binary, wide binary"
 _BITS = ("s1", "s2")
 
 
-def _line_words(data: np.ndarray, offs: np.ndarray):
+def _line_words(data: np.ndarray, offs: np.ndarray, wanted=None):
     """(hash of each word, its line, row of each line, line number within the row, byte start and end of each line).
 
-    Lines are the pieces between ``\\n``; a row without text has none.
+    Lines are the pieces between ``\\n``; a row without text has none. Given ``wanted``, which tells from
+    (row, number) the lines whose words matter, the other lines' words are left out.
     """
     lower = LOWER[data]
     breaks = np.flatnonzero(data == 10)
@@ -75,10 +79,13 @@ def _line_words(data: np.ndarray, offs: np.ndarray):
         end[last] = offs[1:][row[last]]
     number = np.arange(len(row)) - np.searchsorted(row, row)
     starts, ends, _ = find_words(lower, offs)
-    words = hash_spans(lower, starts, ends)
     held = np.flatnonzero(end > begin)
     first = np.searchsorted(starts, begin[held])
-    return words, np.repeat(held, np.diff(np.append(first, len(starts)))), row, number, begin, end
+    line = np.repeat(held, np.diff(np.append(first, len(starts))))
+    if wanted is not None:
+        keep = wanted(row, number)[line]
+        starts, ends, line = starts[keep], ends[keep], line[keep]
+    return hash_spans(lower, starts, ends), line, row, number, begin, end
 
 
 def _order(words: np.ndarray, line: np.ndarray, n_lines: int, rank: np.ndarray) -> np.ndarray:
@@ -155,7 +162,8 @@ def _reader(shared):
     """Lines with their digests, bits and listed tokens, given the broadcast rarity table.
 
     ``skip`` tokens of the prefix, the first ones, are alone in their buckets; ``tokens`` follow, and
-    then the ``wide`` ones, whose buckets hold so many words that their lists are dealt over parts.
+    then the ``wide`` ones, whose buckets hold so many words that their lists are dealt over parts. Both
+    are 64-bit numbers end to end: a token's hash, and behind that of a wide one its part.
     """
 
     def lines(batches):
@@ -174,10 +182,12 @@ def _reader(shared):
                 parts = parts_of[rank]
                 lists = []
                 for keep in (prefix & (rank > 0) & (parts == 1), prefix & (parts > 1)):
-                    cut = pa.array(np.append(np.searchsorted(line[keep], held), int(keep.sum())).astype(np.int32))
-                    part = whole(d1[line[keep]] % parts[keep])
-                    values = signed(words[keep])
-                    lists.append(pa.ListArray.from_arrays(cut, pa.StructArray.from_arrays([values, part], ["v", "part"]) if lists else values))
+                    values = words[keep]
+                    cut = np.append(np.searchsorted(line[keep], held), len(values))
+                    if lists:
+                        values = np.stack([values, d1[line[keep]] % parts[keep]], axis=1)
+                    cells = [None, pa.py_buffer((cut * values.strides[0]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))]
+                    lists.append(pa.Array.from_buffers(pa.binary(), len(held), cells))
                 bit = np.uint64(1) << (words & np.uint64(63))
                 half = (words >> np.uint64(6)) & np.uint64(1) > 0
                 begin = np.searchsorted(line, held)
@@ -190,6 +200,70 @@ def _reader(shared):
     return lines
 
 
+def _numbers(cells: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit numbers of binary cells as rows of ``width``, and how many rows each cell has."""
+    offs = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1] if len(cells) else np.zeros(1, np.int32)
+    n = int(offs[-1] - offs[0]) // 8
+    data = np.frombuffer(cells.buffers()[2], np.int64, n, int(offs[0])) if n else np.zeros(0, np.int64)
+    return data.reshape(-1, width), np.diff(offs) // (8 * width)
+
+
+def _listed(batch: pa.RecordBatch, wide: bool, keep=None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The entries of the lists of wide or of other tokens: the row of each, and (v, part, place) by name; only those whose v ``keep`` takes."""
+    skip = batch.column("skip").to_numpy().astype(np.int64)
+    numbers, n = _numbers(batch.column("tokens"), 1)
+    if wide:
+        skip = skip + n
+        numbers, n = _numbers(batch.column("wide"), 2)
+    row = np.repeat(np.arange(len(n)), n)
+    out = {"v": numbers[:, 0], "part": numbers[:, 1] + 1 if wide else np.zeros(len(row), np.int64), "place": np.arange(len(row)) + np.repeat(skip - (np.cumsum(n) - n), n)}
+    if keep is not None:
+        ok = keep(out["v"])
+        row, out = row[ok], {k: x[ok] for k, x in out.items()}
+    return row, out
+
+
+#: The numbers of an entry, in the order of a pack.
+_PACK = ("v", "part", "cid", "np", "s1", "s2")
+
+
+def _packer(turn: int, tasks: int):
+    """Classes to (task, pack): the entries of a turn for each of ``tasks`` tasks; a list or part of one goes to one task."""
+
+    def packs(held: list[np.ndarray]):
+        rows = np.concatenate(held, axis=1)
+        task = ((mix64(rows[0].view(np.uint64) + rows[1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(tasks)).astype(np.int32)
+        order = np.argsort(task, kind="stable")
+        task, rows = task[order], rows[:, order]
+        cut = np.append(np.flatnonzero(np.diff(task, prepend=-1)), len(task))
+        cells = [rows[:, a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(task[cut[:-1]], pa.int32()), pa.array(cells, pa.binary())], ["task", "pack"])
+
+    def packed(batches):
+        held, n = [], 0
+        for batch in batches:
+            row, rows = _listed(batch, turn == SLICES, (lambda v: v & (SLICES - 1) == turn) if turn < SLICES else None)
+            if not len(row):
+                continue
+            own = {k: batch.column(k).to_numpy() for k in ("cid", "n", "s1", "s2")}
+            rows |= {"np": (own["n"].astype(np.int64)[row] << 32) + rows["place"]} | {k: own[k][row] for k in ("cid", "s1", "s2")}
+            held.append(np.stack([rows[k] for k in _PACK]))
+            n += len(row)
+            if n >= PACKED:
+                yield from packs(held)
+                held, n = [], 0
+        if held:
+            yield from packs(held)
+
+    return packed
+
+
+def _unpacked(batches) -> dict[str, np.ndarray]:
+    """All entries of packs as arrays by name; none if there are no packs."""
+    held = [np.frombuffer(x.as_buffer(), np.int64).reshape(len(_PACK), -1) for batch in batches for x in batch.column(0)]
+    return {k: np.concatenate([x[i] for x in held]).view(np.uint64 if k in _BITS else np.int64) for i, k in enumerate(_PACK)} if held else {}
+
+
 def _fits(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether members ``i`` and ``j`` of one list can be similar: by length, by place and by the bits that one has alone."""
     n, m, p, q = rows["n"][i], rows["n"][j], rows["place"][i], rows["place"][j]
@@ -212,17 +286,15 @@ def _pairs(a, b, v=(), cid=()) -> pa.RecordBatch:
 
 
 def _within_lists(batches):
-    """Entries (v, part, cid, np, s1, s2) of whole lists or parts to (a, b, v, cid): pairs of class ids, and the members (v, cid) that are not done with them.
+    """Packs of entries (v, part, cid, np, s1, s2) of whole lists or parts to (a, b, v, cid): pairs of class ids, and the members (v, cid) that are not done with them.
 
     A partition is held whole: no list or part of it has more than ``DEALT`` entries, since its bucket
     has no more words. In a long list each member meets the first FEW of those that fit; both ends of
     a pair that is left out are not done, nor is any member of a list that is dealt over parts.
     """
-    parts = [columns(batch, _BITS) for batch in batches if batch.num_rows]
-    if not parts:
+    rows = _unpacked(batches)
+    if not rows:
         return
-    rows = joined(parts)
-    parts.clear()
     rows["n"], rows["place"] = rows["np"] >> 32, rows["np"] & 0xFFFFFFFF
     order = np.lexsort((rows["part"], rows["v"])) if rows["part"].any() else np.argsort(rows["v"])
     group = runs(rows["v"][order], rows["part"][order])
@@ -269,19 +341,19 @@ def _earlier(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(rows["cid"][x[ok]]), pa.array(rows["cid"][y[ok]])], ["a", "b"])
 
 
-def _map_places(doc_id: np.ndarray, line_no: np.ndarray | None = None, d1: np.ndarray | None = None) -> np.ndarray:
+def _map_places(doc_id: np.ndarray, line_no: np.ndarray | None = None) -> np.ndarray:
     """Places in a bitmap of MAP_BITS bits: of texts, or of their lines."""
     x = mix64(doc_id.astype(np.int64).view(np.uint64) + np.uint64(0x9E37))
     if line_no is not None:
-        x = mix64(x ^ d1 ^ (line_no.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        x = mix64(x ^ (line_no.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     return x >> np.uint64(64 - MAP_BITS)
 
 
 def _map_words(batches):
-    """(doc_id, line_no, d1) to (which, w, x): the words of both bitmaps that they set bits of."""
+    """(doc_id, line_no) to (which, w, x): the words of both bitmaps that they set bits of."""
     for batch in batches:
-        doc_id, line_no, d1 = (batch.column(k).to_numpy() for k in range(3))
-        for which, place in enumerate((_map_places(doc_id), _map_places(doc_id, line_no, d1.view(np.uint64)))):
+        doc_id, line_no = (batch.column(k).to_numpy() for k in range(2))
+        for which, place in enumerate((_map_places(doc_id), _map_places(doc_id, line_no))):
             bit = np.uint64(1) << (place & np.uint64(63))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), which, np.int32)), pa.array((place >> np.uint64(6)).astype(np.int32)), pa.array(bit.view(np.int64))], ["which", "w", "x"])
 
@@ -299,10 +371,10 @@ def _listed_sets(maps):
             batch = batch.filter(pa.array(_has(texts, _map_places(batch.column(0).to_numpy()))))
             ids = batch.column(0).to_numpy()
             for i, _, data, offs in text_blocks(batch.column(1)):
-                words, line, row, number, _, _ = _line_words(data, offs)
+                words, line, row, number, _, _ = _line_words(data, offs, lambda row, number, i=i: _has(lines, _map_places(ids[i + row], number)))
                 words, line, _, _, size, d1, _ = _sets(words, line, len(row), np.zeros(len(words), np.uint8))
                 at = np.cumsum(size) - size
-                held = np.flatnonzero((size > 0) & _has(lines, _map_places(ids[i + row], number, d1)))
+                held = np.flatnonzero(size)
                 tokens = pa.array([words[a : a + n].tobytes() for a, n in zip(at[held].tolist(), size[held].tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i + row[held]]), pa.array(number[held].astype(np.int32)), pa.array(d1[held].view(np.int64)), tokens], ["doc_id", "line_no", "d1", "tokens"])
 
@@ -325,7 +397,7 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     Bitmaps of a fixed size tell which texts and lines to take; what they let through in vain the join drops.
     """
-    found = wanted.select("doc_id", "line_no", "d1").mapInArrow(_map_words, "which int, w int, x long").groupBy("which", "w").agg(F.bit_or("x").alias("x")).toArrow()
+    found = wanted.select("doc_id", "line_no").mapInArrow(_map_words, "which int, w int, x long").groupBy("which", "w").agg(F.bit_or("x").alias("x")).toArrow()
     maps = []
     for which in range(2):
         own = found.filter(pc.equal(found["which"], which))
@@ -404,16 +476,38 @@ def _late(pairs: DataFrame, places: DataFrame, docs: DataFrame, scratch: Scratch
     return found
 
 
-def _entries(classes: DataFrame, *more: str) -> DataFrame:
-    """The lists of the tokens that are not wide: an entry for each of them in each class."""
-    each = classes.select("cid", "n", "s1", "s2", "skip", *more, F.posexplode("tokens").alias("pos", "v"))
-    return each.select("v", "cid", "n", (F.col("pos") + F.col("skip")).alias("place"), "s1", "s2", *more)
+def _list_map(batches):
+    """(v) to (w, x): the words of a bitmap that they set bits of."""
+    for batch in batches:
+        place = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS)
+        yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], ["w", "x"])
+
 
+def _lister(shared):
+    """Classes to the entries of all lists that the broadcast bitmap has."""
 
-def _wide_entries(classes: DataFrame, *more: str) -> DataFrame:
-    before = F.col("skip") + F.size("tokens")
-    each = classes.filter(F.size("wide") > 0).select("cid", "n", "s1", "s2", before.alias("before"), *more, F.posexplode("wide").alias("pos", "e"))
-    return each.select("e.v", "cid", "n", (F.col("pos") + F.col("before")).alias("place"), "s1", "s2", *more, "e.part")
+    def entries(batches):
+        bits = np.frombuffer(shared.value, np.uint64)
+        for batch in batches:
+            for wide in (False, True):
+                row, rows = _listed(batch, wide, lambda v: _has(bits, v.view(np.uint64) >> np.uint64(64 - MAP_BITS)))
+                own = batch.select(["cid", "n", "s1", "s2", "doc_id"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(rows["v"]), pa.array(rows["place"].astype(np.int32)), *own.columns], ["v", "place", "cid", "n", "s1", "s2", "doc_id"])
+
+    return entries
+
+
+def _lists(classes: DataFrame, left: DataFrame, scratch: Scratch) -> DataFrame:
+    """(v, place, cid, n, s1, s2, doc_id): all entries of the lists that ``left`` (v, cid) names; a bitmap of a fixed size spares most others, and the join the rest."""
+    lists = left.select("v").distinct()
+    found = lists.mapInArrow(_list_map, "w int, x long").groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
+    bits = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    bits[found["w"].to_numpy()] = found["x"].to_numpy().view(np.uint64)
+    shared = classes.sparkSession.sparkContext.broadcast(bits.tobytes())
+    entries = classes.select("cid", "n", "s1", "s2", "skip", "tokens", "wide", "doc_id").mapInArrow(_lister(shared), "v long, place int, cid long, n int, s1 long, s2 long, doc_id long")
+    listed = scratch.cut(entries.join(lists, "v", "left_semi"), "listed")
+    shared.destroy()
+    return listed
 
 
 def _late_among_all(listed: DataFrame, left: DataFrame, places: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -461,21 +555,19 @@ def repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch.drop(lines, again)
     places = scratch.cut(classes.select("cid", "doc_id", "line_no", "d1", "d2", "lines"), "places")
 
-    entries, wide = classes.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)), F.coalesce(F.sum(F.size("wide")), F.lit(0))).first()
-    packed = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("np")
-    turns = [(_entries(classes).filter(F.pmod(F.col("v"), F.lit(SLICES)) == k).withColumn("part", F.lit(0)), entries // SLICES, ["v"]) for k in range(SLICES)]
-    turns += [(_wide_entries(classes).withColumn("part", F.col("part") + 1), wide, ["v", "part"])] * (wide > 0)
+    entries, wide = (x // 8 for x in classes.agg(*[F.coalesce(F.sum(F.length(c)), F.lit(0)) for c in ("tokens", "wide")]).first())
+    turns = [(k, classes, entries // SLICES) for k in range(SLICES)] + [(SLICES, classes.filter(F.length("wide") > 0), wide // 2)] * (wide > 0)
     found = None
-    for rows, n, key in turns:
-        dealt = rows.select("v", "part", "cid", packed, "s1", "s2").repartition(1 + n // ENTRIES, *key)
+    for turn, rows, n in turns:
+        tasks = 1 + n // ENTRIES
+        packs = rows.select("cid", "n", "s1", "s2", "skip", "tokens", "wide").mapInArrow(_packer(turn, tasks), "task int, pack binary")
+        dealt = packs.repartitionById(tasks, "task").select("pack")
         met = scratch.cut(dealt.mapInArrow(_within_lists, "a long, b long, v long, cid long"), "met")
         found = met if found is None else found.union(met)
     late = _late(found.filter("a IS NOT NULL").select("a", "b"), places, docs, scratch)
     left = scratch.cut(found.filter("v IS NOT NULL").select("v", "cid").join(late, "cid", "left_anti").select("v", "cid"), "left")
     if not left.isEmpty():
-        lists = left.select("v").distinct()
-        listed = _entries(classes, "doc_id").unionByName(_wide_entries(classes, "doc_id").drop("part")).join(lists, "v", "left_semi")
-        late = late.union(_late_among_all(scratch.cut(listed, "listed"), left, places, docs, scratch))
+        late = late.union(_late_among_all(_lists(classes, left, scratch), left, places, docs, scratch))
     scratch.drop(classes, left)
 
     # Of the classes only those matter that have several lines or whose line goes.
