@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from axonframe.functions import packs
 from axonframe.plans import queries as Q
@@ -50,3 +51,8 @@ def test_lines_and_trains_travel_in_packs(spark):
     plan = _plan(Q.QUERIES["q_stdp_pairs"](spark, SF))
     tiles = plan[plan.index("hashpartitioning(block") :].split("\n")
     assert "Sort [block" in plan and "ts" not in re.search(r"Sort \[block.*", plan)[0] and any("pack" in x for x in tiles[:4])
+
+
+@pytest.mark.parametrize("name", ["q_delivery_bins", "q_conductance_arrivals"])
+def test_spikes_and_wires_travel_in_packs(spark, name):
+    assert "(block, pack, at, n)" in _plan(Q.QUERIES[name](spark, SF))  # what is sorted and read by a block's task
