@@ -12,9 +12,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions import packs
 from ..operators import blocks
 from .windows import _folder
 
@@ -27,87 +29,91 @@ def stamp(t_ms: Column) -> Column:
     return F.timestamp_millis(F.floor(t_ms).cast("long") + ORIGIN)
 
 
-_WIRE = {"src_id": np.int64, "tgt_id": np.int64, "delay_ms": np.float64, "strength": np.float64}
-_HELD = {"src_id": np.int64, "t_ms": np.float64, "since": np.float64}
-#: Wires in one row of a block's state.
-_PIECE = 1 << 16
-#: Arrivals in one row that the state gives, which are lists so that rows are few between Python and Spark.
-_LIST = 1 << 12
-_LISTS = "tgt_id array<long>, step array<long>, n array<long>, kick array<double>"
+_HELD = {"ids": np.int64, "ts": np.float64, "since": np.float64}
+#: Spikes in a pack that is let go.
+_PACK = 1 << 16
+_PACKS = "block int, before long, part int, n int, pack binary"
 #: Partitions of the state, at most.
-_STATES = 32
+_STATES = 16
 
 
-def _binary(fields: dict) -> str:
-    return ", ".join(f"{f} binary" for f in fields)
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (neuron_id, t_ms, at) as packs in the order of time, ``at`` being that of a pack's last spike."""
+    for table in packs.held(batches):
+        table = table.drop_null().sort_by("t_ms").combine_chunks()
+        ids, ts, at = table["neuron_id"].to_numpy(), table["t_ms"].to_numpy(), table["at"].combine_chunks()
+        for k in range(0, len(ids), blocks.PACK):
+            end = min(k + blocks.PACK, len(ids))
+            data = packs.squeeze(ids[k:end], ts[k:end])
+            yield pa.RecordBatch.from_arrays([pa.array([pa.compute.max(at.slice(k, end - k)).as_py()], at.type), pa.array([end - k], pa.int32()), pa.array([data], pa.binary())], ["at", "n", "pack"])
 
 
-def _arrays(rows: Iterable, fields: dict) -> dict[str, np.ndarray]:
-    rows = list(rows)
-    return {f: np.frombuffer(b"".join(bytes(r[k]) for r in rows), kind) for k, (f, kind) in enumerate(fields.items())}
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Wires in the order of their block, as rows of their bytes."""
-    for batch in batches:
-        of = batch.column("block").to_numpy()
-        for lo, hi in zip(cuts := [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)], cuts[1:]):
-            for k in range(lo, hi, _PIECE):
-                part = batch.slice(k, min(hi - k, _PIECE))
-                bytes_of = [pa.array([part.column(f).to_numpy().astype(kind).tobytes()], pa.binary()) for f, kind in _WIRE.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([of[lo]], pa.int32()), *bytes_of], ["block", *_WIRE])
+def _joined(rows: Iterable, **kinds: type) -> list[np.ndarray]:
+    """The columns of packs (n, pack), one after the other."""
+    each = [packs.stretch(pa.py_buffer(bytes(data)), **{c: (kind, n) for c, kind in kinds.items()}) for n, data in rows]
+    return [np.concatenate([e[c] for e in each]) if each else np.empty(0, kind) for c, kind in kinds.items()]
 
 
 class _Queue(StatefulProcessor):
-    """Spikes on their way to a block of targets, with the block's wires; frames of steps are let go by a timer at their end.
+    """Spikes on their way to a block of targets; those that arrive in frames of steps that are over are let go by a timer at their end.
 
-    A spike is held once, whatever it reaches, until all of it has arrived; what arrives in the frames that are over is made
-    when they are let go. ``since`` is the first step of a spike that no timer has let go.
+    A spike is held once, whatever it reaches, until the block's longest delay is over. ``since`` is the first step of a spike
+    that no timer has let go, ``clock`` the watermark at the last call: what is behind it came too late.
     """
 
     def __init__(self, frame: int):
         self.frame = frame
-        self.blocks: dict[int, blocks.Stretches] = {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.wires, self.held = handle.getListState("wires", _binary(_WIRE)), handle.getListState("held", _binary(_HELD))
+        self.longest, self.clock = handle.getValueState("longest", "ms double"), handle.getValueState("clock", "ms long")
+        self.held = handle.getListState("held", "n int, pack binary")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.wires.appendList([tuple(map(bytes, row)) for row in initialState[list(_WIRE)].itertuples(index=False)])
+        self.longest.update((float(initialState["longest"].iloc[0]),))
 
     def _end_of_frame(self, step: int) -> int:
         return (step // self.frame + 1) * self.frame + ORIGIN
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if not self.longest.exists():  # no wire ends here
+            return iter(())
+        now, late = timerValues.getCurrentWatermarkInMs(), self.clock.get()[0] if self.clock.exists() else 0
         soonest = math.inf
         for new in rows:
-            t = new["t_ms"].to_numpy(np.float64)
-            self.held.appendValue((new["src_id"].to_numpy(np.int64).tobytes(), t.tobytes(), np.full(len(t), -np.inf).tobytes()))
-            soonest = min(soonest, math.floor(t.min()) + 1)
-        # A timer in the past, for a spike that came late but within the delay allowed, is run at once.
-        self.handle.registerTimer(self._end_of_frame(soonest))
+            ids, ts = _joined(zip(new["n"], new["pack"]), ids=np.int64, ts=np.float64)
+            known = np.floor(ts) + ORIGIN >= late
+            ids, ts = ids[known], ts[known]
+            if len(ids):
+                self.held.appendValue((len(ids), packs.squeeze(ids, ts, np.full(len(ts), -np.inf))))
+                soonest = min(soonest, math.floor(ts.min()) + 1)
+        self.clock.update((now,))
+        self.handle.registerTimer(now + 1)  # the next watermark is seen, whatever arrives by then
+        if soonest < math.inf:
+            # A timer in the past, for a spike that came late but within the delay allowed, is run at once.
+            self.handle.registerTimer(self._end_of_frame(soonest))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        before = (timerValues.getCurrentWatermarkInMs() - ORIGIN) // self.frame * self.frame
-        ids, ts, since = _arrays(self.held.get(), _HELD).values()
+        now = timerValues.getCurrentWatermarkInMs()
+        self.clock.update((now,))
+        before = (now - ORIGIN) // self.frame * self.frame
+        ids, ts, since = _joined(self.held.get(), **_HELD)
         if not len(ids):
             return
-        if key[0] not in self.blocks:
-            self.blocks[key[0]] = blocks.Stretches(pa.table(_arrays(self.wires.get(), _WIRE)))
-        block = self.blocks[key[0]]
         order = np.argsort(ts, kind="stable")
         ids, ts, since = ids[order], ts[order], since[order]
-        for part in block.between(ids, ts, since, before):
-            for k in range(0, part.num_rows, _LIST):
-                some = part.slice(k, _LIST)
-                yield pd.DataFrame({f: [some.column(f).to_numpy()] for f in some.schema.names})
-        left = block.open(ids, ts, before)
+        due = np.maximum(since, np.floor(ts) + 1) < before
+        if due.any():
+            gone = [x[due] for x in (ids, ts, since)]
+            starts = range(0, len(gone[0]), _PACK)
+            parts = [[x[k : k + _PACK] for x in gone] for k in starts]
+            yield pd.DataFrame({"block": np.int32(key[0]), "before": before, "part": np.arange(len(parts), dtype=np.int32), "n": np.array([len(p[0]) for p in parts], np.int32), "pack": [packs.squeeze(*p) for p in parts]})
+        left = np.maximum(np.floor(ts) + 1, np.ceil(ts + self.longest.get()[0])) >= before
         if left.any():
-            since = np.maximum(since[left], before)
-            self.held.put([tuple(x.tobytes() for x in (ids[left], ts[left], since))])
-            self.handle.registerTimer(self._end_of_frame(max(before, math.floor(ts[left].min()) + 1)))
+            ids, ts, since = ids[left], ts[left], np.maximum(since[left], before)
+            self.held.put([(len(ids), packs.squeeze(ids, ts, since))])
+            self.handle.registerTimer(self._end_of_frame(max(before, math.floor(ts.min()) + 1)))
         else:
             self.held.clear()
 
@@ -115,33 +121,26 @@ class _Queue(StatefulProcessor):
         pass
 
 
-def _each(lists: DataFrame) -> DataFrame:
-    """Rows of lists as one row for each arrival."""
-    return lists.select(F.posexplode("tgt_id").alias("at", "tgt_id"), *[F.col(c).alias(f"{c}s") for c in ("step", "n", "kick")]).select("tgt_id", *[F.col(f"{c}s")[F.col("at")].alias(c) for c in ("step", "n", "kick")])
+def _known(wires: DataFrame) -> DataFrame:
+    ends = [F.col(c).cast("long").alias(c) for c in ("src_id", "tgt_id")]
+    known = wires.select(*ends, F.coalesce("delay_ms", F.lit(0.0)).alias("delay_ms"), F.coalesce("strength", F.lit(0.0)).alias("strength"))
+    return known.dropna(subset=["src_id", "tgt_id"]).filter(F.abs("delay_ms") < math.inf)
 
 
 def hold_until_arrival(spikes: DataFrame, wires: DataFrame, late: str = "0 seconds", frame: int = 20) -> DataFrame:
-    """(tgt_id, step, n, kick) of streamed ``spikes`` (neuron_id, t_ms, at): what arrives at a target in each step of 1 ms.
+    """(block, before, part, n, pack) of streamed ``spikes`` (neuron_id, t_ms, at): the spikes that timers let go as they arrive at a block of targets.
 
-    ``wires`` (src_id, tgt_id, delay_ms, strength) is a table, which the state takes in with the first batch: a queue keeps the
-    wires that it began with. Targets are dealt into blocks, and a spike goes once to each block that it reaches. It is held
-    there until the watermark has passed the end of its frames of ``frame`` ms; spikes behind the watermark are dropped by
-    Spark, so ``late`` is how much disorder is allowed, and no spike comes after the frame of its arrival was let go. So each
-    step of a target is one row. A wire whose delay is no finite number brings nothing.
+    ``blocks.due_arrivals`` makes of these what arrives at a target in each step of 1 ms. Spikes go in packs, once to each block
+    of the targets of ``wires`` (src_id, tgt_id, delay_ms, strength), whose longest delay the state takes in with the first
+    batch. They are held there until the watermark has passed the end of frames of ``frame`` ms; spikes behind the watermark are
+    dropped, so ``late`` is how much disorder is allowed, and no spike comes after the frame of its arrival was let go. So each
+    step of a target is let go once. A wire whose delay is no finite number brings nothing.
     """
-    return _each(_held(spikes, wires, late, frame))
-
-
-def _held(spikes: DataFrame, wires: DataFrame, late: str, frame: int) -> DataFrame:
-    """``hold_until_arrival`` as rows of lists."""
-    ends = [F.col(c).cast("long").alias(c) for c in ("src_id", "tgt_id")]
-    known = wires.select(*ends, F.coalesce("delay_ms", F.lit(0.0)).alias("delay_ms"), F.coalesce("strength", F.lit(0.0)).alias("strength"))
-    known = known.dropna(subset=["src_id", "tgt_id"]).filter(F.abs("delay_ms") < math.inf)
-    known = known.withColumn("block", F.pmod(F.xxhash64("tgt_id"), F.lit(blocks.BLOCKS)).cast("int"))
-    pieces = known.repartition("block").sortWithinPartitions("block").mapInArrow(_pieces, f"block int, {_binary(_WIRE)}")
-    met = spikes.withWatermark("at", late).withColumnRenamed("neuron_id", "src_id").join(known.select("src_id", "block").distinct(), "src_id")
-    sent = met.select("block", "at", "src_id", "t_ms")
-    return sent.groupBy("block").transformWithStateInPandas(_Queue(frame), _LISTS, "Append", "EventTime", pieces.groupBy("block"))
+    longest = _known(wires).groupBy(blocks.block_of("tgt_id").alias("block")).agg(F.max("delay_ms").alias("longest"))
+    at = f"at {spikes.schema['at'].dataType.simpleString()}"
+    sent = spikes.select("neuron_id", "t_ms", "at").mapInArrow(_pack, f"{at}, n int, pack binary").withWatermark("at", late)
+    sent = sent.select(F.explode(F.sequence(F.lit(0), F.lit(blocks.BLOCKS - 1))).alias("block"), "at", "n", "pack")
+    return sent.groupBy("block").transformWithStateInPandas(_Queue(frame), _PACKS, "Append", "EventTime", longest.groupBy("block"))
 
 
 def _run(rows: DataFrame, home: str, fail_after: int | None = None) -> list[int]:
@@ -172,19 +171,34 @@ def spike_source(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return read.withColumn("at", stamp(F.col("t_ms")))
 
 
+def _first_wires(spark: SparkSession, wires: DataFrame, home: str) -> DataFrame:
+    """The wires that the queue of ``home`` began with; they count as kept when the mark beside them is written."""
+    try:
+        spark.read.schema("kept boolean").parquet(f"{home}/kept")
+    except AnalysisException:
+        wires = _known(wires)
+        wires.write.mode("overwrite").parquet(f"{home}/wires")
+        spark.range(1).select(F.lit(True).alias("kept")).coalesce(1).write.mode("overwrite").parquet(f"{home}/kept")
+    return spark.read.schema("src_id long, tgt_id long, delay_ms double, strength double").parquet(f"{home}/wires")
+
+
 def delayed_arrivals(spark: SparkSession, path: str, wires: DataFrame, home: str, late: str = "0 seconds", frame: int = 20, fail_after: int | None = None) -> DataFrame:
-    """(tgt_id, step, n, kick): all that has arrived by now, over all runs with this ``home``; spikes still on their way stay in the state."""
+    """(tgt_id, step, n, kick): all that has arrived by now, over all runs with this ``home``; spikes still on their way stay in the state.
+
+    A queue keeps the wires that it began with. What is written is the spikes that were let go; they meet the wires when it is read.
+    """
+    wires = _first_wires(spark, wires, home)
     confs = {"spark.sql.streaming.stateStore.providerClass": _ROCKS}  # the provider that timers need
     confs["spark.sql.shuffle.partitions"] = str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), _STATES))  # an empty state costs a task each batch
     before = {k: spark.conf.get(k) for k in confs}
     for k, v in confs.items():
         spark.conf.set(k, v)
     try:
-        _run(_held(spike_source(spark, path), wires, late, frame), home, fail_after)
+        _run(hold_until_arrival(spike_source(spark, path), wires, late, frame), home, fail_after)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    return _each(_written(spark, home, f"{_LISTS}, batch long"))
+    return blocks.due_arrivals(_written(spark, home, f"{_PACKS}, batch long"), wires)
 
 
 def drain(spark: SparkSession, path: str, home: str, files: int = 1, fail_after: int | None = None) -> DataFrame:
@@ -213,8 +227,6 @@ def feed(spark: SparkSession, spikes: DataFrame, path: str, parts: int, closing:
 def delayed_run(spark: SparkSession, spikes: DataFrame, wires: DataFrame, parts: int = 3, frame: int = 100) -> DataFrame:
     """``delayed_arrivals`` of ``spikes`` fed as a stream in ``parts`` stretches, a run after each of them."""
     path, home = _folder(spark, "fed"), _folder(spark, "queue")
-    wires.write.parquet(table := _folder(spark, "wires"))  # every batch reads them
-    wires = spark.read.schema(wires.schema).parquet(table)
     for _ in feed(spark, spikes, path, parts, closing=True):
         delayed_arrivals(spark, path, wires, home, frame=frame)
     return delayed_arrivals(spark, path, wires, home, frame=frame)

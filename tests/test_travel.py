@@ -56,3 +56,17 @@ def test_lines_and_trains_travel_in_packs(spark):
 @pytest.mark.parametrize("name", ["q_delivery_bins", "q_conductance_arrivals"])
 def test_spikes_and_wires_travel_in_packs(spark, name):
     assert "(block, pack, at, n)" in _plan(Q.QUERIES[name](spark, SF))  # what is sorted and read by a block's task
+
+
+def test_delay_queue_writes_spikes_and_not_arrivals(spark, tmp_path):
+    """What timers let go is written once for a block, however many targets it reaches, and meets the wires that the queue began with."""
+    from axonframe.streaming import delays
+
+    wires = spark.range(3_000).selectExpr("id % 2 AS src_id", "id AS tgt_id", "CAST(id % 50 AS DOUBLE) AS delay_ms", "1.0D AS strength")
+    spikes = spark.createDataFrame([(0, 0.0), (0, 10.5), (1, 10.25), (5, 11.0), (1, 200.0)], "neuron_id long, t_ms double")
+    for _ in delays.feed(spark, spikes, f"{tmp_path}/in", 1, closing=True):
+        delays.delayed_arrivals(spark, f"{tmp_path}/in", wires, f"{tmp_path}/home")
+    got = delays.delayed_arrivals(spark, f"{tmp_path}/in", wires.limit(0), f"{tmp_path}/home")
+    assert got.count() == got.select("tgt_id", "step").distinct().count() == 6_000
+    written = spark.read.parquet(f"{tmp_path}/home/rows")
+    assert "kick" not in written.columns and written.count() <= 2 * 64
