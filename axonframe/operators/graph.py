@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ..functions.rng import below, gauss, uniform
+from ..functions.rng import Draws, below, gauss, uniform
 from .ranks import rank_in
 
 
@@ -29,8 +32,29 @@ def random_edges(nodes: DataFrame, p: float, seed: str = "er") -> DataFrame:
     return met.filter((F.col("src_id") != F.col("tgt_id")) & below(p, F.concat("head", "tail"))).select("network_id", "src_id", "tgt_id")
 
 
-#: Mean edges drawn from one block of candidates, and draws that a block has at hand: over 12 deviations more.
-_DRAWN, _DRAWS = 64, 176
+#: Mean edges drawn from one block of candidates.
+_DRAWN = 64
+
+
+def _skips(batches: Iterator[pa.RecordBatch], p: float) -> Iterator[pa.RecordBatch]:
+    """(network_id, src_id, tgt_id) of rows (network_id, id, own, width, head, ends): a source's edges to a block of candidates."""
+    for batch in batches:
+        own, width = batch.column("own").to_numpy(), batch.column("width").to_numpy()
+        draws, going = Draws(batch.column("head")), np.arange(batch.num_rows)
+        at, k, hits = np.full(batch.num_rows, -1), 0, []
+        while len(going):
+            k += 1
+            at = at + (np.floor(np.log(1.0 - draws.at(k)) / math.log1p(-p)).astype(np.int64) if p < 1 else 0) + 1
+            within = at < width[going]
+            hits.append((going[within], at[within]))
+            if not within.all():
+                going, at = going[within], at[within]
+                draws.keep(within)
+        if hits:
+            row, at = map(np.concatenate, zip(*hits))
+            ends = batch.column("ends")
+            place = ends.offsets.to_numpy()[row] + at + (at >= own[row])
+            yield pa.RecordBatch.from_arrays([batch.column("network_id").take(row), batch.column("id").take(row), ends.values.take(place)], ["network_id", "src_id", "tgt_id"])
 
 
 def random_edges_by_skips(nodes: DataFrame, p: float, seed: str = "skip") -> DataFrame:
@@ -45,16 +69,6 @@ def random_edges_by_skips(nodes: DataFrame, p: float, seed: str = "skip") -> Dat
     block = max(1, math.ceil(_DRAWN / p))
     width = F.least(F.lit(block), F.col("size") - 1 - F.col("block") * block)
     starts = placed.filter("size > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 2) / block)))).withColumn("width", width)
-    gap = lambda k: F.lit(1) if p >= 1 else F.floor(F.log(1.0 - uniform(seed, "id", "block", k)) / math.log1p(-p)) + 1
-    begin = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<bigint>").alias("taken"))
-
-    def draw(s, k):
-        going = s["at"] < F.col("width")
-        took = lambda at: F.struct(at.alias("at"), F.when(going & (at < F.col("width")), F.concat(s["taken"], F.array(at))).otherwise(s["taken"]).alias("taken"))
-        return F.transform(F.array((s["at"] + F.when(going, gap(k)).otherwise(0)).cast("long")), took).getItem(0)  # each gap is drawn once
-
-    draws = min(block, _DRAWS) + 1
-    taken = F.aggregate(F.sequence(F.lit(1), F.lit(draws)), begin, draw, lambda s: s["taken"])
     # A block's candidates have ranks that follow each other, one more than its width as the source itself is none: the ends come as one array a block.
     first = F.floor(F.col("rank") / block)
     within = F.explode(F.when((F.col("rank") % block == 0) & (F.col("rank") > 0), F.array(first, first - 1)).otherwise(F.array(first)))
@@ -62,9 +76,10 @@ def random_edges_by_skips(nodes: DataFrame, p: float, seed: str = "skip") -> Dat
     key = ["network_id", "block"]
     starts = starts.select(*key, F.col("id"), F.col("rank").alias("own"), "width").repartition(_TASKS, *key)
     hits = starts.join(ends.repartition(_TASKS, *key).hint("shuffle_hash"), key)
-    own = F.col("own") - F.col("block") * block
-    tgt = F.explode(F.transform(taken, lambda at: F.element_at("ends", (F.when(at >= own, at + 2).otherwise(at + 1)).cast("int"))))
-    return hits.select("network_id", F.col("id").alias("src_id"), tgt.alias("tgt_id"))
+    head = F.concat_ws("|", F.lit(seed), F.col("id").cast("string"), F.col("block").cast("string"))
+    met = hits.select("network_id", "id", (F.col("own") - F.col("block") * block).cast("long").alias("own"), F.col("width").cast("long").alias("width"), head.alias("head"), "ends")
+    schema = StructType([StructField(c, nodes.schema[of].dataType) for c, of in (("network_id", "network_id"), ("src_id", "id"), ("tgt_id", "id"))])
+    return met.mapInArrow(lambda batches: _skips(batches, p), schema)
 
 
 def small_world(spark: SparkSession, n: int, k: int, beta: float, seed: str = "sw") -> DataFrame:

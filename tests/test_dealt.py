@@ -59,3 +59,16 @@ def test_synapses_that_no_command_names_meet_no_scan(spark):
     got = editlog.synapse_versions(nodes, edges, log)
     assert "isnull(named)" in _plan(got)
     assert sorted(map(tuple, got.collect()), key=str) == [(0, 1, -1, 0.5, -1, 0), (0, 1, -1, 2.0, 0, None), (1, 2, -1, 0.25, -1, 3), (2, 0, -1, 0.75, -1, 3)]
+
+
+def test_skips_are_drawn_for_many_rows_at_once(spark):
+    import pyarrow as pa
+
+    from axonframe.functions.rng import Draws
+
+    assert "MapInArrow" in _plan(graph.random_edges_by_skips(spark.range(9).select("id", (F.col("id") % 2).alias("network_id")), 0.3))
+    for seed in ("skip", "long " * 12):
+        rows = spark.range(300).select(F.concat_ws("|", F.lit(seed), "id").alias("head"), *[uniform(seed, "id", F.lit(k)).alias(f"u{k}") for k in (1, 99, 1000)]).toArrow()
+        draws = Draws(rows["head"].combine_chunks().slice(5))
+        for k in (1, 99, 1000):
+            assert draws.at(k).tolist() == rows[f"u{k}"].to_pylist()[5:]
