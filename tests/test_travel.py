@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from axonframe.functions import packs
 from axonframe.plans import queries as Q
@@ -70,3 +71,30 @@ def test_delay_queue_writes_spikes_and_not_arrivals(spark, tmp_path):
     assert got.count() == got.select("tgt_id", "step").distinct().count() == 6_000
     written = spark.read.parquet(f"{tmp_path}/home/rows")
     assert "kick" not in written.columns and written.count() <= 2 * 64
+
+
+@pytest.mark.parametrize("met", [3, 1 << 15])
+def test_samples_of_a_sweep_meet_within_their_task(spark, monkeypatch, met):
+    """Starts and ends are dealt, moments times frequencies are not: the last exchange has only what starts, ends or was carried."""
+    import math
+    import random
+
+    from axonframe.operators import timeline
+
+    monkeypatch.setattr(timeline, "_MET", met)
+    draw = random.Random(met)
+    rows = [(draw.randrange(3), draw.choice(["pulse", "ramp", "sinusoidal", "constant"]), 1.0 + draw.random(), 40.0, float(draw.randrange(1, 6)), float(draw.randrange(200)), 0.5) for _ in range(90)]
+    rows += [(None, "pulse", 1.0, 2.0, 1.0, 0.0, 0.5), (1, "pulse", None, 2.0, 1.0, 7.0, 0.5), (1, "pulse", 1.0, 2.0, 1.0, None, 0.5)]
+    stimuli = spark.createDataFrame(rows, "neuron_id long, stim_type string, amplitude double, duration_ms double, frequency double, start_t double, draw double")
+    swept = timeline.superposition(stimuli, 50.0)
+    assert _plan(swept).lstrip().startswith("AdaptiveSparkPlan") and "(neuron_id, freq, t, phase, level, slope, offset, cosine, sine, part), [neuron_id, t, current]" in _plan(swept)
+    of = {"pulse": lambda a, d, f, x: a if x <= d else 0.0, "ramp": lambda a, d, f, x: a * x / d if x <= d else 0.0, "sinusoidal": lambda a, d, f, x: a * math.sin(2e-3 * math.pi * f * x), "constant": lambda a, d, f, x: a}
+    known = [r for r in rows if r[0] is not None and r[5] is not None]
+    at = {(r[0], r[5]) for r in known} | {(r[0], r[5] + r[3]) for r in known if r[1] in ("pulse", "ramp")}
+    want = {(n, t): sum(of[k](a, d, f, t - s) for m, k, a, d, f, s, _ in known if m == n and a is not None and s <= t) for n, t in at}
+    if met == 3:  # in this process, so that the limit holds
+        dealt = spark.createDataFrame(timeline._stimulus_deltas(stimuli).dropna(subset=["neuron_id", "t"]).withColumn("part", F.lit(0)).collect()).coalesce(1).sort("neuron_id").toArrow()
+        got = {(r["neuron_id"], r["t"]): r["current"] for b in timeline._swept(iter(dealt.to_batches(2))) for r in b.to_pylist()}
+    else:
+        got = {(r.neuron_id, r.t): r.current for r in swept.collect()}
+    assert got == pytest.approx(want, abs=1e-9)
