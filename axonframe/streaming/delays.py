@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -45,7 +46,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(ids), blocks.PACK):
             end = min(k + blocks.PACK, len(ids))
             data = packs.squeeze(ids[k:end], ts[k:end])
-            yield pa.RecordBatch.from_arrays([pa.array([pa.compute.max(at.slice(k, end - k)).as_py()], at.type), pa.array([end - k], pa.int32()), pa.array([data], pa.binary())], ["at", "n", "pack"])
+            yield pa.RecordBatch.from_arrays([pa.array([pc.max(at.slice(k, end - k)).as_py()], at.type), pa.array([end - k], pa.int32()), pa.array([data], pa.binary())], ["at", "n", "pack"])
 
 
 def _joined(rows: Iterable, **kinds: type) -> list[np.ndarray]:
